@@ -26,7 +26,6 @@ HALF = 512.0          # the plane is [-512, 512) in both directions
 FIRST_LEVEL = 5       # 32-degree cells: a fixed number, whatever the data
 STRIDE = 2            # each round cuts a cell into 4 x 4
 LAST_LEVEL = 27       # 8e-6 degrees, about the spacing of single-precision coordinates
-FINE_LEVEL = 19       # 2e-3 degrees: finer groups count as single positions
 LIST_SIZE = 64        # a leaf stops refining at this many candidates
 SLACK = 1e-9          # guards the pruning against rounding
 WORLD = (-90.0, 90.0, -180.0, 360.0)
@@ -172,17 +171,17 @@ def _refine(active: DataFrame, points: DataFrame, level: int, domain) -> DataFra
     )
 
 
-def _decide(pairs: DataFrame, k: int, level: int) -> DataFrame:
+def _decide(pairs: DataFrame, k: int) -> DataFrame:
     """Prune, then mark each cell: a leaf, or one to refine with or without cutting the cell.
 
     A cell that is far from the points keeps its size while the groups get finer. It is cut once
-    the groups are single positions, or nearly so, and there are still too many.
+    the groups are single positions and there are still too many.
     """
     gap = "greatest(lat_lo - a1, a0 - lat_hi, lon_lo - b1, b0 - lon_hi, 0D)"
     return _prune(pairs, k).selectExpr(
         "qlevel", "qx", "qy", "nx", "ny",
         f"sum(n) OVER ({Q}) <= {LIST_SIZE} AS leaf",
-        f"{str(level >= FINE_LEVEL).upper()} OR min({gap}) OVER ({Q}) <= 2 * min(side) OVER ({Q}) "
+        f"min({gap}) OVER ({Q}) <= 2 * min(side) OVER ({Q}) "
         f"OR min(lat_lo = lat_hi AND lon_lo = lon_hi) OVER ({Q}) AS split",
     )
 
@@ -205,7 +204,7 @@ def build_index(
     while True:
         seen = Observation()
         decided = materialise(
-            _decide(pairs, k, level).observe(seen, F.expr("count_if(leaf) AS leaf"), F.expr("count_if(NOT leaf) AS open")),
+            _decide(pairs, k).observe(seen, F.expr("count_if(leaf) AS leaf"), F.expr("count_if(NOT leaf) AS open")),
             f"level{level}",
         )
         last = level + STRIDE > LAST_LEVEL
