@@ -7,33 +7,32 @@ from pyspark.sql import functions as F
 
 
 def py_number(value: Column) -> Column:
-    """Double as Python prints it: ``5.0E-4`` -> ``0.0005``, ``1.0E7`` -> ``10000000.0``."""
-    raw = value.cast("double").cast("string")
-    pattern = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
-    sign, head, exp = (F.regexp_extract(raw, pattern, k) for k in (1, 2, 4))
-    tail = F.regexp_extract(raw, pattern, 3)
-    tail = F.when(tail == "0", F.lit("")).otherwise(tail)
-    exponent = exp.try_cast("int")
-    digits = F.concat(head, tail)
+    """Double as Python prints it: the fewest digits that read back the same number.
+
+    ``5.0E-4`` becomes ``0.0005``, ``1.0E7`` becomes ``10000000.0``. Plain short texts pass unchanged.
+    """
+    x = value.cast("double")
+    raw = x.cast("string")
+    sixteen = F.format_string("%.15e", x)
+    exact = F.when(sixteen.try_cast("double") == x, sixteen).otherwise(F.format_string("%.16e", x))
+    part = lambda k: F.regexp_extract(exact, r"^(-?)(\d)\.(\d*?)0*e([+-]\d+)$", k)
+    sign, digits, exponent = part(1), F.concat(part(2), part(3)), part(4).try_cast("int")
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    whole = F.rpad(F.substring(digits, 1, 17), 17, "0")
-    cut = exponent + 1
-    frac = F.substring(F.concat(digits, F.lit("")), cut + 1, F.lit(20))
+    fraction = F.substring(digits, exponent + 2, F.lit(20))
     large = F.concat(
-        sign, F.substring(whole, F.lit(1), cut), F.lit("."),
-        F.when(F.length(frac) > 0, frac).otherwise(F.lit("0")),
+        sign, F.substring(F.rpad(digits, 17, "0"), F.lit(1), exponent + 1), F.lit("."),
+        F.when(F.length(fraction) > 0, fraction).otherwise(F.lit("0")),
     )
-    mantissa = F.concat(sign, head, F.when(F.length(tail) > 0, F.concat(F.lit("."), tail)).otherwise(F.lit("")))
+    mantissa = F.when(F.length(digits) > 1, F.concat(part(2), F.lit("."), part(3))).otherwise(digits)
     scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        sign, mantissa, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
         F.lpad(F.abs(exponent).cast("string"), 2, "0"),
     )
     return (
         F.when(raw == "NaN", F.lit("nan"))
         .when(raw == "Infinity", F.lit("inf"))
         .when(raw == "-Infinity", F.lit("-inf"))
-        .when(~raw.contains("E"), raw)
+        .when(~raw.contains("E") & (F.length(raw) <= 17), raw)
         .when((exponent >= -4) & (exponent < 0), small)
         .when((exponent >= 0) & (exponent < 16), large)
         .otherwise(scientific)

@@ -192,18 +192,23 @@ def tensor_statistics(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _with_channel_stats(rows: DataFrame, stats: DataFrame, channels: int) -> DataFrame:
     picked = stats.where(F.col("channel_index") < channels).select(
-        "channel_index", F.col("mean").alias("_mean"), F.col("std").alias("_std")
+        "channel_index", F.col("mean").cast("double").alias("_mean"), F.col("std").cast("double").alias("_std")
     )
     return rows.join(F.broadcast(picked), "channel_index")  # at most `channels` rows
 
 
 def normalise_rows(rows: DataFrame, stats: DataFrame, channels: int = 20) -> DataFrame:
-    scaled = F.transform("values", lambda v: standardise(v, F.col("_mean"), F.col("_std")))
+    """(x - mean) / std per channel, worked in double and kept in single precision."""
+    scaled = F.transform(
+        "values", lambda v: standardise(v.cast("double"), F.col("_mean"), F.col("_std")).cast("float")
+    )
     return _with_channel_stats(rows, stats, channels).withColumn("values", scaled).drop("_mean", "_std")
 
 
 def denormalise_rows(rows: DataFrame, stats: DataFrame, channels: int = 20) -> DataFrame:
-    scaled = F.transform("values", lambda v: restore(v, F.col("_mean"), F.col("_std")))
+    scaled = F.transform(
+        "values", lambda v: restore(v.cast("double"), F.col("_mean"), F.col("_std")).cast("float")
+    )
     return _with_channel_stats(rows, stats, channels).withColumn("values", scaled).drop("_mean", "_std")
 
 

@@ -1,0 +1,24 @@
+"""Queries over the given tables, each with the SQL that checks it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from workload.views import Views, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register ``fn(views)`` under ``name``; ``sql`` is its check, with ``@view`` references."""
+
+    def register(fn: Callable[[Views], DataFrame]):
+        QUERIES[name] = lambda spark, folder: fn(Views(spark, folder))
+        if sql is not None:
+            ORACLES[name] = oracle(sql)
+        return fn
+
+    return register
