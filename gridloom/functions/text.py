@@ -15,27 +15,42 @@ def py_number(value: Column) -> Column:
     raw = x.cast("string")
     sixteen = F.format_string("%.15e", x)
     exact = F.when(sixteen.try_cast("double") == x, sixteen).otherwise(F.format_string("%.16e", x))
-    part = lambda k: F.regexp_extract(exact, r"^(-?)(\d)\.(\d*?)0*e([+-]\d+)$", k)
-    sign, digits, exponent = part(1), F.concat(part(2), part(3)), part(4).try_cast("int")
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    fraction = F.substring(digits, exponent + 2, F.lit(20))
+    return (
+        F.when(raw == "NaN", F.lit("nan"))
+        .when(raw == "Infinity", F.lit("inf"))
+        .when(raw == "-Infinity", F.lit("-inf"))
+        .when(~raw.contains("E") & (F.length(raw) <= 17), raw)
+        .otherwise(_once(exact, lambda e: _once(_digits(e), _from_digits)))
+    )
+
+
+def _once(value: Column, use) -> Column:
+    """Bind a value to a name, so that it is worked out once however often ``use`` needs it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _digits(scientific: Column) -> Column:
+    part = lambda k: F.regexp_extract(scientific, r"^(-?)(\d)\.(\d*?)0*e([+-]\d+)$", k)
+    return F.struct(
+        part(1).alias("sign"), part(2).alias("head"), part(3).alias("tail"),
+        F.concat(part(2), part(3)).alias("all"), part(4).try_cast("int").alias("exp"),
+    )
+
+
+def _from_digits(d: Column) -> Column:
+    small = F.concat(d["sign"], F.lit("0."), F.repeat(F.lit("0"), -d["exp"] - 1), d["all"])
+    fraction = F.substring(d["all"], d["exp"] + 2, F.lit(20))
     large = F.concat(
-        sign, F.substring(F.rpad(digits, 17, "0"), F.lit(1), exponent + 1), F.lit("."),
+        d["sign"], F.substring(F.rpad(d["all"], 17, "0"), F.lit(1), d["exp"] + 1), F.lit("."),
         F.when(F.length(fraction) > 0, fraction).otherwise(F.lit("0")),
     )
-    mantissa = F.when(F.length(digits) > 1, F.concat(part(2), F.lit("."), part(3))).otherwise(digits)
     scientific = F.concat(
-        sign, mantissa, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        d["sign"], d["head"], F.when(F.length(d["tail"]) > 0, F.concat(F.lit("."), d["tail"])).otherwise(F.lit("")),
+        F.when(d["exp"] < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(d["exp"]).cast("string"), 2, "0"),
     )
     return (
-        F.when(raw == "NaN", F.lit("nan"))
-        .when(raw == "Infinity", F.lit("inf"))
-        .when(raw == "-Infinity", F.lit("-inf"))
-        .when(~raw.contains("E") & (F.length(raw) <= 17), raw)
-        .when((exponent >= -4) & (exponent < 0), small)
-        .when((exponent >= 0) & (exponent < 16), large)
-        .otherwise(scientific)
+        F.when((d["exp"] >= -4) & (d["exp"] < 0), small)
+        .when((d["exp"] >= 0) & (d["exp"] < 16), large).otherwise(scientific)
     )
 
 

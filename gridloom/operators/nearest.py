@@ -61,18 +61,23 @@ CORNERS = [("a0", "b0"), ("a0", "b1"), ("a1", "b0"), ("a1", "b1")]
 def _prune(pairs: DataFrame, k: int) -> DataFrame:
     """Drop point groups that ``k`` known points beat at every corner of the cell.
 
-    The cell edges a0..a1, b0..b1 are widened a little against rounding.
+    The cell edges a0..a1, b0..b1 are widened a little against rounding. ``reach`` is what the
+    coarser cell found out already: within it lie ``k`` points of every position. It removes most
+    pairs before they are ranked.
     """
     boxed = pairs.selectExpr("*", f"{2 * HALF}D / pow(2D, qlevel) AS side").selectExpr(
         "*",
         f"qx * side - {HALF + SLACK}D AS a0", f"(qx + 1) * side - {HALF - SLACK}D AS a1",
         f"qy * side - {HALF + SLACK}D AS b0", f"(qy + 1) * side - {HALF - SLACK}D AS b1",
+    ).where(
+        "pow(greatest(lat_lo - a1, a0 - lat_hi, 0D), 2) + pow(greatest(lon_lo - b1, b0 - lon_hi, 0D), 2) "
+        f"<= reach * {1 + SLACK}D + {SLACK}D"
     )
     center = _known_distance("(a0 + a1) / 2", "(b0 + b1) / 2")
     ranked = boxed.selectExpr("*", f"{center} AS to_center").selectExpr(
         "*", f"row_number() OVER ({Q} ORDER BY to_center, rep_id, nx, ny) AS place"
     )
-    limits = ranked.selectExpr(
+    limits = ranked.drop("reach").selectExpr(
         "*", f"max(place) OVER ({Q}) AS groups",
         *[
             f"max(IF(place <= {k}, {_known_distance(*c)}, NULL)) OVER ({Q}) AS limit{i}"
@@ -82,7 +87,10 @@ def _prune(pairs: DataFrame, k: int) -> DataFrame:
     beaten = " AND ".join(
         f"{_box_distance(*c)} > limit{i} * {1 + SLACK}D + {SLACK}D" for i, c in enumerate(CORNERS)
     )
-    return limits.where(f"groups < {k} OR NOT ({beaten})")
+    reach = "greatest(limit0, limit1, limit2, limit3)"
+    return limits.where(f"groups < {k} OR NOT ({beaten})").selectExpr(
+        "*", f"IF(groups < {k}, DOUBLE('Infinity'), {reach}) AS reach"
+    )
 
 
 @dataclass
@@ -152,7 +160,7 @@ def _refine(active: DataFrame, points: DataFrame, level: int, domain) -> DataFra
         "*", f"shiftright(nx, {STRIDE}) AS px", f"shiftright(ny, {STRIDE}) AS py"
     )
     finer = active.selectExpr(
-        "qlevel", "qx AS cx", "qy AS cy", f"IF(split, {STRIDE}, 0) AS cut", "nx AS px", "ny AS py"
+        "reach", "qlevel", "qx AS cx", "qy AS cy", f"IF(split, {STRIDE}, 0) AS cut", "nx AS px", "ny AS py"
     ).join(parts, ["px", "py"])
     lat0, lat1, lon0, lon1 = domain
     touches = (
@@ -164,7 +172,7 @@ def _refine(active: DataFrame, points: DataFrame, level: int, domain) -> DataFra
         .selectExpr("*", "explode(sequence(0L, shiftleft(1L, cut) - 1)) AS dy")
         .selectExpr(
             "qlevel + cut AS qlevel", "shiftleft(cx, cut) + dx AS qx", "shiftleft(cy, cut) + dy AS qy",
-            "nx", "ny", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "rep_id", "rep_lat", "rep_lon",
+            "nx", "ny", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "rep_id", "rep_lat", "rep_lon", "reach",
             f"{2 * HALF}D / pow(2D, qlevel + cut) AS side",
         )
         .where(touches).drop("side")
@@ -179,13 +187,29 @@ def _decide(pairs: DataFrame, k: int) -> DataFrame:
     """
     gap = "greatest(lat_lo - a1, a0 - lat_hi, lon_lo - b1, b0 - lon_hi, 0D)"
     return _prune(pairs, k).selectExpr(
-        "qlevel", "qx", "qy", "nx", "ny",
+        "qlevel", "qx", "qy", "nx", "ny", "reach",
         f"sum(n) OVER ({Q}) <= {LIST_SIZE} AS leaf",
         f"min({gap}) OVER ({Q}) <= 2 * min(side) OVER ({Q}) "
         f"OR min(lat_lo = lat_hi AND lon_lo = lon_hi) OVER ({Q}) AS split",
     )
 
 
+def _listed(found: list[tuple[int, DataFrame]], points: DataFrame, k: int) -> DataFrame:
+    """Model points of each cell, pruned once more as single positions."""
+    located = [
+        cells.select("qlevel", "qx", "qy", "nx", "ny", "reach").join(
+            points.selectExpr("*", f"{cell_sql('lat', lv)} AS nx", f"{cell_sql('lon_at', lv)} AS ny"),
+            ["nx", "ny"],
+        )
+        for lv, cells in found
+    ]
+    as_groups = reduce(lambda a, b: a.unionByName(b), located).selectExpr(
+        "*", "lat AS lat_lo", "lat AS lat_hi", "lon_at AS lon_lo", "lon_at AS lon_hi",
+        "lat AS rep_lat", "lon_at AS rep_lon", "grid_id AS rep_id",
+    )
+    return _prune(as_groups, k).select("qlevel", "qx", "qy", "grid_id", "lat", "lon", "lon_at", "value")
+
+
 def build_index(
     grid: DataFrame, k: int = 1, domain: tuple[float, float, float, float] = WORLD, wrap: bool = False
 ) -> NearestIndex:
@@ -198,51 +222,44 @@ def build_index(
 
     level = FIRST_LEVEL
     pairs = _groups(points, level).selectExpr("*", f"inline({_first_cells(domain)}) AS (qx, qy)").selectExpr(
-        f"{level} AS qlevel", "*"
+        f"{level} AS qlevel", "*", "DOUBLE('Infinity') AS reach"
     )
-    found = []
+    found, crowded = [], None
     while True:
         seen = Observation()
         decided = materialise(
             _decide(pairs, k).observe(seen, F.expr("count_if(leaf) AS leaf"), F.expr("count_if(NOT leaf) AS open")),
             f"level{level}",
         )
-        last = level + STRIDE > LAST_LEVEL
-        if last or seen.get["leaf"]:
-            found.append((level, decided if last else decided.where("leaf")))
-        if last or not seen.get["open"]:
+        if seen.get["leaf"]:
+            found.append((level, decided.where("leaf")))
+        if not seen.get["open"]:
+            break
+        if level + STRIDE > LAST_LEVEL:
+            crowded = materialise(
+                _listed([(level, decided.where("NOT leaf"))], points, k).selectExpr(
+                    f"{leaf_sql('qlevel', 'qx', 'qy')} AS leaf_id", "qlevel",
+                    "struct(grid_id, lat, lon, lon_at, value) AS candidate",
+                ),
+                "crowded",
+            )
             break
         level += STRIDE
         pairs = _refine(decided.where("NOT leaf"), points, level, domain)
 
-    lists = [
-        leaves.select("qlevel", "qx", "qy", "nx", "ny").join(
-            points.selectExpr("*", f"{cell_sql('lat', lv)} AS nx", f"{cell_sql('lon_at', lv)} AS ny"),
-            ["nx", "ny"],
-        )
-        for lv, leaves in found
-    ]
-    as_groups = reduce(lambda a, b: a.unionByName(b), lists).selectExpr(
-        "*", "lat AS lat_lo", "lat AS lat_hi", "lon_at AS lon_lo", "lon_at AS lon_hi",
-        "lat AS rep_lat", "lon_at AS rep_lon", "grid_id AS rep_id",
-    )
     seen = Observation()
-    rows = materialise(
-        _prune(as_groups, k).selectExpr(
-            f"{leaf_sql('qlevel', 'qx', 'qy')} AS leaf_id", "qlevel", "grid_id", "lat", "lon", "lon_at",
-            "value", f"count(*) OVER ({Q}) AS listed",
-        ).observe(seen, F.expr("collect_set(qlevel) AS levels"), F.expr("max(listed) AS longest")),
-        "lists",
-    )
-    state = seen.get
+    rows = _listed(found or [(level, decided.limit(0))], points, k)
     leaves = materialise(
-        rows.where(F.col("listed") <= LIST_SIZE).groupBy("leaf_id").agg(
-            F.expr("collect_list(struct(grid_id, lat, lon, lon_at, value)) AS candidates")
-        ),
+        rows.groupBy("qlevel", "qx", "qy")
+        .agg(F.expr("collect_list(struct(grid_id, lat, lon, lon_at, value)) AS candidates"))
+        .selectExpr(f"{leaf_sql('qlevel', 'qx', 'qy')} AS leaf_id", "candidates", "qlevel")
+        .observe(seen, F.expr("collect_set(qlevel) AS levels")),
         "leaves",
     )
-    crowded = rows.where(F.col("listed") > LIST_SIZE) if (state["longest"] or 0) > LIST_SIZE else None
-    return NearestIndex(leaves, crowded, sorted(state["levels"] or []), k, domain, grid)
+    levels = set(seen.get["levels"] or [])
+    if crowded is not None:
+        levels |= {r[0] for r in crowded.select("qlevel").distinct().collect()}  # one row per level
+    return NearestIndex(leaves.drop("qlevel"), crowded, sorted(levels), k, domain, grid)
 
 
 def _hit(c: str, lat: str, lon: str) -> str:
@@ -266,13 +283,19 @@ def _in_domain(lat: Column, lon: Column, domain) -> Column:
     return lat.between(domain[0], domain[1]) & lon.between(domain[2], domain[3])
 
 
+def _spread(probes: DataFrame) -> DataFrame:
+    """Use every core on an input of fewer splits than cores; larger inputs are left as they are."""
+    cores = probes.sparkSession.sparkContext.defaultParallelism
+    return probes.repartition(cores) if probes.rdd.getNumPartitions() < cores else probes
+
+
 def nearest_hits(probes: DataFrame, index: NearestIndex, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Every probe with ``hits``, its ``k`` nearest model points ordered by (distance, id).
 
     A probe without a usable position, or outside the index domain, keeps null hits.
     """
     names = probes.columns
-    placed = probes.withColumns({"_lat": F.col(lat).cast("double"), "_lon": F.col(lon).cast("double")})
+    placed = _spread(probes).withColumns({"_lat": F.col(lat).cast("double"), "_lon": F.col(lon).cast("double")})
     inside = _usable(F.col("_lat"), F.col("_lon")) & _in_domain(F.col("_lat"), F.col("_lon"), index.domain)
     keys = [leaf_sql(lv, cell_sql("_lat", lv), cell_sql("_lon", lv)) for lv in index.levels]
     placed = placed.withColumn("_in", inside)
@@ -284,7 +307,6 @@ def nearest_hits(probes: DataFrame, index: NearestIndex, lat: str = "lat", lon:
         ids = leaves.select("_leaf")
         if index.crowded is not None:
             ids = ids.unionByName(index.crowded.selectExpr("leaf_id AS _leaf").distinct())
-        ids = materialise(ids, "directory")
         tagged = placed.selectExpr(
             "*", f"explode(IF(_in, array({', '.join(keys)}), array(CAST(NULL AS BIGINT)))) AS _leaf"
         )
@@ -300,7 +322,7 @@ def _with_crowded(located: DataFrame, leaves: DataFrame, index: NearestIndex, na
     The rank filter drops all but ``k`` rows of a probe before the shuffle.
     """
     kept = [f"`{n}`" for n in names]
-    rows = index.crowded.selectExpr("leaf_id AS _leaf", "struct(grid_id, lat, lon, lon_at, value) AS _c")
+    rows = index.crowded.selectExpr("leaf_id AS _leaf", "candidate AS _c")
     ids = rows.select("_leaf").distinct()
     plain = located.join(ids, "_leaf", "left_anti").join(leaves, "_leaf", "left").selectExpr(
         *kept, f"{_best(index.k)} AS hits"
