@@ -28,7 +28,7 @@ STRIDE = 2            # each round cuts a cell into 4 x 4
 LAST_LEVEL = 27       # 8e-6 degrees, about the spacing of single-precision coordinates
 LIST_SIZE = 64        # a leaf stops refining at this many candidates
 SLACK = 1e-9          # guards the pruning against rounding
-WORLD = (-90.0, 90.0, -180.0, 360.0)
+WORLD = (-90.0, 90.0, -180.0, 180.0)
 
 
 Q = "PARTITION BY qlevel, qx, qy"
@@ -154,29 +154,35 @@ def _first_cells(domain) -> str:
     return f"array({', '.join(cells)})"
 
 
-def _refine(active: DataFrame, points: DataFrame, level: int, domain) -> DataFrame:
-    """Replace each point group by its parts, and each cell that needs it by its 4 x 4 parts."""
-    parts = _groups(points, level).selectExpr(
-        "*", f"shiftright(nx, {STRIDE}) AS px", f"shiftright(ny, {STRIDE}) AS py"
-    )
-    finer = active.selectExpr(
-        "reach", "qlevel", "qx AS cx", "qy AS cy", f"IF(split, {STRIDE}, 0) AS cut", "nx AS px", "ny AS py"
-    ).join(parts, ["px", "py"])
+GROUP = ["nx", "ny", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "rep_id", "rep_lat", "rep_lon"]
+
+
+def _refine(active: DataFrame, points: DataFrame, level: int, k: int, domain) -> DataFrame:
+    """Cut each cell that needs it into 4 x 4, prune, then replace each point group by its parts.
+
+    Pruning between the two steps keeps the number of pairs small, and it gives every new cell its
+    own reach.
+    """
     lat0, lat1, lon0, lon1 = domain
     touches = (
         f"qx * side - {HALF} <= {lat1} AND (qx + 1) * side - {HALF} >= {lat0} AND "
         f"qy * side - {HALF} <= {lon1} AND (qy + 1) * side - {HALF} >= {lon0}"
     )
-    return (
-        finer.selectExpr("*", "explode(sequence(0L, shiftleft(1L, cut) - 1)) AS dx")
+    cut = (
+        active.selectExpr("*", f"IF(split, {STRIDE}, 0) AS cut")
+        .selectExpr("*", "explode(sequence(0L, shiftleft(1L, cut) - 1)) AS dx")
         .selectExpr("*", "explode(sequence(0L, shiftleft(1L, cut) - 1)) AS dy")
         .selectExpr(
-            "qlevel + cut AS qlevel", "shiftleft(cx, cut) + dx AS qx", "shiftleft(cy, cut) + dy AS qy",
-            "nx", "ny", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "rep_id", "rep_lat", "rep_lon", "reach",
-            f"{2 * HALF}D / pow(2D, qlevel + cut) AS side",
+            "qlevel + cut AS qlevel", "shiftleft(qx, cut) + dx AS qx", "shiftleft(qy, cut) + dy AS qy",
+            *GROUP, "reach", f"{2 * HALF}D / pow(2D, qlevel + cut) AS side",
         )
         .where(touches).drop("side")
     )
+    parts = _groups(points, level).selectExpr(
+        "*", f"shiftright(nx, {STRIDE}) AS px", f"shiftright(ny, {STRIDE}) AS py"
+    )
+    kept = _prune(cut, k).selectExpr("qlevel", "qx", "qy", "reach", "nx AS px", "ny AS py")
+    return kept.join(parts, ["px", "py"]).drop("px", "py")
 
 
 def _decide(pairs: DataFrame, k: int) -> DataFrame:
@@ -187,7 +193,7 @@ def _decide(pairs: DataFrame, k: int) -> DataFrame:
     """
     gap = "greatest(lat_lo - a1, a0 - lat_hi, lon_lo - b1, b0 - lon_hi, 0D)"
     return _prune(pairs, k).selectExpr(
-        "qlevel", "qx", "qy", "nx", "ny", "reach",
+        "qlevel", "qx", "qy", *GROUP, "reach",
         f"sum(n) OVER ({Q}) <= {LIST_SIZE} AS leaf",
         f"min({gap}) OVER ({Q}) <= 2 * min(side) OVER ({Q}) "
         f"OR min(lat_lo = lat_hi AND lon_lo = lon_hi) OVER ({Q}) AS split",
@@ -211,14 +217,25 @@ def _listed(found: list[tuple[int, DataFrame]], points: DataFrame, k: int) -> Da
 
 
 def build_index(
-    grid: DataFrame, k: int = 1, domain: tuple[float, float, float, float] = WORLD, wrap: bool = False
+    grid: DataFrame, k: int = 1, domain: tuple[float, float, float, float] | None = None, wrap: bool = False
 ) -> NearestIndex:
-    """Lookup table for a model table (grid_id, lat, lon, value) over a domain of positions."""
-    if min(domain) < -HALF or max(domain) >= HALF:
-        raise ValueError(f"positions must lie in [-{HALF:g}, {HALF:g})")
+    """Lookup table for a model table (grid_id, lat, lon, value) over a domain of positions.
+
+    The default domain is the world, widened to hold the model.
+    """
     if wrap and k > 1:
         raise ValueError("longitude wrap is offered for the single nearest point only")
-    points = materialise(model_points(grid, k, wrap), "points")
+    seen = Observation()
+    edges = [f"{f}({c}) AS {f}_{c}" for c in ("lat", "lon") for f in ("min", "max")]
+    points = materialise(model_points(grid, k, wrap).observe(seen, *[F.expr(e) for e in edges]), "points")
+    if domain is None:
+        box = seen.get
+        domain = (
+            min(WORLD[0], box["min_lat"] or 0.0), max(WORLD[1], box["max_lat"] or 0.0),
+            min(WORLD[2], box["min_lon"] or 0.0), max(WORLD[3], box["max_lon"] or 0.0),
+        )
+    if min(domain) < -HALF or max(domain) >= HALF:
+        raise ValueError(f"positions must lie in [-{HALF:g}, {HALF:g})")
 
     level = FIRST_LEVEL
     pairs = _groups(points, level).selectExpr("*", f"inline({_first_cells(domain)}) AS (qx, qy)").selectExpr(
@@ -245,7 +262,7 @@ def build_index(
             )
             break
         level += STRIDE
-        pairs = _refine(decided.where("NOT leaf"), points, level, domain)
+        pairs = _refine(decided.where("NOT leaf"), points, level, k, domain)
 
     seen = Observation()
     rows = _listed(found or [(level, decided.limit(0))], points, k)
