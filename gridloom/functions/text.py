@@ -13,8 +13,11 @@ def py_number(value: Column) -> Column:
     """
     x = value.cast("double")
     raw = x.cast("string")
-    sixteen = F.format_string("%.15e", x)
-    exact = F.when(sixteen.try_cast("double") == x, sixteen).otherwise(F.format_string("%.16e", x))
+    one, sixteen = F.format_string("%.0e", x), F.format_string("%.15e", x)
+    exact = (
+        F.when(one.try_cast("double") == x, F.replace(one, F.lit("e"), F.lit(".0e")))
+        .when(sixteen.try_cast("double") == x, sixteen).otherwise(F.format_string("%.16e", x))
+    )
     return (
         F.when(raw == "NaN", F.lit("nan"))
         .when(raw == "Infinity", F.lit("inf"))
@@ -46,7 +49,8 @@ def _from_digits(d: Column) -> Column:
     )
     scientific = F.concat(
         d["sign"], d["head"], F.when(F.length(d["tail"]) > 0, F.concat(F.lit("."), d["tail"])).otherwise(F.lit("")),
-        F.when(d["exp"] < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(d["exp"]).cast("string"), 2, "0"),
+        F.when(d["exp"] < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        F.when(F.abs(d["exp"]) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(d["exp"]).cast("string"),
     )
     return (
         F.when((d["exp"] >= -4) & (d["exp"] < 0), small)
