@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.weather import geopotential, readable_name, soil_name
 from gridloom.operators.extract import normalise_level
 from gridloom.schema import TIDY_BODY
+from gridloom.session import materialise
 
 COORDS = ["isobaricInhPa", "latitude", "longitude"]
 
@@ -66,14 +67,15 @@ def merge_groups(frames: list[DataFrame], *keys: str, per_point: bool = False) -
     """Merge tidy message groups where an earlier frame wins.
 
     By default the whole variable comes from the first frame that has it. The winners are one
-    row per variable. ``per_point`` instead fills point by point from later frames.
+    row per variable, written first so that the join knows their size. ``per_point`` instead fills
+    point by point from later frames.
     """
     stacked = union_fields(
         frames[0].sparkSession,
         [f.withColumn("_rank", F.lit(i)) for i, f in enumerate(frames)],
     )
     if not per_point:
-        first = stacked.groupBy(*keys, "variable").agg(F.min("_rank").alias("_rank"))
+        first = materialise(stacked.groupBy(*keys, "variable").agg(F.min("_rank").alias("_rank")), "winners")
         return stacked.join(first, [*keys, "variable", "_rank"], "left_semi").drop("_rank")
     best = stacked.groupBy(*keys, "variable", *COORDS).agg(
         F.min_by("value", "_rank").alias("value")

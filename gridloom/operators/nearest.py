@@ -301,9 +301,15 @@ def _in_domain(lat: Column, lon: Column, domain) -> Column:
 
 
 def _spread(probes: DataFrame) -> DataFrame:
-    """Use every core on an input of fewer splits than cores; larger inputs are left as they are."""
-    cores = probes.sparkSession.sparkContext.defaultParallelism
-    return probes.repartition(cores) if probes.rdd.getNumPartitions() < cores else probes
+    """Use every core on an input too small to fill them; a lookup costs more than a scan.
+
+    The size is the optimizer's estimate, so nothing runs for it. Larger inputs are left as they are.
+    """
+    spark = probes.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(probes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return probes.repartition(cores) if size < split * cores else probes
 
 
 def nearest_hits(probes: DataFrame, index: NearestIndex, lat: str = "lat", lon: str = "lon") -> DataFrame:

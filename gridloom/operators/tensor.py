@@ -170,11 +170,11 @@ def grouped_tensor_rows(df: DataFrame, *keys: str, spec: GridSpec = MODEL_GRID)
     )
 
 
-def value_statistics(values: DataFrame, *keys: str, column: str = "value") -> DataFrame:
+def statistics_columns(column: str) -> list:
     """NaN-ignoring statistics with population deviation; infinities stay in."""
     raw = F.col(column).cast("double")
     real = no_nan(raw)
-    return values.groupBy(*keys).agg(
+    return [
         F.count("*").alias("elements"),
         F.bool_and(F.coalesce(finite(raw), F.lit(False))).alias("finite"),
         F.count_if(F.isnan(raw)).alias("nan_count"),
@@ -182,7 +182,11 @@ def value_statistics(values: DataFrame, *keys: str, column: str = "value") -> Da
         F.max(real).alias("max"),
         F.avg(real).alias("mean"),
         F.stddev_pop(real).alias("std"),
-    )
+    ]
+
+
+def value_statistics(values: DataFrame, *keys: str, column: str = "value") -> DataFrame:
+    return values.groupBy(*keys).agg(*statistics_columns(column))
 
 
 def tensor_statistics(rows: DataFrame, *keys: str) -> DataFrame:

@@ -31,40 +31,28 @@ def report_columns(df: DataFrame) -> list[str]:
 
 
 def point_facets(df: DataFrame, *keys: str, channels=None) -> DataFrame:
-    """Row counts per step by channel point, by latitude and by longitude, from a single scan.
+    """Row counts per step by channel, by latitude and by longitude, from a single scan.
 
-    Grouping sets expand each row four times before the map-side aggregation, where the three
-    small facets collapse to the distinct coordinates of a step. Only the point facet is large.
+    Rows are first counted per channel point, which is the only large shuffle and combines repeated
+    points on the map side. Fields outside the contract share one group per point. The grouping sets
+    then run over distinct points and collapse to tens of channels and some thousand coordinates.
     """
     tagged = tag_channels(df, channels, how="left")
-    base = tagged.select(
-        *keys,
-        "channel_index",
-        # rows outside the contract need no point check: they collapse to one group
-        F.when(F.col("channel_index").isNotNull(), F.col("latitude")).alias("raw_lat"),
-        F.when(F.col("channel_index").isNotNull(), F.col("longitude")).alias("raw_lon"),
-        no_nan(number(F.col("latitude"))).alias("lat"),
-        no_nan(number(F.col("longitude"))).alias("lon"),
+    kinds = dict(tagged.dtypes)
+    raw = lambda c: no_nan(F.col(c)) if kinds[c] in ("float", "double") else F.col(c)
+    points = tagged.groupBy(
+        *keys, "channel_index", raw("latitude").alias("raw_lat"), raw("longitude").alias("raw_lon")
+    ).agg(F.count("*").alias("n"))
+    placed = points.select(
+        *keys, "channel_index", "n",
+        no_nan(number(F.col("raw_lat"))).alias("lat"), no_nan(number(F.col("raw_lon"))).alias("lon"),
     ).withColumn("lon360", lon_0_360(F.col("lon")))
-    k = list(keys)
-    columns = k + ["channel_index", "raw_lat", "raw_lon", "lat", "lon", "lon360"]
-    sets = [
-        k + ["channel_index", "raw_lat", "raw_lon"], k + ["lat"], k + ["lon"], k + ["lon360"],
-    ]
-    bits = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
-    facet_id = lambda kept: sum(b for c, b in bits.items() if c not in kept)
+    facets = ["channel_index", "lat", "lon", "lon360"]
     gid = F.grouping_id()
-    return (
-        base.groupingSets(sets, *columns)
-        .agg(F.count("*").alias("n"), gid.alias("_gid"))
-        .withColumn(
-            "facet",
-            F.when(F.col("_gid") == facet_id(sets[0]), "point")
-            .when(F.col("_gid") == facet_id(sets[1]), "lat")
-            .when(F.col("_gid") == facet_id(sets[2]), "lon")
-            .otherwise("lon360"),
-        )
-        .drop("_gid")
+    one_of_four = {"channel_index": 0b0111, "lat": 0b1011, "lon": 0b1101, "lon360": 0b1110}
+    name = F.coalesce(*[F.when(gid == bits, F.lit(c)) for c, bits in one_of_four.items()])
+    return placed.groupingSets([[*keys, c] for c in facets], *keys, *facets).agg(
+        F.sum("n").alias("rows"), F.count("*").alias("points"), name.alias("facet")
     )
 
 
@@ -110,7 +98,7 @@ def validation_report(
     """One report row per step.
 
     Three aggregations follow one scan: points (large, combined on the map side), facets of a
-    step (tens of rows) and the step itself. Every list in a report is bounded by the contract.
+    step (some thousand rows) and the step itself. Every list in a report is bounded by the contract.
     """
     policy = check_policy(policy)
     absent = report_columns(df)
@@ -121,29 +109,22 @@ def validation_report(
             F.array(*[F.lit(c) for c in absent]).alias("missing_columns"),
         )
 
-    facets = point_facets(normalise_level(df), *keys, channels=channels)
-    per_channel = facets.groupBy(*keys, "facet", "channel_index").agg(
-        F.sum("n").alias("rows"),
-        F.count("*").alias("points"),
-        F.count("lat").alias("lats"),
-        F.count("lon").alias("lons"),
-        F.count("lon360").alias("lons360"),
-        F.min("lat").alias("low"),
-        F.max("lat").alias("high"),
-        F.min(F.when(F.col("lat") > -90.0, F.col("lat"))).alias("inner_low"),
-        F.max(F.when(F.col("lat") < 90.0, F.col("lat"))).alias("inner_high"),
-    )
-    is_point = (F.col("facet") == "point") & F.col("channel_index").isNotNull()
-    only_lat = lambda c: F.max(F.when(F.col("facet") == "lat", F.col(c)))
-    step = per_channel.groupBy(*keys).agg(
-        only_lat("rows").alias("row_count"),
-        only_lat("lats").alias("observed_lat_count"),
-        F.max(F.when(F.col("facet") == "lon", F.col("lons"))).alias("observed_lon_count"),
-        F.max(F.when(F.col("facet") == "lon360", F.col("lons360"))).alias("wrapped_lon_count"),
-        only_lat("low").alias("_low"), only_lat("high").alias("_high"),
-        only_lat("inner_low").alias("_inner_low"), only_lat("inner_high").alias("_inner_high"),
+    is_ = lambda facet: F.col("facet") == facet
+    lat = F.when(is_("lat"), F.col("lat"))
+    step = point_facets(normalise_level(df), *keys, channels=channels).groupBy(*keys).agg(
+        F.sum(F.when(is_("lat"), F.col("rows"))).alias("row_count"),
+        F.count(lat).alias("observed_lat_count"),
+        F.count(F.when(is_("lon"), F.col("lon"))).alias("observed_lon_count"),
+        F.count(F.when(is_("lon360"), F.col("lon360"))).alias("wrapped_lon_count"),
+        F.min(lat).alias("_low"),
+        F.max(lat).alias("_high"),
+        F.min(F.when(lat > -90.0, lat)).alias("_inner_low"),
+        F.max(F.when(lat < 90.0, lat)).alias("_inner_high"),
         F.collect_list(
-            F.when(is_point, F.struct("channel_index", (F.col("rows") - F.col("points")).alias("extra")))
+            F.when(
+                is_("channel_index") & F.col("channel_index").isNotNull(),
+                F.struct("channel_index", (F.col("rows") - F.col("points")).alias("extra")),
+            )
         ).alias("_seen"),
     )
     contract = contract_array(channels)

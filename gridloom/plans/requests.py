@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.tensor import (
-    denormalise_rows, normalise_rows, shape_verdict, tensor_statistics,
+    denormalise_rows, normalise_rows, shape_verdict, statistics_columns, tensor_statistics,
 )
 from gridloom.schema import GUARD_ELEMENTS
+from gridloom.session import materialise
 
 RowModel = Callable[[DataFrame], DataFrame]
 STATS = ["elements", "finite", "nan_count", "min", "max", "mean", "std"]
@@ -21,26 +22,25 @@ def guard_blocks(elements, guard):
     return guard & (elements > GUARD_ELEMENTS)
 
 
-def tensor_shapes(rows: DataFrame, key: str = "tensor_uri") -> DataFrame:
-    """Shape of each row-tensor from its row keys; the arrays contribute only their length."""
-    return rows.groupBy(key).agg(
-        F.array(
-            F.lit(1),
-            (F.max("channel_index") + 1).cast("int"),
-            (F.max("lat_index") + 1).cast("int"),
-            F.max(F.size("values")).cast("int"),
-        ).alias("shape")
+def tensor_profiles(rows: DataFrame, key: str = "tensor_uri") -> DataFrame:
+    """Shape and statistics of each row-tensor, from one scan: a small table, written once."""
+    flat = rows.select(key, "channel_index", "lat_index", F.posexplode("values").alias("_pos", "value"))
+    size = lambda c: (F.max(c) + 1).cast("int")
+    profiles = flat.groupBy(key).agg(
+        F.array(F.lit(1), size("channel_index"), size("lat_index"), size("_pos")).alias("shape"),
+        *statistics_columns("value"),
     )
+    return materialise(profiles, "profiles")
 
 
-def request_plan(requests: DataFrame, shapes: DataFrame, grid=(20, 720, 1440)) -> DataFrame:
-    """Requests with their tensor shape and the reason a forward run is refused, if any.
+def request_plan(requests: DataFrame, profiles: DataFrame, grid=(20, 720, 1440)) -> DataFrame:
+    """Requests with the profile of their tensor and the reason a forward run is refused, if any.
 
-    ``shapes`` has one row per tensor. A tensor that many requests name is described once.
+    ``profiles`` has one row per tensor. A tensor that many requests name is described once.
     """
-    described = shapes.select(
-        F.col("tensor_uri").alias("input_s3_uri"), "shape", F.lit(True).alias("_found"),
-        F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x).alias("elements"),
+    described = profiles.select(
+        F.col("tensor_uri").alias("input_s3_uri"), "shape", "elements", F.lit(True).alias("_found"),
+        F.struct(*STATS).alias("input_tensor"),
     )
     planned = requests.join(described, "input_s3_uri", "left")
     refused = F.when(
@@ -73,19 +73,19 @@ def request_reports(
 
     Statistics are made per tensor and joined to the requests, so a popular tensor is read once.
     """
-    inputs = tensor_statistics(rows, "tensor_uri").select(
-        F.col("tensor_uri").alias("input_s3_uri"), F.struct(*STATS).alias("input_tensor")
-    )
-    plan = request_plan(requests, tensor_shapes(rows), grid).join(inputs, "input_s3_uri", "left")
+    plan = request_plan(requests, tensor_profiles(rows), grid)
     if model is None:
-        plan = plan.withColumn("output_stats", F.lit(None).cast(inputs.schema["input_tensor"].dataType))
+        plan = plan.withColumn("output_stats", F.lit(None).cast(plan.schema["input_tensor"].dataType))
         missing_model = F.lit("model_not_available")
     else:
         ready = requests.where("mode = 'forward' AND error IS NULL").select(
             F.col("input_s3_uri").alias("tensor_uri")
         )
-        outputs = forward_statistics(rows, ready, stats, model, grid[0]).select(
-            F.col("tensor_uri").alias("input_s3_uri"), F.struct(*STATS).alias("output_stats")
+        outputs = materialise(
+            forward_statistics(rows, ready, stats, model, grid[0]).select(
+                F.col("tensor_uri").alias("input_s3_uri"), F.struct(*STATS).alias("output_stats")
+            ),
+            "outputs",
         )
         plan = plan.join(outputs, "input_s3_uri", "left")
         missing_model = F.lit(None).cast("string")

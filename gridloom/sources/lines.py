@@ -9,6 +9,7 @@ from gridloom.functions.coords import in_range
 from gridloom.functions.text import py_number
 from gridloom.operators.extract import ContractError
 from gridloom.schema import REQUEST_MODES
+from gridloom.session import materialise
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,8 +28,11 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.count("*").alias("_size"), F.min("_seq").alias("_base")
     )
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "_file", "_start", "_base", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
+    offsets = materialise(
+        splits.select(
+            "_file", "_start", "_base", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
+        ),
+        "splits",
     )
     return lines.join(offsets, ["_file", "_start"]).select(
         (F.col("_seq") - F.col("_base") + F.col("_before") + 1).alias("row_number"),

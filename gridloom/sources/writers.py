@@ -71,11 +71,11 @@ def write_row_tensors(rows: DataFrame, path: str, *keys: str) -> str:
 
 
 def write_reports(df: DataFrame, path: str, *keys: str) -> str:
-    """One JSON text per report, named by its key columns rather than by a clock."""
+    """One JSON text per report, filed under its keys rather than a clock; a rerun replaces its own."""
     body = F.to_json(F.struct(*[c for c in sorted(df.columns) if c not in keys]))
     df.select(*keys, body.alias("report")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).parquet(path)
+    ).partitionBy(*keys).parquet(path)
     return path
 
 

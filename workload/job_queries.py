@@ -160,7 +160,7 @@ REQUESTS = """rq AS (SELECT event_id, 's3://bucket/step' || CAST(event_id % 7 AS
 @query("j9_manifest_tensors", f"""WITH {REQUESTS}, t AS (SELECT tensor_uri, count(*) AS elements FROM @tensor_points GROUP BY 1)
 SELECT event_id, tensor_uri AS input_s3_uri, t.elements IS NOT NULL AS found, t.elements FROM rq LEFT JOIN t USING (tensor_uri)""")
 def _(v):
-    plan = R.request_plan(L.parse_manifest(v.manifest_lines), R.tensor_shapes(tensor_table(v)))
+    plan = R.request_plan(L.parse_manifest(v.manifest_lines), R.tensor_profiles(tensor_table(v)))
     return plan.select("event_id", "input_s3_uri", "found", "elements")
 
 
