@@ -15,7 +15,7 @@ def geopotential(height: Column) -> Column:
 
 
 def readable_name(code: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in READABLE_NAMES.items() for x in pair])
+    names = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in READABLE_NAMES.items()) + ")")
     return F.coalesce(F.try_element_at(names, code), code)
 
 

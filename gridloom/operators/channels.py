@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.coords import is_surface, near, no_nan, number
 from gridloom.operators.extract import normalise_level
-from gridloom.schema import MODEL_CHANNELS, channel_table
+from gridloom.schema import MODEL_CHANNELS, channel_array_sql, channel_table
 
 
 def contract_array(channels=None) -> Column:
     """The contract as one array literal of (channel_index, variable, level)."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("channel_index"),
-                F.lit(name).alias("variable"),
-                F.lit(level).cast("double").alias("level"),
-            )
-            for i, (name, level) in enumerate(channels or MODEL_CHANNELS)
-        ]
-    )
+    return F.expr(channel_array_sql(channels))
 
 
 def tag_channels(df: DataFrame, channels=None, how: str = "inner") -> DataFrame:

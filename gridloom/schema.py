@@ -92,20 +92,39 @@ class GridSpec:
 MODEL_GRID = GridSpec()
 
 
+def _sql(value) -> str:
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"'{value}'" if isinstance(value, str) else f"{value}D" if isinstance(value, float) else str(value)
+
+
+def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A literal table, known to the optimizer with its exact size."""
+    body = ", ".join("(" + ", ".join(_sql(x) for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
 def channel_table(spark: SparkSession, channels=None) -> DataFrame:
     """(channel_index, variable, level): a fixed table of tens of rows."""
     rows = [(i, name, level) for i, (name, level) in enumerate(channels or MODEL_CHANNELS)]
-    return spark.createDataFrame(rows, "channel_index INT, variable STRING, level DOUBLE")
+    return _values(spark, rows, "channel_index, variable, level")
+
+
+def channel_array_sql(channels=None) -> str:
+    """The same contract as one array literal of structs."""
+    entries = [
+        f"named_struct('channel_index', {i}, 'variable', '{name}', 'level', {_sql(level)})"
+        for i, (name, level) in enumerate(channels or MODEL_CHANNELS)
+    ]
+    return f"array({', '.join(entries)})"
 
 
 def layout_table(spark: SparkSession) -> DataFrame:
     """Surface/upper tensor layout as (group, var_index, level_index, variable, level)."""
     rows = [("surface", v, 0, name, None) for v, name in enumerate(SURFACE_GROUP)]
     rows += [
-        ("upper", v, l, name, float(level))
+        ("upper", v, i, name, float(level))
         for v, name in enumerate(UPPER_GROUP)
-        for l, level in enumerate(UPPER_LEVELS)
+        for i, level in enumerate(UPPER_LEVELS)
     ]
-    return spark.createDataFrame(
-        rows, "group STRING, var_index INT, level_index INT, variable STRING, level DOUBLE"
-    )
+    return _values(spark, rows, "group, var_index, level_index, variable, level")
