@@ -47,7 +47,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *partition_by: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The table survives lost executors, and its file sizes give the optimizer true
@@ -55,7 +55,7 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write.mode("error")
+    writer = df.write.mode("error").option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
