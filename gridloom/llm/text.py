@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where a lambda inside ``body`` uses it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def key128(*parts: Column) -> Column:
     """16-byte MD5 of the parts; nulls and part borders are told apart."""
     framed = [
@@ -50,3 +55,8 @@ def by_bytes(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if low < len(sizes):
         yield low, len(sizes)
+
+
+def with_row_key(docs: DataFrame, *columns: str, name: str = "_row_key") -> DataFrame:
+    """Add a 128-bit key over ``columns``; rows that agree in all of them share it."""
+    return docs.withColumn(name, key128(*[F.col(f"`{c}`") for c in columns]))
