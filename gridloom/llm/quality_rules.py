@@ -12,7 +12,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.text import SPACE, let, only, text_or_empty, words_of
+from gridloom.llm.text import SPACE, let, only, text_or_empty, with_row_key, words_of
 from gridloom.session import materialise
 
 #: Commonest words of a language that are compared one by one; all others are one bin.
@@ -194,3 +194,11 @@ def quality_rules(
         F.coalesce(F.col("char_distance") > most_chars, F.lit(False)), F.coalesce(F.col("word_distance") > most_words + slack / F.col("n_words"), F.lit(False)),
     ])
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def keep_fitting(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns unchanged."""
+    keyed = with_row_key(docs, id_col, lang_col, text_col)
+    judged = quality_rules(keyed, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=("_row_key",), **options)
+    rejected = materialise(judged.where("not kept").select("_row_key").distinct(), "rejected")
+    return keyed.join(rejected, "_row_key", "left_anti").drop("_row_key")

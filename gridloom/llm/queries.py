@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, exact_dedup, license_scan, line_dedup, packing, quality_rules, simhash, site_quality, token_counts
+from gridloom.llm import chat_format, exact_dedup, license_scan, line_dedup, packing, quality_rules, sentencepiece_lattice, simhash, site_quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,9 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, folder, "documents"), shingle=4, most_bits=4)
     return groups.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = sentencepiece_lattice.Model(tokenizer_file("piece_bpe_32k.model"))
+    return sentencepiece_lattice.encode_summary(table(spark, folder, "documents"), model)
