@@ -137,7 +137,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, least_words=least_words)
     text = F.col(f"`{text_col}`")
     keyed = docs.drop("n_lines", "n_removed").withColumn("_row_key", key128(F.col(f"`{id_col}`"), text))
-    joined = keyed.join(gone.select(F.col("row_key").alias("_row_key"), F.col("drop").alias("_drop")), "_row_key", "left")
+    # the list of removals grows with the input, so it is not broadcast at any size
+    drops = gone.select(F.col("row_key").alias("_row_key"), F.col("drop").alias("_drop")).hint("merge")
+    joined = keyed.join(drops, "_row_key", "left")
     places = F.transform(_spoken(F.coalesce(text, F.lit(""))), lambda x: x["pos"])
     left = let(F.col("_places"), lambda at: F.transform("_drop", lambda i: F.get(at, i)))
     rest = let(F.split(text, "\n"), lambda lines: F.array_join(
