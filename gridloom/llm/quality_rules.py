@@ -201,4 +201,4 @@ def keep_fitting(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keyed = with_row_key(docs, id_col, lang_col, text_col)
     judged = quality_rules(keyed, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=("_row_key",), **options)
     rejected = materialise(judged.where("not kept").select("_row_key").distinct(), "rejected")
-    return keyed.join(rejected, "_row_key", "left_anti").drop("_row_key")
+    return keyed.join(rejected.hint("merge"), "_row_key", "left_anti").drop("_row_key")

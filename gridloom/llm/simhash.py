@@ -302,7 +302,7 @@ def keep_first_of_group(docs: DataFrame, *, id_col: str = "doc_id", **options) -
     stays = materialise(
         groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows")), "simhash-stays"
     ).withColumnRenamed("doc_id", "_stays")
-    kept = docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("_stays")), "inner").drop("_stays")
+    kept = docs.join(stays.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("_stays")), "inner").drop("_stays")
     if stays.where("_rows > 1").isEmpty():
         return kept.drop("_rows")
     once, more = kept.where("_rows = 1").drop("_rows"), kept.where("_rows > 1").drop("_rows")

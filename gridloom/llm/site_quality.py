@@ -169,4 +169,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     judged = site_quality(docs, labels, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col, **options)
     rejected = materialise(judged.where("not kept").select(F.col("row_key").alias("_row_key")).distinct(), "rejected")
     keyed = docs.withColumn("_row_key", key128(F.col(f"`{id_col}`"), F.col(f"`{host_col}`"), F.col(f"`{path_col}`"), F.col(f"`{text_col}`")))
-    return keyed.join(rejected, "_row_key", "left_anti").drop("_row_key")
+    return keyed.join(rejected.hint("merge"), "_row_key", "left_anti").drop("_row_key")
