@@ -13,43 +13,6 @@ CONTRACT_TYPES = {
     "STRING": ("string",),
     "DECIMAL": ("float", "double", "decimal"),
 }
-FIELD_KEYS = {"name", "type", "nullable"}
-CONTRACT_FIELDS = ["inputContentType", "outputContentType", "input", "output", "version"]
-NAME_LIMIT = 100
-
-
-def definition_errors(contract: dict) -> list[str]:
-    """Faults of the contract document itself."""
-    errors = [f"missing field: {f}" for f in CONTRACT_FIELDS if f not in contract]
-    for key in ("inputContentType", "outputContentType"):
-        if key in contract and contract[key] != "CSV":
-            errors.append(f"{key} must be CSV")
-    if not isinstance(contract.get("version", ""), str):
-        errors.append("version must be text")
-    if len(contract.get("description", "")) > 1000:
-        errors.append("description is longer than 1000 characters")
-    count = contract.get("instanceCount", 1)
-    if not isinstance(count, int) or count < 1:
-        errors.append("instanceCount must be a positive integer")
-    for section in ("input", "output"):
-        fields = contract.get(section, [])
-        if not isinstance(fields, list):
-            errors.append(f"{section} must be a list")
-            continue
-        for i, field in enumerate(fields):
-            errors += [f"{section}[{i}]: {e}" for e in _field_errors(field)]
-    return errors
-
-
-def _field_errors(field) -> list[str]:
-    if not isinstance(field, dict):
-        return ["must be an object"]
-    errors = [f"missing {key}" for key in ("name", "type") if key not in field]
-    if len(field.get("name", "")) > NAME_LIMIT:
-        errors.append(f"name is longer than {NAME_LIMIT} characters")
-    if "type" in field and field["type"] not in CONTRACT_TYPES:
-        errors.append(f"type {field['type']} is not one of {sorted(CONTRACT_TYPES)}")
-    return errors + [f"unknown key {key}" for key in sorted(set(field) - FIELD_KEYS)]
 
 
 def table_violations(df: DataFrame, fields: list[dict]) -> DataFrame:

@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from gridloom.functions.coords import finite
 from gridloom.session import materialise
 
-HALF = 512.0          # the plane is [-512, 512) in both directions
-FIRST_LEVEL = 5       # 32-degree cells: a fixed number, whatever the data
+LEAST_HALF = 512.0    # the plane is at least [-512, 512) in both directions; positions beyond double it
+FIRST_LEVEL = 5       # 32 x 32 cells over the plane: a fixed number, whatever the data
 STRIDE = 2            # each round cuts a cell into 4 x 4
 LAST_LEVEL = 27       # 8e-6 degrees, about the spacing of single-precision coordinates
-LIST_SIZE = 64        # a leaf stops refining at this many candidates
+LIST_SIZE = 64        # a leaf stops refining at this many candidates, or at LISTS_PER_HIT for each hit wanted
+LISTS_PER_HIT = 4
 SLACK = 1e-9          # guards the pruning against rounding
 WORLD = (-90.0, 90.0, -180.0, 180.0)
 
@@ -34,9 +35,21 @@ WORLD = (-90.0, 90.0, -180.0, 180.0)
 Q = "PARTITION BY qlevel, qx, qy"
 
 
-def cell_sql(coord: str, level: int | str) -> str:
+def plane_half(*edges: float) -> float:
+    """Half the side of the plane: the least power of two from ``LEAST_HALF`` on that lies beyond all edges."""
+    half = LEAST_HALF
+    while half <= max(map(abs, edges), default=0.0):
+        half *= 2
+    return half
+
+
+def leaf_limit(k: int) -> int:
+    return max(LIST_SIZE, LISTS_PER_HIT * k)
+
+
+def cell_sql(coord: str, level: int | str, half: float) -> str:
     """Cell number at a level. Scaling by powers of two is exact, so cells nest exactly."""
-    return f"floor(({coord} + {HALF}D) / {2 * HALF}D * pow(2D, {level}))"
+    return f"floor(({coord} + {half}D) / {2 * half}D * pow(2D, {level}))"
 
 
 def leaf_sql(level: int | str, x: str, y: str) -> str:
@@ -58,17 +71,18 @@ def _known_distance(lat: str, lon: str) -> str:
 CORNERS = [("a0", "b0"), ("a0", "b1"), ("a1", "b0"), ("a1", "b1")]
 
 
-def _prune(pairs: DataFrame, k: int) -> DataFrame:
+def _prune(pairs: DataFrame, k: int, half: float) -> DataFrame:
     """Drop point groups that ``k`` known points beat at every corner of the cell.
 
     The cell edges a0..a1, b0..b1 are widened a little against rounding. ``reach`` is what the
     coarser cell found out already: within it lie ``k`` points of every position. It removes most
     pairs before they are ranked.
     """
-    boxed = pairs.selectExpr("*", f"{2 * HALF}D / pow(2D, qlevel) AS side").selectExpr(
+    slack = SLACK * half / LEAST_HALF
+    boxed = pairs.selectExpr("*", f"{2 * half}D / pow(2D, qlevel) AS side").selectExpr(
         "*",
-        f"qx * side - {HALF + SLACK}D AS a0", f"(qx + 1) * side - {HALF - SLACK}D AS a1",
-        f"qy * side - {HALF + SLACK}D AS b0", f"(qy + 1) * side - {HALF - SLACK}D AS b1",
+        f"qx * side - {half + slack}D AS a0", f"(qx + 1) * side - {half - slack}D AS a1",
+        f"qy * side - {half + slack}D AS b0", f"(qy + 1) * side - {half - slack}D AS b1",
     ).where(
         "pow(greatest(lat_lo - a1, a0 - lat_hi, 0D), 2) + pow(greatest(lon_lo - b1, b0 - lon_hi, 0D), 2) "
         f"<= reach * {1 + SLACK}D + {SLACK}D"
@@ -104,6 +118,8 @@ class NearestIndex:
     k: int
     domain: tuple[float, float, float, float]
     points: DataFrame
+    half: float
+    wrap: bool
 
 
 def model_points(grid: DataFrame, k: int, wrap: bool = False) -> DataFrame:
@@ -129,10 +145,10 @@ def model_points(grid: DataFrame, k: int, wrap: bool = False) -> DataFrame:
     return points
 
 
-def _groups(points: DataFrame, level: int) -> DataFrame:
+def _groups(points: DataFrame, level: int, half: float) -> DataFrame:
     """Point groups of a level: bounding box, size and one known point."""
     return (
-        points.selectExpr("*", f"{cell_sql('lat', level)} AS nx", f"{cell_sql('lon_at', level)} AS ny")
+        points.selectExpr("*", f"{cell_sql('lat', level, half)} AS nx", f"{cell_sql('lon_at', level, half)} AS ny")
         .groupBy("nx", "ny")
         .agg(
             F.expr("count(*) AS n"), F.expr("min(lat) AS lat_lo"), F.expr("max(lat) AS lat_hi"),
@@ -146,10 +162,10 @@ def _groups(points: DataFrame, level: int) -> DataFrame:
     )
 
 
-def _first_cells(domain) -> str:
+def _first_cells(domain, half: float) -> str:
     """First-level cells that touch the domain, as one array (a few tens for the world)."""
-    side = 2 * HALF / (1 << FIRST_LEVEL)
-    lat0, lat1, lon0, lon1 = [int((v + HALF) // side) for v in domain]
+    side = 2 * half / (1 << FIRST_LEVEL)
+    lat0, lat1, lon0, lon1 = [int((v + half) // side) for v in domain]
     cells = [f"(BIGINT({x}), BIGINT({y}))" for x in range(lat0, lat1 + 1) for y in range(lon0, lon1 + 1)]
     return f"array({', '.join(cells)})"
 
@@ -157,7 +173,7 @@ def _first_cells(domain) -> str:
 GROUP = ["nx", "ny", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "rep_id", "rep_lat", "rep_lon"]
 
 
-def _refine(active: DataFrame, points: DataFrame, level: int, k: int, domain) -> DataFrame:
+def _refine(active: DataFrame, points: DataFrame, level: int, k: int, domain, half: float) -> DataFrame:
     """Cut each cell that needs it into 4 x 4, prune, then replace each point group by its parts.
 
     Pruning between the two steps keeps the number of pairs small, and it gives every new cell its
@@ -165,8 +181,8 @@ def _refine(active: DataFrame, points: DataFrame, level: int, k: int, domain) ->
     """
     lat0, lat1, lon0, lon1 = domain
     touches = (
-        f"qx * side - {HALF} <= {lat1} AND (qx + 1) * side - {HALF} >= {lat0} AND "
-        f"qy * side - {HALF} <= {lon1} AND (qy + 1) * side - {HALF} >= {lon0}"
+        f"qx * side - {half}D <= {lat1}D AND (qx + 1) * side - {half}D >= {lat0}D AND "
+        f"qy * side - {half}D <= {lon1}D AND (qy + 1) * side - {half}D >= {lon0}D"
     )
     cut = (
         active.selectExpr("*", f"IF(split, {STRIDE}, 0) AS cut")
@@ -174,37 +190,37 @@ def _refine(active: DataFrame, points: DataFrame, level: int, k: int, domain) ->
         .selectExpr("*", "explode(sequence(0L, shiftleft(1L, cut) - 1)) AS dy")
         .selectExpr(
             "qlevel + cut AS qlevel", "shiftleft(qx, cut) + dx AS qx", "shiftleft(qy, cut) + dy AS qy",
-            *GROUP, "reach", f"{2 * HALF}D / pow(2D, qlevel + cut) AS side",
+            *GROUP, "reach", f"{2 * half}D / pow(2D, qlevel + cut) AS side",
         )
         .where(touches).drop("side")
     )
-    parts = _groups(points, level).selectExpr(
+    parts = _groups(points, level, half).selectExpr(
         "*", f"shiftright(nx, {STRIDE}) AS px", f"shiftright(ny, {STRIDE}) AS py"
     )
-    kept = _prune(cut, k).selectExpr("qlevel", "qx", "qy", "reach", "nx AS px", "ny AS py")
+    kept = _prune(cut, k, half).selectExpr("qlevel", "qx", "qy", "reach", "nx AS px", "ny AS py")
     return kept.join(parts, ["px", "py"]).drop("px", "py")
 
 
-def _decide(pairs: DataFrame, k: int) -> DataFrame:
+def _decide(pairs: DataFrame, k: int, half: float) -> DataFrame:
     """Prune, then mark each cell: a leaf, or one to refine with or without cutting the cell.
 
     A cell that is far from the points keeps its size while the groups get finer. It is cut once
     the groups are single positions and there are still too many.
     """
     gap = "greatest(lat_lo - a1, a0 - lat_hi, lon_lo - b1, b0 - lon_hi, 0D)"
-    return _prune(pairs, k).selectExpr(
+    return _prune(pairs, k, half).selectExpr(
         "qlevel", "qx", "qy", *GROUP, "reach",
-        f"sum(n) OVER ({Q}) <= {LIST_SIZE} AS leaf",
+        f"sum(n) OVER ({Q}) <= {leaf_limit(k)} AS leaf",
         f"min({gap}) OVER ({Q}) <= 2 * min(side) OVER ({Q}) "
         f"OR min(lat_lo = lat_hi AND lon_lo = lon_hi) OVER ({Q}) AS split",
     )
 
 
-def _listed(found: list[tuple[int, DataFrame]], points: DataFrame, k: int) -> DataFrame:
+def _listed(found: list[tuple[int, DataFrame]], points: DataFrame, k: int, half: float) -> DataFrame:
     """Model points of each cell, pruned once more as single positions."""
     located = [
         cells.select("qlevel", "qx", "qy", "nx", "ny", "reach").join(
-            points.selectExpr("*", f"{cell_sql('lat', lv)} AS nx", f"{cell_sql('lon_at', lv)} AS ny"),
+            points.selectExpr("*", f"{cell_sql('lat', lv, half)} AS nx", f"{cell_sql('lon_at', lv, half)} AS ny"),
             ["nx", "ny"],
         )
         for lv, cells in found
@@ -213,7 +229,7 @@ def _listed(found: list[tuple[int, DataFrame]], points: DataFrame, k: int) -> Da
         "*", "lat AS lat_lo", "lat AS lat_hi", "lon_at AS lon_lo", "lon_at AS lon_hi",
         "lat AS rep_lat", "lon_at AS rep_lon", "grid_id AS rep_id",
     )
-    return _prune(as_groups, k).select("qlevel", "qx", "qy", "grid_id", "lat", "lon", "lon_at", "value")
+    return _prune(as_groups, k, half).select("qlevel", "qx", "qy", "grid_id", "lat", "lon", "lon_at", "value")
 
 
 def build_index(
@@ -226,26 +242,24 @@ def build_index(
     if wrap and k > 1:
         raise ValueError("longitude wrap is offered for the single nearest point only")
     seen = Observation()
-    edges = [f"{f}({c}) AS {f}_{c}" for c in ("lat", "lon") for f in ("min", "max")]
+    edges = [f"{f}({c}) AS {f}_{c}" for c in ("lat", "lon", "lon_at") for f in ("min", "max")]
     points = materialise(model_points(grid, k, wrap).observe(seen, *[F.expr(e) for e in edges]), "points")
+    box = seen.get
     if domain is None:
-        box = seen.get
         domain = (
             min(WORLD[0], box["min_lat"] or 0.0), max(WORLD[1], box["max_lat"] or 0.0),
             min(WORLD[2], box["min_lon"] or 0.0), max(WORLD[3], box["max_lon"] or 0.0),
         )
-    if min(domain) < -HALF or max(domain) >= HALF:
-        raise ValueError(f"positions must lie in [-{HALF:g}, {HALF:g})")
-
+    half = plane_half(*domain, *[v for v in box.values() if v is not None])
     level = FIRST_LEVEL
-    pairs = _groups(points, level).selectExpr("*", f"inline({_first_cells(domain)}) AS (qx, qy)").selectExpr(
+    pairs = _groups(points, level, half).selectExpr("*", f"inline({_first_cells(domain, half)}) AS (qx, qy)").selectExpr(
         f"{level} AS qlevel", "*", "DOUBLE('Infinity') AS reach"
     )
     found, crowded = [], None
     while True:
         seen = Observation()
         decided = materialise(
-            _decide(pairs, k).observe(seen, F.expr("count_if(leaf) AS leaf"), F.expr("count_if(NOT leaf) AS open")),
+            _decide(pairs, k, half).observe(seen, F.expr("count_if(leaf) AS leaf"), F.expr("count_if(NOT leaf) AS open")),
             f"level{level}",
         )
         if seen.get["leaf"]:
@@ -254,7 +268,7 @@ def build_index(
             break
         if level + STRIDE > LAST_LEVEL:
             crowded = materialise(
-                _listed([(level, decided.where("NOT leaf"))], points, k).selectExpr(
+                _listed([(level, decided.where("NOT leaf"))], points, k, half).selectExpr(
                     f"{leaf_sql('qlevel', 'qx', 'qy')} AS leaf_id", "qlevel",
                     "struct(grid_id, lat, lon, lon_at, value) AS candidate",
                 ),
@@ -262,10 +276,10 @@ def build_index(
             )
             break
         level += STRIDE
-        pairs = _refine(decided.where("NOT leaf"), points, level, k, domain)
+        pairs = _refine(decided.where("NOT leaf"), points, level, k, domain, half)
 
     seen = Observation()
-    rows = _listed(found or [(level, decided.limit(0))], points, k)
+    rows = _listed(found or [(level, decided.limit(0))], points, k, half)
     leaves = materialise(
         rows.groupBy("qlevel", "qx", "qy")
         .agg(F.expr("collect_list(struct(grid_id, lat, lon, lon_at, value)) AS candidates"))
@@ -276,7 +290,7 @@ def build_index(
     levels = set(seen.get["levels"] or [])
     if crowded is not None:
         levels |= {r[0] for r in crowded.select("qlevel").distinct().collect()}  # one row per level
-    return NearestIndex(leaves.drop("qlevel"), crowded, sorted(levels), k, domain, grid)
+    return NearestIndex(leaves.drop("qlevel"), crowded, sorted(levels), k, domain, grid, half, wrap)
 
 
 def _hit(c: str, lat: str, lon: str) -> str:
@@ -300,16 +314,13 @@ def _in_domain(lat: Column, lon: Column, domain) -> Column:
     return lat.between(domain[0], domain[1]) & lon.between(domain[2], domain[3])
 
 
-def _spread(probes: DataFrame) -> DataFrame:
-    """Use every core on an input too small to fill them; a lookup costs more than a scan.
-
-    The size is the optimizer's estimate, so nothing runs for it. Larger inputs are left as they are.
-    """
-    spark = probes.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(probes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return probes.repartition(cores) if size < split * cores else probes
+def position(index: NearestIndex, lat: str, lon: str) -> tuple[Column, Column]:
+    """Where a probe is looked up: an index that wraps sees every longitude within one turn."""
+    lon_at = F.col(lon).cast("double")
+    if index.wrap:
+        inside = lon_at.between(-180.0, 180.0)
+        lon_at = F.when(inside, lon_at).otherwise(F.pmod(lon_at + 180.0, F.lit(360.0)) - 180.0)
+    return F.col(lat).cast("double"), lon_at
 
 
 def nearest_hits(probes: DataFrame, index: NearestIndex, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -318,9 +329,10 @@ def nearest_hits(probes: DataFrame, index: NearestIndex, lat: str = "lat", lon:
     A probe without a usable position, or outside the index domain, keeps null hits.
     """
     names = probes.columns
-    placed = _spread(probes).withColumns({"_lat": F.col(lat).cast("double"), "_lon": F.col(lon).cast("double")})
+    at = position(index, lat, lon)
+    placed = probes.withColumns({"_lat": at[0], "_lon": at[1]})
     inside = _usable(F.col("_lat"), F.col("_lon")) & _in_domain(F.col("_lat"), F.col("_lon"), index.domain)
-    keys = [leaf_sql(lv, cell_sql("_lat", lv), cell_sql("_lon", lv)) for lv in index.levels]
+    keys = [leaf_sql(lv, cell_sql("_lat", lv, index.half), cell_sql("_lon", lv, index.half)) for lv in index.levels]
     placed = placed.withColumn("_in", inside)
     leaves = index.leaves.withColumnRenamed("leaf_id", "_leaf")
     if len(keys) == 1:
@@ -363,14 +375,14 @@ def _with_crowded(located: DataFrame, leaves: DataFrame, index: NearestIndex, na
 
 def lookup(probes: DataFrame, index: NearestIndex, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """``nearest_hits`` for any finite position, also outside the domain of the index."""
-    at = (F.col(lat).cast("double"), F.col(lon).cast("double"))
+    at = position(index, lat, lon)
     away = _usable(*at) & ~_in_domain(*at, index.domain)
     edge = probes.where(away).agg(
         F.min(at[0]).alias("a"), F.max(at[0]).alias("b"), F.min(at[1]).alias("c"), F.max(at[1]).alias("d")
     ).first()
     if edge["a"] is None:
         return nearest_hits(probes, index, lat, lon)
-    wider = build_index(index.points, index.k, (edge["a"], edge["b"], edge["c"], edge["d"]))
+    wider = build_index(index.points, index.k, (edge["a"], edge["b"], edge["c"], edge["d"]), index.wrap)
     near = nearest_hits(probes.where(~away), index, lat, lon)
     return near.unionByName(nearest_hits(probes.where(away), wider, lat, lon))
 

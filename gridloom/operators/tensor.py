@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.coords import finite, lon_0_360, no_nan, number
+from gridloom.functions.coords import finite, is_surface, lon_0_360, no_nan, number
 from gridloom.functions.weather import restore, standardise
 from gridloom.operators.channels import tag_channels
-from gridloom.operators.extract import normalise_level
+from gridloom.operators.extract import ContractError, normalise_level
 from gridloom.schema import MODEL_CHANNELS, MODEL_GRID, GridSpec, layout_table
 from gridloom.operators.validate import keep_policy_rows
 
@@ -150,7 +150,11 @@ def grid_extras(df: DataFrame, *keys: str, spec: GridSpec = MODEL_GRID, channels
 
 
 def grouped_tensor_rows(df: DataFrame, *keys: str, spec: GridSpec = MODEL_GRID) -> DataFrame:
-    """Row-tensors of the surface/upper layout, on each step's own latitudes."""
+    """Row-tensors of the surface/upper layout, on each step's own latitudes.
+
+    Null, NaN and zero levels are the surface. ``values`` has a place for every target longitude, null where no number was found, and ``complete``
+    tells whether there is none.
+    """
     layout = layout_table(df.sparkSession).select(
         "group", "var_index", "level_index",
         F.col("variable").alias("_name"), F.col("level").alias("_ref"),
@@ -158,16 +162,23 @@ def grouped_tensor_rows(df: DataFrame, *keys: str, spec: GridSpec = MODEL_GRID)
     tidy = normalise_level(df)
     rows = tidy.join(
         F.broadcast(layout),
-        (F.lower("variable") == F.col("_name")) & F.col("isobaricInhPa").eqNullSafe(F.col("_ref")),
+        (F.lower("variable") == F.col("_name"))
+        & F.when(F.col("_ref").isNull(), is_surface(F.col("isobaricInhPa"))).otherwise(F.col("isobaricInhPa") == F.col("_ref")),
     )
     place = [*keys, "group", "var_index", "level_index", "latitude", "lon_index"]
     points = rows.withColumn("lon_index", lon_position(F.col("longitude"), spec)).where(
         F.col("lon_index").isNotNull()
-    ).groupBy(*place).agg(F.max("value").alias("value"))  # a repeated point must not grow an array
-    ordered = F.array_sort(F.collect_list(F.struct("lon_index", "value")))
-    return points.groupBy(*[c for c in place if c != "lon_index"]).agg(
-        F.transform(ordered, lambda e: e["value"]).alias("values")
+    ).groupBy(*place).agg(F.max(no_nan(F.col("value"))).alias("value"))  # a repeated point must not grow an array
+    full = F.sequence(F.lit(0), F.lit(spec.lon_count - 1))
+    found = points.groupBy(*[c for c in place if c != "lon_index"]).agg(
+        F.collect_list(F.struct("lon_index", "value")).alias("_found")
     )
+    gaps = F.transform(
+        F.array_except(full, F.transform("_found", lambda e: e["lon_index"])),
+        lambda i: F.struct(i.alias("lon_index"), F.lit(None).cast(df.schema["value"].dataType).alias("value")),
+    )
+    filled = found.withColumn("values", F.transform(F.array_sort(F.concat("_found", gaps)), lambda e: e["value"]))
+    return filled.drop("_found").withColumn("complete", ~F.exists("values", lambda v: v.isNull()))
 
 
 def statistics_columns(column: str) -> list:
@@ -194,11 +205,29 @@ def tensor_statistics(rows: DataFrame, *keys: str) -> DataFrame:
     return value_statistics(rows.select(*keys, F.explode("values").alias("value")), *keys)
 
 
+def statistics_fault(stats: DataFrame, channels: int = 20) -> str | None:
+    """What is wrong with a statistics table: it must hold mean and deviation of channels 0 to ``channels - 1``, once each."""
+    wanted = F.col("channel_index").between(0, channels - 1)
+    usable = wanted & F.col("mean").isNotNull() & F.col("std").isNotNull()
+    seen = stats.agg(
+        F.count_if(wanted).alias("rows"), F.count_distinct(F.when(usable, F.col("channel_index"))).alias("channels")
+    ).first()
+    if seen["rows"] == seen["channels"] == channels:
+        return None
+    return f"statistics need one row for each of {channels} channels, got {seen['rows']} rows for {seen['channels']} channels"
+
+
 def _with_channel_stats(rows: DataFrame, stats: DataFrame, channels: int) -> DataFrame:
-    picked = stats.where(F.col("channel_index") < channels).select(
+    """Every row with its channel's statistics; a faulty table and a channel beyond it are refused."""
+    fault = statistics_fault(stats, channels)
+    if fault:
+        raise ContractError(fault)
+    picked = stats.where(F.col("channel_index").between(0, channels - 1)).select(
         "channel_index", F.col("mean").cast("double").alias("_mean"), F.col("std").cast("double").alias("_std")
     )
-    return rows.join(F.broadcast(picked), "channel_index")  # at most `channels` rows
+    unknown = F.raise_error(F.concat(F.lit("no statistics for channel "), F.col("channel_index").cast("string")))
+    joined = rows.join(F.broadcast(picked), "channel_index", "left")  # exactly `channels` rows
+    return joined.withColumn("_mean", F.coalesce("_mean", unknown.cast("double")))
 
 
 def normalise_rows(rows: DataFrame, stats: DataFrame, channels: int = 20) -> DataFrame:

@@ -43,7 +43,3 @@ def hooked_handler(
             yield render(batch, predict(parse(batch[column]), loaded))
 
     return requests.mapInPandas(run, output_schema)
-
-
-def read_config(overrides: dict | None = None) -> dict[str, float]:
-    return classifier_config(overrides)

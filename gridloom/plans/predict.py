@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,24 +109,32 @@ class BatchModelPredictor:
 
 def load_predictor(
     spark: SparkSession, model_path: str | None, model_name: str = "knn_baseline",
-    model_version: str = "v1", k: int = 1,
+    model_version: str = "v1", k: int | None = None,
 ) -> Predictor:
     """Grid predictor of a stored model table, or the mock one if there is none.
 
-    With the mock the given name and version no longer apply, so partitions carry its own.
+    With the mock the given name and version no longer apply, so partitions carry its own. A trained table is served with the
+    number of neighbours stored in it, unless ``k`` says otherwise.
     """
     if model_path is None:
         return MockPredictor()
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(model_path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return MockPredictor()
-    model = spark.read.parquet(model_path)
+    try:
+        model = spark.read.parquet(model_path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return MockPredictor()
+        raise
     verdict = model_table_faults(model).first()
     if not verdict["ok"]:
         raise ContractError(f"model table is not usable: {verdict.asDict()}")
     nearest = build_index(model)
-    regression = build_index(model.where("for_training"), k) if "for_training" in model.columns else None
+    if "for_training" not in model.columns:
+        return GridPredictor(nearest, None, model_name, model_version)
+    if k is None:
+        if "n_neighbors" not in model.columns:
+            raise ContractError("a trained model table without n_neighbors needs k")
+        k = model.agg(F.max("n_neighbors")).first()[0]
+    regression = build_index(model.where("for_training"), k)
     return GridPredictor(nearest, regression, model_name, model_version)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.tensor import (
-    denormalise_rows, normalise_rows, shape_verdict, statistics_columns, tensor_statistics,
+    denormalise_rows, normalise_rows, shape_verdict, statistics_columns, statistics_fault, tensor_statistics,
 )
 from gridloom.schema import GUARD_ELEMENTS
 from gridloom.session import materialise
@@ -53,6 +53,11 @@ def request_plan(requests: DataFrame, profiles: DataFrame, grid=(20, 720, 1440))
     ).drop("_found")
 
 
+def named_tensors(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the tensors in ``wanted.tensor_uri``."""
+    return rows.join(wanted.select("tensor_uri").distinct(), "tensor_uri", "left_semi")
+
+
 def forward_statistics(
     rows: DataFrame, wanted: DataFrame, stats: DataFrame, model: RowModel, channels: int = 20
 ) -> DataFrame:
@@ -60,7 +65,7 @@ def forward_statistics(
 
     ``model`` maps row-tensors to row-tensors and owns its own distribution.
     """
-    picked = rows.join(wanted.select("tensor_uri").distinct(), "tensor_uri", "left_semi")
+    picked = named_tensors(rows, wanted)
     output = denormalise_rows(model(normalise_rows(picked, stats, channels)), stats, channels)
     return tensor_statistics(output, "tensor_uri")
 
@@ -71,29 +76,39 @@ def request_reports(
 ) -> DataFrame:
     """One report per request line; no request can fail the job.
 
-    Statistics are made per tensor and joined to the requests, so a popular tensor is read once.
+    Only tensors that a request names are profiled, once each. The model sees the tensors of accepted forward requests alone: found, without a parse error, inside the
+    guard and of the right shape. If it fails, or the statistics do not hold each channel once, the reports of those requests say so.
     """
-    plan = request_plan(requests, tensor_profiles(rows), grid)
+    named = requests.where(F.col("error").isNull()).select(F.col("input_s3_uri").alias("tensor_uri"))
+    plan = request_plan(requests, tensor_profiles(named_tensors(rows, named)), grid)
+    plan = plan.withColumn("fault", F.lit(None).cast("string"))
     if model is None:
         plan = plan.withColumn("output_stats", F.lit(None).cast(plan.schema["input_tensor"].dataType))
         missing_model = F.lit("model_not_available")
     else:
-        ready = requests.where("mode = 'forward' AND error IS NULL").select(
-            F.col("input_s3_uri").alias("tensor_uri")
-        )
-        outputs = materialise(
-            forward_statistics(rows, ready, stats, model, grid[0]).select(
-                F.col("tensor_uri").alias("input_s3_uri"), F.struct(*STATS).alias("output_stats")
-            ),
-            "outputs",
-        )
-        plan = plan.join(outputs, "input_s3_uri", "left")
+        accepted = (F.col("mode") == "forward") & F.col("error").isNull() & F.col("found") & F.col("forward_reason").isNull()
+        ready = materialise(plan.where(accepted).select(F.col("input_s3_uri").alias("tensor_uri")).distinct(), "accepted")
+        nothing = F.lit(None).cast(plan.schema["input_tensor"].dataType)
         missing_model = F.lit(None).cast("string")
+        if fault := statistics_fault(stats, grid[0]):
+            plan = plan.withColumns({"output_stats": nothing, "fault": F.when(accepted, F.lit(fault))})
+        else:
+            try:
+                outputs = materialise(
+                    forward_statistics(rows, ready, stats, model, grid[0]).select(
+                        F.col("tensor_uri").alias("input_s3_uri"), F.struct(*STATS).alias("output_stats")
+                    ),
+                    "outputs",
+                )
+                plan = plan.join(outputs, "input_s3_uri", "left")
+            except Exception:  # whatever a model raises belongs to the report
+                plan = plan.withColumn("output_stats", nothing)
+                missing_model = F.lit("forward_execution_failed")
     reason = F.when(
         (F.col("mode") == "forward") & F.col("found") & F.col("error").isNull(),
         F.coalesce("forward_reason", missing_model),
     )
-    bad_request = F.col("error").isNotNull()
+    bad_request = F.col("error").isNotNull() | F.col("fault").isNotNull()
     failed = ~F.col("found") | bad_request
     ok = ~failed & F.when(F.col("mode") == "forward", reason.isNull()).otherwise(True)
     result = (
@@ -102,7 +117,7 @@ def request_reports(
         .when(ok, "forward_succeeded").otherwise("forward_failed")
     )
     message = F.coalesce(
-        "error",
+        "error", "fault",
         F.when(F.col("input_s3_uri") == "", "No tensor provided")
         .when(~F.col("found"), F.concat(F.lit("tensor not found: "), "input_s3_uri")),
     )

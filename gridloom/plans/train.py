@@ -51,10 +51,10 @@ def is_validation(grid_id="grid_id"):
 def train_knn(model: DataFrame, k: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
     """The model table marked for training, and its one-row metrics.
 
-    Every position stays in the table. The estimator only sees the training rows.
+    Every position stays in the table, with the number of neighbours that a server of it must use. The estimator only sees the training rows.
     """
     require_rows(model, "training table")
-    marked = model.withColumn("for_training", ~is_validation())
+    marked = model.withColumns({"for_training": ~is_validation(), "n_neighbors": F.lit(k)})
     index = build_index(marked.where("for_training"), k)
     scored = knn_regression(marked.where(~F.col("for_training")), index)
     error = root_mean_square_error(scored, "value", "predicted_value")

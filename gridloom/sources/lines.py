@@ -13,29 +13,35 @@ from gridloom.session import materialise
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 1-based number over all files of ``path`` in name order.
+    """Lines with their 1-based number over all files of ``path``: by folder, part number and name.
 
-    Every file split numbers its own lines. One small row per split shifts them, so the text is
-    never sorted or brought into one task.
+    The text is scanned once and written with the number that each task gave its lines, so the offsets of the file splits, one small row each,
+    belong to the same cut of the files. A split without an offset stops the job.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"),
+    lines = materialise(
+        spark.read.text(path).select(
+            "value",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_seq"),
+        ),
+        "lines",
     )
     splits = lines.groupBy("_file", "_start").agg(
         F.count("*").alias("_size"), F.min("_seq").alias("_base")
     )
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract("_file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    folder = F.regexp_extract("_file", r"^(.*)/[^/]*$", 1)
+    before = Window.orderBy("_folder", "_part", "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(
-        splits.select(
+        splits.withColumns({"_part": part, "_folder": folder}).select(
             "_file", "_start", "_base", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
         ),
         "splits",
     )
-    return lines.join(offsets, ["_file", "_start"]).select(
-        (F.col("_seq") - F.col("_base") + F.col("_before") + 1).alias("row_number"),
+    number = F.col("_seq") - F.col("_base") + F.col("_before") + 1
+    return lines.join(offsets, ["_file", "_start"], "left").select(
+        F.coalesce(number, F.raise_error(F.lit("a file split has no offset")).cast("long")).alias("row_number"),
         F.col("value").alias("line"),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.coords import partition_date, run_suffixed
 from gridloom.functions.text import score_text
 from gridloom.operators.melt import dataset_name
-from gridloom.operators.ordinal import with_ordinal
+from gridloom.operators.extract import require_rows
 from gridloom.schema import (
     PREDICTION_OPTIONAL, PREDICTION_PARTITIONS, PREDICTION_REQUIRED, prediction_schema,
 )
@@ -90,17 +90,23 @@ def write_scores(df: DataFrame, path: str, order: str = "row_number") -> str:
 
 
 def write_training(df: DataFrame, path: str, dataset: str) -> DataFrame:
-    """Training CSV plus its one-row metadata, counted from what was written."""
+    """``train.csv`` and ``metadata.json`` below ``path``; the one-row metadata is counted from what was written.
+
+    An empty table stops before anything is written.
+    """
     columns = ["latitude", "longitude", "value"]
-    rows = df.select(*columns).dropna()
-    rows.write.mode("error").option("header", True).csv(path)
+    rows = require_rows(df.select(*columns).dropna(), "training table")
+    where = f"{path}/train.csv"
+    rows.write.mode("error").option("header", True).csv(where)
     written = df.sparkSession.read.option("header", True).schema(
         "latitude DOUBLE, longitude DOUBLE, value DOUBLE"
-    ).csv(path)
-    return written.agg(F.count("*").alias("row_count")).select(
+    ).csv(where)
+    record = written.agg(F.count("*").alias("row_count")).select(
         F.lit(dataset).alias("dataset_name"), "row_count",
-        F.array(*[F.lit(c) for c in columns]).alias("columns"), F.lit(path).alias("source_csv"),
+        F.array(*[F.lit(c) for c in columns]).alias("columns"), F.lit(where).alias("source_csv"),
     )
+    record.coalesce(1).write.mode("error").json(f"{path}/metadata.json")
+    return record
 
 
 def write_zone_map(zones: DataFrame, path: str) -> str:
@@ -132,8 +138,3 @@ def inspect_predictions(df: DataFrame, limit: int = 50, **partition: str) -> Dat
         )
         .orderBy("latitude", "longitude", "prediction_id").limit(limit).drop("prediction_id")
     )
-
-
-def keep_order(df: DataFrame, *order: str) -> DataFrame:
-    """Number rows by ``order`` so that a later sink can restore it."""
-    return with_ordinal(df, *order, name="row_number")
