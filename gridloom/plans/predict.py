@@ -17,6 +17,7 @@ from gridloom.functions.weather import mock_temperature
 from gridloom.operators.extract import ContractError
 from gridloom.operators.nearest import NearestIndex, build_index, lookup, DISTANCE_WEIGHTED
 from gridloom.operators.contract import model_table_faults
+from gridloom.session import materialise
 from gridloom.schema import PREDICTION_OPTIONAL, PREDICTION_PARTITIONS, PREDICTION_REQUIRED
 
 
@@ -73,6 +74,7 @@ class GridPredictor:
         )
         if self.regression is None:
             return found
+        found = materialise(found, "found")  # the second lookup asks for the range of its probes before it joins
         return lookup(found, self.regression, "latitude", "longitude").selectExpr(
             *names, f"{DISTANCE_WEIGHTED} AS predicted_value", "lat_grid", "lon_grid"
         )

@@ -76,6 +76,15 @@ def tensor_publisher(
     return handle
 
 
+def published_tensors(spark: SparkSession, report_path: str, tensor_path: str, *keys: str) -> DataFrame:
+    """Row-tensors of the steps whose newest report says that they are written.
+
+    A step that turned bad keeps its old folder until a rerun replaces it; this is the reader that does not see it.
+    """
+    good = spark.read.parquet(report_path).where("tensor_write_reason = 'written'").select(*keys).distinct()
+    return spark.read.parquet(tensor_path).join(good, list(keys), "left_semi")
+
+
 def score_arrivals(spark: SparkSession, landing: str, target: str, log: str, config: dict | None = None) -> StreamingQuery:
     """Classifier scores of newly landed points; stateless, so append mode needs no watermark."""
     points = arrivals(spark, landing, "event_id BIGINT, lat DOUBLE, lon DOUBLE, t2m DOUBLE")

@@ -63,11 +63,18 @@ def _(v):
     return L.read_numbered_lines(v.spark, written_lines(v, v.csv_lines, "event_id", "line"))
 
 
-@query("s4_training_csv")
+@query("s4_training_csv", "SELECT latitude, longitude, round(CAST(CAST(value AS STRING) AS DOUBLE), 3) AS value FROM @forecast WHERE variable = 't' AND isobaricInhPa = 850")
 def _(v):
     path = scratch_path(v.spark, "train")
-    K.write_training(snapshot(v.forecast, "t", 850.0), path, "grid_t850")
-    return S.read_training_csv(v.spark, path)
+    K.write_training(snapshot(v.forecast, "t", 850.0).repartition(4), path, "grid_t850")
+    return S.read_training_csv(v.spark, path).withColumn("value", F.round("value", 3))
+
+
+@query("s7_catalog_plain_hours", """
+SELECT latitude, longitude, CAST(value AS DOUBLE) AS value FROM @forecast WHERE variable = 't' AND isobaricInhPa = 850 AND hour = '18z'""")
+def _(v):
+    v.forecast.withColumn("hour", F.lit("18")).createOrReplaceTempView("gl_catalog_plain_hours")
+    return double_value(S.catalog_snapshot(v.spark, "gl_catalog_plain_hours", "2026", "04", "09", "18z", level=850.0))
 
 
 @query("s7_catalog_snapshot", """
@@ -79,8 +86,9 @@ def _(v):
 
 @query("s8_step_files", f"SELECT date, run, step, variable, count(*) AS n FROM @forecast_runs GROUP BY ALL")
 def _(v):
-    path = K.write_tidy(v.forecast_runs, scratch_path(v.spark, "tidy"), "step")
-    rows = v.spark.read.schema(TIDY_BODY + ", year STRING, month STRING, day STRING, hour STRING, step INT").parquet(path)
+    target, log = scratch_path(v.spark, "stream"), scratch_path(v.spark, "log")
+    ingest.ingest_tidy(v.spark, land(v, v.forecast_runs, "step"), target, log, "step INT", ("step",)).awaitTermination()
+    rows = v.spark.read.schema(TIDY_BODY + ", year STRING, month STRING, day STRING, hour STRING, step INT").parquet(target)
     return rows.groupBy("date", "run", "step", "variable").agg(F.count("*").alias("n"))
 
 
@@ -139,18 +147,25 @@ def _(v):
         F.max("variable_max").alias("variable_max"), F.min(F.col("latitude_min").cast("double")).alias("lat_min"))
 
 
-@query("a14_zone_map")
+BOUNDS = ["variable", "isobaricInhPa", "latitude", "longitude"]
+
+
+@query("a14_zone_map", f"SELECT count(*) AS n_rows, {', '.join(f'{f}({c}) AS {c}_{f}' for c in BOUNDS for f in ('min', 'max'))} FROM @forecast")
 def _(v):
     path = K.write_tidy(v.forecast, scratch_path(v.spark, "tidy"))
-    return profile.zone_map(v.spark.read.parquet(path))
+    zones = profile.zone_map(v.spark.read.parquet(path))
+    return zones.agg(F.sum("n_rows").alias("n_rows"), *[
+        f(f"{c}_{n}").alias(f"{c}_{n}") for c in BOUNDS for n, f in (("min", F.min), ("max", F.max))])
 
 
-@query("a22_asset_inventory")
+@query("a22_asset_inventory", "SELECT count(DISTINCT tensor_uri) AS folders, true AS ok FROM @tensor_points")
 def _(v):
     path = K.write_row_tensors(tensor_table(v), scratch_path(v.spark, "tensors"), "tensor_uri")
     assets = contract.asset_inventory(v.spark, path, "*.parquet")
-    checks = assets.select((F.length("sha256") == 64).alias("passed"))
-    return contract.inventory_verdict(assets, checks)
+    checks = assets.select((F.col("sha256").rlike("^[0-9a-f]{64}$") & (F.col("size_bytes") > 0)).alias("passed"))
+    folders = assets.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count_distinct("folder").alias("folders"))
+    verdict = contract.inventory_verdict(assets, checks).select("ok", "files")
+    return folders.join(verdict, F.col("files") >= F.col("folders")).select("folders", "ok")
 
 
 REQUESTS = """rq AS (SELECT event_id, 's3://bucket/step' || CAST(event_id % 7 AS STRING) || '/t.npy' AS tensor_uri,
@@ -239,7 +254,7 @@ def _(v):
     ingest.ingest_tidy(v.spark, landing, target, log, "step INT", ("step",)).awaitTermination()
     handler = ingest.tensor_publisher(target, reports, tensors, "step", spec=SPARSE, extra="step INT")
     ingest.validate_arrivals(v.spark, landing, log2, handler, "step INT").awaitTermination()
-    sizes = v.spark.read.parquet(tensors).groupBy("step").agg(F.sum(F.size("values")).alias("elements"))
+    sizes = ingest.published_tensors(v.spark, reports, tensors, "step").groupBy("step").agg(F.sum(F.size("values")).alias("elements"))
     return v.spark.read.parquet(reports).select("step", "tensor_write_reason").join(sizes, "step", "left")
 
 

@@ -63,6 +63,44 @@ def _(v):
     return hits.select("event_id", F.posexplode("hits").alias("place", "hit")).select("event_id", "place", "hit.grid_id")
 
 
+MOVED = "moved AS (SELECT event_id, lat * 7 AS lat, lon * 4 AS lon FROM @probes)"
+
+
+@query("j1_far_probes", f"""WITH {GRID}, {MOVED}, near AS (SELECT p.event_id, g.grid_id,
+  row_number() OVER (PARTITION BY p.event_id ORDER BY {D2}, g.grid_id) AS rn FROM moved p, grid g) SELECT event_id, grid_id FROM near WHERE rn = 1""")
+def _(v):
+    moved = v.probes.select("event_id", (F.col("lat") * 7).alias("lat"), (F.col("lon") * 4).alias("lon"))
+    return nearest_point(moved, build_index(v.model_grid)).select("event_id", "grid_id")
+
+
+@query("j1_far_wrapped", f"""WITH {GRID}, moved AS (SELECT event_id, lat, CAST(round(lon) AS BIGINT) * 3 AS lon FROM @probes),
+  turned AS (SELECT event_id, lat, CAST(((lon + 180) % 360 + 360) % 360 - 180 AS DOUBLE) AS lon FROM moved),
+  near AS (SELECT p.event_id, g.grid_id, row_number() OVER (PARTITION BY p.event_id ORDER BY
+  (p.lat - g.lat) * (p.lat - g.lat) + least(abs(p.lon - g.lon), 360 - abs(p.lon - g.lon)) * least(abs(p.lon - g.lon), 360 - abs(p.lon - g.lon)), g.grid_id) AS rn
+  FROM turned p, grid g) SELECT event_id, grid_id FROM near WHERE rn = 1""")
+def _(v):
+    moved = v.probes.select("event_id", "lat", (F.round("lon") * 3).alias("lon"))
+    return nearest_point(moved, build_index(v.model_grid, wrap=True)).select("event_id", "grid_id")
+
+
+@query("j1_hot_place", f"""WITH {GRID}, hot AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 10.5 ELSE lat END AS lat, CASE WHEN event_id % 3 = 0 THEN 20.5 ELSE lon END AS lon FROM @probes),
+  near AS (SELECT p.event_id, g.grid_id, row_number() OVER (PARTITION BY p.event_id ORDER BY {D2}, g.grid_id) AS rn FROM hot p, grid g) SELECT event_id, grid_id FROM near WHERE rn = 1""")
+def _(v):
+    third = F.col("event_id") % 3 == 0
+    hot = v.probes.select("event_id", *[F.when(third, F.lit(x)).otherwise(F.col(c)).alias(c) for c, x in (("lat", 10.5), ("lon", 20.5))])
+    return nearest_point(hot, build_index(v.model_grid)).select("event_id", "grid_id")
+
+
+@query("j2_many_neighbours", f"""WITH {GRID}, near AS (SELECT p.event_id, g.grid_id,
+  row_number() OVER (PARTITION BY p.event_id ORDER BY {D2}, g.grid_id) AS rn FROM @probes p, grid g)
+SELECT event_id, count(*) AS hits, CAST(sum(rn * grid_id) AS BIGINT) AS ids FROM near WHERE rn <= 80 GROUP BY 1""")
+def _(v):
+    from gridloom.operators.nearest import lookup
+    hits = lookup(v.probes, build_index(v.model_grid, k=80)).select("event_id", F.posexplode("hits").alias("place", "hit"))
+    return hits.groupBy("event_id").agg(
+        F.count("*").alias("hits"), F.sum((F.col("place") + 1) * F.col("hit.grid_id")).cast("long").alias("ids"))
+
+
 SOURCE = dict(
     timestamp_utc="2026-04-09T18:00:00+00:00", source_database="lake", source_table="forecast",
     year="2026", month="04", day="09", hour="18",
@@ -181,6 +219,17 @@ def _(v):
     return metrics.withColumn("rmse", F.round("rmse", 6))
 
 
+@query("m5_served_knn", f"""WITH {GRID}, tr AS (SELECT * FROM grid WHERE (grid_id * 7919 + 42) % 10 <> 0), near AS (SELECT p.event_id, g.value, {D2} AS d2,
+  row_number() OVER (PARTITION BY p.event_id ORDER BY {D2}, g.grid_id) AS rn FROM @probes p, tr g)
+SELECT event_id, round({KNN}, 6) AS predicted_value FROM near WHERE rn <= 4 GROUP BY 1""")
+def _(v):
+    model, _metrics = train_knn(v.model_grid)
+    path = scratch_path(v.spark, "model")
+    model.write.parquet(path)
+    served = load_predictor(v.spark, path).apply(named(v))
+    return served.select("event_id", F.round("predicted_value", 6).alias("predicted_value"))
+
+
 @query("a13_holdout_rmse", f"""WITH {TRAIN} SELECT count(*) AS rows, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse FROM pred""")
 def _(v):
     from gridloom.operators.profile import root_mean_square_error
@@ -200,7 +249,7 @@ def _(v):
 def _(v):
     path = scratch_path(v.spark, "train")
     write_training(snapshot(v.forecast, "t", 850.0), path, "grid_t850")
-    rows = v.spark.read.option("header", True).schema("latitude DOUBLE, longitude DOUBLE, value DOUBLE").csv(path)
+    rows = v.spark.read.option("header", True).schema("latitude DOUBLE, longitude DOUBLE, value DOUBLE").csv(f"{path}/train.csv")
     return rows.withColumn("value", F.round("value", 3))
 
 

@@ -118,9 +118,11 @@ def _(v):
     return profile.level_counts(v.forecast_dirty)
 
 
-@query("a2_level_counts_sketch")
+@query("a2_level_counts_sketch", "SELECT variable, true AS within_bound FROM @forecast_dirty GROUP BY 1")
 def _(v):
-    return profile.level_counts_approx(v.forecast_dirty)
+    exact = profile.level_counts(v.forecast_dirty).withColumnRenamed("level_count", "exact")
+    sketch = profile.level_counts_approx(v.forecast_dirty).join(exact, "variable")
+    return sketch.select("variable", (F.abs(F.col("level_count") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within_bound"))
 
 
 @query("a3_level_lists", """
