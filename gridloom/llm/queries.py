@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, exact_dedup, license_scan, line_dedup, packing, quality_rules, sentencepiece_lattice, simhash, site_quality, token_counts
+from gridloom.llm import (
+    chat_format, exact_dedup, license_scan, line_dedup, oracles, packing, quality_rules, sentencepiece_lattice, simhash, site_quality, token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +41,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
-@query("op2_license_scan")
+@query("op2_license_scan", oracles.LICENSE_SCAN)
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_scan(table(spark, folder, "documents"))
 
@@ -50,7 +52,7 @@ def op3_site_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("row_key")
 
 
-@query("op4_line_dedup")
+@query("op4_line_dedup", oracles.LINE_DEDUP)
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = line_dedup.line_dedup(table(spark, folder, "documents"), least_words=50)
     return docs.select(
@@ -64,7 +66,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.drop("ids")
 
 
-@query("op6_chat_format")
+@query("op6_chat_format", oracles.CHAT_FORMAT)
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame(
@@ -74,17 +76,12 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows))
 
 
-@query("op7_exact_dedup", """
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
-  SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, sha256(t) AS text_sha256
-  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-  WINDOW w AS (PARTITION BY t))
-""")
+@query("op7_exact_dedup", oracles.EXACT_DEDUP)
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", oracles.QUALITY_RULES)
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, folder, "documents"))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
