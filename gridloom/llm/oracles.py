@@ -23,7 +23,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
 LICENSE_SCAN = f"""
 WITH t(template, text) AS (VALUES {', '.join(f'({_text(k)}, {_text(v)})' for k, v in ls.TEMPLATES.items())}),
  tw AS (SELECT template, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM t),
- tb AS (SELECT template, len(ws) - 1 AS size, unnest(list_transform(range(1, len(ws)), k -> ws[k] || ' ' || ws[k + 1])) AS bigram FROM tw),
+ tb AS (SELECT template, len(ws) - 1 AS size, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS bigram FROM tw),
  tg AS (SELECT template, size, bigram, count(*) AS held FROM tb GROUP BY ALL),
  l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
  w AS (SELECT doc_id, i, regexp_extract_all(lower(line), '[a-z0-9]+') AS ws FROM l),
@@ -31,7 +31,7 @@ WITH t(template, text) AS (VALUES {', '.join(f'({_text(k)}, {_text(v)})' for k,
  b AS (SELECT doc_id, block, count(*) AS n, flatten(list(ws ORDER BY i)) AS ws FROM s GROUP BY 1, 2),
  u AS (SELECT doc_id, 'line' || i AS unit, ws FROM s UNION ALL SELECT doc_id, 'block' || block, ws FROM b WHERE n > 1
        UNION ALL SELECT doc_id, 'text', flatten(list(ws ORDER BY block)) FROM b GROUP BY doc_id HAVING count(*) > 1),
- g AS (SELECT doc_id, unit, len(ws) - 1 AS own, unnest(list_transform(range(1, len(ws)), k -> ws[k] || ' ' || ws[k + 1])) AS bigram FROM u WHERE len(ws) > 1),
+ g AS (SELECT doc_id, unit, len(ws) - 1 AS own, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS bigram FROM u WHERE len(ws) > 1),
  c AS (SELECT doc_id, unit, own, bigram, count(*) AS n FROM g GROUP BY ALL),
  d AS (SELECT doc_id, unit, template, CAST(2 AS DOUBLE) * sum(least(n, held)) / (own + size) AS dice FROM c JOIN tg USING (bigram) GROUP BY doc_id, unit, own, template, size)
 SELECT doc_id, template, count(*) AS passages, max(dice) AS dice FROM d WHERE dice >= {ls.LEAST_DICE} GROUP BY 1, 2
@@ -83,18 +83,18 @@ def _classes(text: str) -> str:
 def _distance(p: str, q: str) -> str:
     part = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
     one, two = part.format("z[1]", "z[2]"), part.format("z[2]", "z[1]")
-    return f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), z -> {one} + {two})) / 2))"
+    return f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {one} + {two})) / 2))"
 
 
 QUALITY_RULES = rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
  w AS (SELECT doc_id, lang, text, regexp_extract_all(text, '{_WORD}') AS ws FROM d),
- g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), k -> ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2])) AS gram FROM w),
+ g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2])) AS gram FROM w),
  r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g), (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY 1),
- base AS (SELECT w.doc_id, lang, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+ base AS (SELECT w.doc_id, lang, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-   len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_WORD}')))
-     - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_WORD}')))) AS n_dup_lines,
+   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))
+     - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))) AS n_dup_lines,
    coalesce(r.n, 0) AS n_repeat_words, {_classes('text')} AS chars FROM w LEFT JOIN r USING (doc_id)),
  cnt AS (SELECT lang, unnest(ws) AS word, count(*) AS n FROM w GROUP BY 1, 2),
  wide AS (SELECT lang, word, n FROM cnt UNION ALL SELECT '*', word, sum(n) FROM cnt GROUP BY 2),
@@ -105,10 +105,10 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text
  ref_words AS (SELECT lang, list(word ORDER BY k) AS common, list(n / words ORDER BY k) AS shares FROM top JOIN tot USING (lang) GROUP BY 1),
  ref AS (SELECT lang, common, shares, ref_chars, words FROM tot JOIN ref_chars USING (lang) JOIN ref_words USING (lang)),
  placed AS (SELECT base.*, coalesce(own.lang, '*') AS ref FROM base LEFT JOIN ref own ON own.lang = base.lang AND own.words >= {qr.LEAST_REFERENCE} AND own.lang <> '*'),
- hits AS (SELECT placed.*, ref_chars, shares, list_transform(common, c -> len(list_filter(ws, x -> x = c)) / CAST(greatest(n_words, 1) AS DOUBLE)) AS bins
+ hits AS (SELECT placed.*, ref_chars, shares, list_transform(common, lambda c: len(list_filter(ws, lambda x: x = c)) / CAST(greatest(n_words, 1) AS DOUBLE)) AS bins
           FROM placed JOIN ref ON ref.lang = placed.ref),
  far AS (SELECT *,
-   CASE WHEN word_chars >= {qr.LEAST_CHARS} THEN {_distance('list_transform(chars, c -> c / CAST(word_chars AS DOUBLE))', 'ref_chars')} ELSE 0 END AS char_distance,
+   CASE WHEN word_chars >= {qr.LEAST_CHARS} THEN {_distance('list_transform(chars, lambda c: c / CAST(word_chars AS DOUBLE))', 'ref_chars')} ELSE 0 END AS char_distance,
    CASE WHEN n_words >= {qr.LEAST_WORDS} THEN {_distance('list_append(bins, greatest(0, 1 - list_sum(bins)))', 'list_append(shares, greatest(0, 1 - list_sum(shares)))')} ELSE 0 END AS word_distance,
    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM hits)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
