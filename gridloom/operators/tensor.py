@@ -227,7 +227,8 @@ def _with_channel_stats(rows: DataFrame, stats: DataFrame, channels: int) -> Dat
     )
     unknown = F.raise_error(F.concat(F.lit("no statistics for channel "), F.col("channel_index").cast("string")))
     joined = rows.join(F.broadcast(picked), "channel_index", "left")  # exactly `channels` rows
-    return joined.withColumn("_mean", F.coalesce("_mean", unknown.cast("double")))
+    kind = rows.schema["values"].dataType
+    return joined.withColumn("values", F.when(F.col("_mean").isNull(), unknown.cast(kind)).otherwise(F.col("values")))
 
 
 def normalise_rows(rows: DataFrame, stats: DataFrame, channels: int = 20) -> DataFrame:
