@@ -63,10 +63,19 @@ def json_text(col: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(col.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
+def json_number(number: Column) -> Column:
+    """A number as Python's JSON writes it: NaN and the infinities have names of their own."""
+    return (
+        F.when(F.isnan(number), F.lit("NaN"))
+        .when(number == float("inf"), F.lit("Infinity")).when(number == float("-inf"), F.lit("-Infinity"))
+        .otherwise(py_number(number))
+    )
+
+
 def feature_snapshot(lat: Column, lon: Column, run: Column) -> Column:
     """``{"latitude": .., "longitude": .., "run": ".."}`` with a blank after ``:`` and ``,``."""
     return F.concat(
-        F.lit('{"latitude": '), py_number(lat), F.lit(', "longitude": '), py_number(lon),
+        F.lit('{"latitude": '), json_number(lat), F.lit(', "longitude": '), json_number(lon),
         F.lit(', "run": '), json_text(F.coalesce(run, F.lit(""))), F.lit("}"),
     )
 

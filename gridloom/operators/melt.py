@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.weather import geopotential, readable_name, soil_name
 from gridloom.operators.extract import normalise_level
+from gridloom.functions.coords import no_nan
 from gridloom.schema import TIDY_BODY
 from gridloom.session import materialise
 
@@ -58,9 +59,9 @@ def split_datasets(tidy: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def union_fields(spark: SparkSession, frames: list[DataFrame], schema: str = TIDY_BODY) -> DataFrame:
-    """Union by name. No frame at all still gives the schema."""
+    """Union by name; a column that a frame lacks is null there. No frame at all still gives the schema."""
     empty = spark.createDataFrame([], schema)
-    return reduce(lambda a, b: a.unionByName(b), frames) if frames else empty
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else empty
 
 
 def merge_groups(frames: list[DataFrame], *keys: str, per_point: bool = False) -> DataFrame:
@@ -68,7 +69,8 @@ def merge_groups(frames: list[DataFrame], *keys: str, per_point: bool = False) -
 
     By default the whole variable comes from the first frame that has it. The winners are one
     row per variable, written first so that the join knows their size. ``per_point`` instead fills
-    point by point from later frames.
+    point by point from later frames: a null or NaN of an earlier frame does not hide a later number, and the point's further columns
+    come from the frame of its value.
     """
     stacked = union_fields(
         frames[0].sparkSession,
@@ -77,10 +79,11 @@ def merge_groups(frames: list[DataFrame], *keys: str, per_point: bool = False) -
     if not per_point:
         first = materialise(stacked.groupBy(*keys, "variable").agg(F.min("_rank").alias("_rank")), "winners")
         return stacked.join(first, [*keys, "variable", "_rank"], "left_semi").drop("_rank")
-    best = stacked.groupBy(*keys, "variable", *COORDS).agg(
-        F.min_by("value", "_rank").alias("value")
-    )
-    return best
+    place = [*keys, "variable", *COORDS]
+    rest = [c for c in stacked.columns if c not in place and c != "_rank"]
+    empty = no_nan(F.col("value").cast("double")).isNull()
+    best = stacked.groupBy(*place).agg(F.min_by(F.struct(*rest), F.struct(empty, "_rank")).alias("_best"))
+    return best.select(*place, "_best.*")
 
 
 def wide_from_tidy(tidy: DataFrame, variables: list[str], *keys: str) -> DataFrame:

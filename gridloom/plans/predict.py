@@ -183,6 +183,16 @@ def predict_batch(points: DataFrame, predictor: Predictor, **source: str) -> Dat
     return prediction_frame(predictor.apply(points), predictor, **source)
 
 
+def with_observed(predicted: DataFrame, observed: DataFrame, *keys: str) -> DataFrame:
+    """Predictions beside ``observed.value``; a row without a partner on the other side stops the job."""
+    left = predicted.withColumn("_left", F.lit(True))
+    right = observed.select(*keys, "value", F.lit(True).alias("_right"))
+    both = left.join(right, list(keys), "full_outer")
+    alone = F.concat(F.lit("no partner for "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("_left") & F.col("_right"), F.col("value")).otherwise(F.raise_error(alone).cast("double"))
+    return both.withColumn("value", checked).drop("_left", "_right")
+
+
 def response_body(value, lat_grid, lon_grid):
     """JSON answer to a point request."""
     return F.to_json(

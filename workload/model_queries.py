@@ -8,7 +8,7 @@ from gridloom.operators.melt import split_datasets
 from gridloom.operators.nearest import build_index, knn_regression, nearest_point
 from gridloom.plans.classify import hooked_handler
 from gridloom.plans.predict import (
-    BatchModelPredictor, GridPredictor, MockPredictor, load_predictor, predict_batch,
+    BatchModelPredictor, GridPredictor, MockPredictor, load_predictor, predict_batch, with_observed,
 )
 from gridloom.plans.train import is_validation, mean_over_steps, model_table, train_knn
 from gridloom.operators.extract import snapshot
@@ -156,7 +156,7 @@ def _(v):
 SELECT p.event_id, round(273.15 + ((abs(p.lat) + abs(p.lon)) % 25) - o.t2m, 6) AS error FROM @probes p JOIN @probes o USING (event_id)""")
 def _(v):
     observed = v.probes.select("event_id", F.col("t2m").alias("value"))
-    predicted = MockPredictor().apply(named(v)).join(observed, "event_id")
+    predicted = with_observed(MockPredictor().apply(named(v)), observed, "event_id")
     return predicted.select("event_id", F.round(F.col("predicted_value") - F.col("value"), 6).alias("error"))
 
 

@@ -90,7 +90,18 @@ def _(v):
     base = v.forecast.drop("year", "month", "day", "hour")
     later = base.withColumn("value", (F.col("value") + F.lit(1).cast("float")).cast("float"))
     merged = melt.merge_groups([base.where("latitude > 0"), later], per_point=True)
-    return merged.withColumn("value", F.col("value").cast("double"))
+    return merged.select("variable", *melt.COORDS, F.col("value").cast("double").alias("value"))
+
+
+@query("j7_point_fill", """
+SELECT o.variable, o.isobaricInhPa, o.latitude, o.longitude, CAST(CASE WHEN o.latitude > 0 THEN o.value ELSE o.value + 1 END AS DOUBLE) AS value,
+       CASE WHEN o.latitude > 0 THEN NULL ELSE 'later' END AS origin, o.run FROM @forecast o""")
+def _(v):
+    base = v.forecast.drop("year", "month", "day", "hour")
+    later = base.withColumn("value", (F.col("value") + F.lit(1).cast("float")).cast("float")).withColumn("origin", F.lit("later"))
+    holed = base.withColumn("value", F.when(F.col("latitude") > 0, F.col("value")))
+    merged = melt.merge_groups([holed, later], per_point=True)
+    return merged.select("variable", *melt.COORDS, F.col("value").cast("double").alias("value"), "origin", "run")
 
 
 @query("j8_alignment", """
