@@ -117,18 +117,26 @@ def published_rows(rows: DataFrame, status: DataFrame, *keys: str) -> DataFrame:
 
 
 def grid_holes(
-    df: DataFrame, *keys: str, spec: GridSpec = MODEL_GRID, channels=None
+    df: DataFrame, *keys: str, spec: GridSpec = MODEL_GRID, channels=None, top: float = 90.0
 ) -> DataFrame:
     """Expected grid points that a step lacks, as (keys, channel, latitude, lon_index).
 
+    A point without a number is one that lacks. With a fixed ``lat_count`` every latitude from ``top`` down is expected, also
+    one that no channel has; without it, those that the step has in any channel.
+
     The longitudes seen on a line are at most ``lon_count`` small integers, combined on the map
     side. Only lines with a gap are expanded, never the full expected grid.
     """
     tagged = tag_channels(df, channels).withColumn("lon_index", lon_position(F.col("longitude"), spec))
-    seen = tagged.groupBy(*keys, "channel_index", "latitude").agg(
+    seen = tagged.where(no_nan(F.col("value").cast("double")).isNotNull()).groupBy(*keys, "channel_index", "latitude").agg(
         F.collect_set("lon_index").alias("_seen")
     )
-    lines = df.select(*keys, "latitude").where(F.col("latitude").isNotNull()).distinct()
+    if spec.lat_count is None:
+        lines = df.select(*keys, "latitude").where(F.col("latitude").isNotNull()).distinct()
+    else:
+        kind = df.schema["latitude"].dataType
+        axis = F.transform(F.sequence(F.lit(0), F.lit(spec.lat_count - 1)), lambda i: (F.lit(top) - i * F.lit(LAT_STEP)).cast(kind))
+        lines = df.groupBy(*keys).agg(F.count("*").alias("_rows")).select(*keys, F.explode(axis).alias("latitude"))
     indexes = F.sequence(F.lit(0), F.lit(len(channels or MODEL_CHANNELS) - 1))
     expected = lines.withColumn("channel_index", F.explode(indexes))
     full = F.sequence(F.lit(0), F.lit(spec.lon_count - 1))

@@ -48,10 +48,10 @@ def write_snapshot(df: DataFrame, path: str) -> str:
 
 
 def write_predictions(df: DataFrame, path: str) -> str:
-    """Replace only the partitions present in ``df``."""
+    """Replace only the partitions present in ``df``; rows are gathered by folder, and a large folder is split again."""
     names = PREDICTION_REQUIRED + PREDICTION_OPTIONAL + PREDICTION_PARTITIONS
     (
-        df.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.select(*names).hint("rebalance", *PREDICTION_PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PREDICTION_PARTITIONS).parquet(path)
     )
     return path
@@ -64,18 +64,18 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def write_row_tensors(rows: DataFrame, path: str, *keys: str) -> str:
     """One folder per step; a rerun replaces the steps it holds."""
     (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path)
     )
     return path
 
 
 def write_reports(df: DataFrame, path: str, *keys: str) -> str:
-    """One JSON text per report, filed under its keys rather than a clock; a rerun replaces its own."""
+    """JSON files, a line per report, filed under its keys rather than a clock; a rerun replaces its own."""
     body = F.to_json(F.struct(*[c for c in sorted(df.columns) if c not in keys]))
-    df.select(*keys, body.alias("report")).write.mode("overwrite").option(
+    df.select(*keys, body.alias("report")).hint("rebalance", *keys).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*keys).parquet(path)
+    ).partitionBy(*keys).text(path)
     return path
 
 

@@ -12,6 +12,9 @@ from gridloom.plans.classify import score_points
 from gridloom.schema import MODEL_GRID, TIDY_BODY, GridSpec
 from gridloom.sources.writers import TIME_PARTITIONS, with_time_partitions
 
+#: Files of one micro-batch; this also bounds the keys that a batch touches.
+FILES_PER_BATCH = 1000
+
 
 def arrivals(spark: SparkSession, landing: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """New Parquet files of a landing folder; the stream log remembers what was read."""
@@ -36,7 +39,7 @@ def ingest_tidy(
 
 def validate_arrivals(
     spark: SparkSession, landing: str, log: str, handle: Callable[[DataFrame, int], None],
-    extra: str = "", files_per_batch: int | None = None,
+    extra: str = "", files_per_batch: int = FILES_PER_BATCH,
 ) -> StreamingQuery:
     """Hand every micro-batch to a batch operator.
 
@@ -67,7 +70,11 @@ def tensor_publisher(
     def handle(batch: DataFrame, _batch_id: int) -> None:
         touched = batch.select(*keys).distinct()
         spark = batch.sparkSession
-        whole = spark.read.schema(schema).parquet(tidy_table).join(touched, list(keys), "left_semi")
+        whole = spark.read.schema(schema).parquet(tidy_table)
+        named = touched.agg(*[F.collect_set(k).alias(k) for k in keys]).first()  # as many values as the batch has files, at most
+        for k in keys:
+            whole = whole.where(F.col(k).isin(named[k]))  # literal, so folders of other keys are not listed
+        whole = whole.join(touched, list(keys), "left_semi")
         job = run_tensor_job(whole, *keys, spec=spec, allow_incomplete=True, channels=channels, policy=policy)
         summary = job.steps.withColumn("tensor_shape", F.to_json("tensor_shape"))
         for rows, path in ((summary, report_path), (job.tensors, tensor_path)):

@@ -109,8 +109,8 @@ def _(v):
 SELECT step, count(*) AS row_count FROM @forecast_steps GROUP BY 1""")
 def _(v):
     path = K.write_reports(validation_report(v.forecast_steps, "step", spec=SPARSE), scratch_path(v.spark, "reports"), "step")
-    back = v.spark.read.parquet(path)
-    return back.select("step", F.get_json_object("report", "$.row_count").cast("long").alias("row_count"))
+    back = v.spark.read.json(path)
+    return back.select(F.col("step").cast("int").alias("step"), F.col("row_count").cast("long").alias("row_count"))
 
 
 @query("k7_score_sink", """

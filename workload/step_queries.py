@@ -38,7 +38,7 @@ def _(v):
 
 
 @query("j5_grid_holes", f"""WITH {TAGGED}, obs AS (SELECT DISTINCT step, channel_index, latitude,
-    CAST((longitude - 360 * floor(longitude / 360) - 12) / 24 AS INT) AS lon_index FROM tagged),
+    CAST((longitude - 360 * floor(longitude / 360) - 12) / 24 AS INT) AS lon_index FROM tagged WHERE value IS NOT NULL AND NOT isnan(value)),
   lines AS (SELECT DISTINCT step, latitude FROM @forecast_dirty)
 SELECT l.step, CAST(c.channel_index AS INT) AS channel_index, l.latitude, CAST(i.lon_index AS INT) AS lon_index
 FROM lines l, @channels c, (SELECT unnest(range(15)) AS lon_index) i
@@ -48,6 +48,16 @@ def _(v):
     return T.grid_holes(v.forecast_dirty, "step", spec=SPARSE)
 
 
+@query("j5_holes_of_fixed_axis", f"""WITH {TAGGED}, obs AS (SELECT DISTINCT step, channel_index, latitude,
+    CAST((longitude - 360 * floor(longitude / 360) - 12) / 24 AS INT) AS lon_index FROM tagged WHERE value IS NOT NULL AND NOT isnan(value))
+SELECT s.step, CAST(c.channel_index AS INT) AS channel_index, 90 - a.i * 0.25::DOUBLE AS latitude, CAST(i.lon_index AS INT) AS lon_index
+FROM (SELECT DISTINCT step FROM @forecast_dirty) s, @channels c, (SELECT unnest(range(100)) AS i) a, (SELECT unnest(range(15)) AS lon_index) i
+WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.step = s.step AND o.channel_index = c.channel_index
+                  AND o.latitude = 90 - a.i * 0.25 AND o.lon_index = i.lon_index)""")
+def _(v):
+    return T.grid_holes(v.forecast_dirty, "step", spec=GridSpec(lat_count=100, lon_count=15, lon_step=24.0, lon_start=12.0))
+
+
 @query("j5_off_grid_points", f"""WITH {TAGGED}
 SELECT step, channel_index, latitude, longitude FROM tagged
 WHERE ((longitude - 360 * floor(longitude / 360)) - 12) / 48 <> floor(((longitude - 360 * floor(longitude / 360)) - 12) / 48)""")
