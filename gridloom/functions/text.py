@@ -87,3 +87,8 @@ def prediction_key(*parts: Column) -> Column:
 
 def score_text(score: Column) -> Column:
     return F.format_string("%.6f", score)
+
+
+def time_stamp(at: Column) -> Column:
+    """``20260409T180000Z`` of a UTC time."""
+    return F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")

@@ -76,3 +76,8 @@ def standardise(value: Column, mean: Column, std: Column) -> Column:
 
 def restore(value: Column, mean: Column, std: Column) -> Column:
     return value * std + mean
+
+
+def observed_error(predicted: Column, observed: Column) -> Column:
+    """Prediction minus observation; null where nothing was observed."""
+    return predicted.cast("double") - observed.cast("double")

@@ -103,3 +103,8 @@ def level_subset(df: DataFrame, levels: list[float], *keys: str) -> tuple[DataFr
         *keys, "variable", F.explode(F.array_except(wanted, "_seen")).alias("missing_level")
     )
     return rows, gaps
+
+
+def absent_channels(contract: DataFrame, have: DataFrame) -> DataFrame:
+    """Channel indexes of a contract that a table does not have."""
+    return contract.select("channel_index").join(have.select("channel_index").distinct(), "channel_index", "left_anti")

@@ -92,3 +92,14 @@ def counted(df: DataFrame, keep) -> DataFrame:
     return df.agg(
         F.count("*").alias("rows_before"), F.count_if(keep).alias("rows_after")
     )
+
+
+def lower_variables(df: DataFrame) -> DataFrame:
+    """Variable names in lower case, as catalogs disagree on them."""
+    return df.withColumn("variable", F.lower("variable"))
+
+
+def head_points(df: DataFrame, limit: int) -> DataFrame:
+    """First points by variable, level (surface first), latitude from the north and longitude."""
+    order = ["variable", F.asc_nulls_first("isobaricInhPa"), F.desc("latitude"), "longitude"]
+    return normalise_level(df).orderBy(*order).limit(limit)

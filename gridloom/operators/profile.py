@@ -109,3 +109,8 @@ def humidity_summary(df: DataFrame, *keys: str, clip: bool = True) -> DataFrame:
 def root_mean_square_error(df: DataFrame, observed: str, predicted: str) -> DataFrame:
     gap = F.col(observed).cast("double") - F.col(predicted)
     return df.agg(F.count("*").alias("rows"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+
+
+def variable_level_counts(df: DataFrame) -> DataFrame:
+    """Rows per variable and level; the scan reads these two columns only."""
+    return normalise_level(df).groupBy("variable", "isobaricInhPa").agg(F.count("*").alias("n"))

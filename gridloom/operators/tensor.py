@@ -225,8 +225,8 @@ def statistics_fault(stats: DataFrame, channels: int = 20) -> str | None:
     return f"statistics need one row for each of {channels} channels, got {seen['rows']} rows for {seen['channels']} channels"
 
 
-def _with_channel_stats(rows: DataFrame, stats: DataFrame, channels: int) -> DataFrame:
-    """Every row with its channel's statistics; a faulty table and a channel beyond it are refused."""
+def with_channel_stats(rows: DataFrame, stats: DataFrame, channels: int = 20, column: str = "values") -> DataFrame:
+    """Every row with its channel's statistics as ``_mean`` and ``_std``; a faulty table and a channel beyond it are refused."""
     fault = statistics_fault(stats, channels)
     if fault:
         raise ContractError(fault)
@@ -235,8 +235,8 @@ def _with_channel_stats(rows: DataFrame, stats: DataFrame, channels: int) -> Dat
     )
     unknown = F.raise_error(F.concat(F.lit("no statistics for channel "), F.col("channel_index").cast("string")))
     joined = rows.join(F.broadcast(picked), "channel_index", "left")  # exactly `channels` rows
-    kind = rows.schema["values"].dataType
-    return joined.withColumn("values", F.when(F.col("_mean").isNull(), unknown.cast(kind)).otherwise(F.col("values")))
+    kind = rows.schema[column].dataType
+    return joined.withColumn(column, F.when(F.col("_mean").isNull(), unknown.cast(kind)).otherwise(F.col(column)))
 
 
 def normalise_rows(rows: DataFrame, stats: DataFrame, channels: int = 20) -> DataFrame:
@@ -244,14 +244,14 @@ def normalise_rows(rows: DataFrame, stats: DataFrame, channels: int = 20) -> Dat
     scaled = F.transform(
         "values", lambda v: standardise(v.cast("double"), F.col("_mean"), F.col("_std")).cast("float")
     )
-    return _with_channel_stats(rows, stats, channels).withColumn("values", scaled).drop("_mean", "_std")
+    return with_channel_stats(rows, stats, channels).withColumn("values", scaled).drop("_mean", "_std")
 
 
 def denormalise_rows(rows: DataFrame, stats: DataFrame, channels: int = 20) -> DataFrame:
     scaled = F.transform(
         "values", lambda v: restore(v.cast("double"), F.col("_mean"), F.col("_std")).cast("float")
     )
-    return _with_channel_stats(rows, stats, channels).withColumn("values", scaled).drop("_mean", "_std")
+    return with_channel_stats(rows, stats, channels).withColumn("values", scaled).drop("_mean", "_std")
 
 
 def stats_channels(shape):

@@ -175,3 +175,8 @@ def validation_report(
             "observed_lat_count", "observed_lon_count", "wrapped_lon_count", "latitude",
         )
     )
+
+
+def distinct_points(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per step, variable, level and position."""
+    return normalise_level(df).dropDuplicates([*keys, "variable", "isobaricInhPa", "latitude", "longitude"])

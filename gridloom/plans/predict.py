@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.text import feature_snapshot, prediction_key, py_number
-from gridloom.functions.weather import mock_temperature
+from gridloom.functions.weather import mock_temperature, observed_error
 from gridloom.operators.extract import ContractError
 from gridloom.operators.nearest import NearestIndex, build_index, lookup, DISTANCE_WEIGHTED
 from gridloom.operators.contract import model_table_faults
@@ -172,7 +172,7 @@ def prediction_frame(
             fixed["target_variable"],
         ),
         "run": run, "latitude": lat, "longitude": lon, "predicted_value": pred,
-        "observed_value": observed, "error": pred - observed,
+        "observed_value": observed, "error": observed_error(pred, observed),
         "feature_snapshot_json": feature_snapshot(lat, lon, run),
     }
     names = PREDICTION_REQUIRED + PREDICTION_OPTIONAL + PREDICTION_PARTITIONS

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from gridloom.functions import coords as C
 from gridloom.functions import text as X
 from gridloom.functions import weather as W
-from gridloom.operators import contract, extract, melt
+from gridloom.operators import channels as CH
+from gridloom.operators import contract, extract, melt, profile
 from gridloom.plans.classify import score_points
 from gridloom.plans.predict import MockPredictor, response_body
-from gridloom.schema import SURFACE_GROUP
+from gridloom.schema import GRAVITY, SURFACE_GROUP
 from gridloom.sources import lines as L
 from workload import query
 
@@ -50,7 +51,7 @@ def _(v):
 
 @query("p5_variable_lower", "SELECT lower(variable) AS variable, count(*) AS n FROM @forecast_dirty GROUP BY 1")
 def _(v):
-    return v.forecast_dirty.groupBy(F.lower("variable").alias("variable")).agg(F.count("*").alias("n"))
+    return extract.lower_variables(v.forecast_dirty).groupBy("variable").agg(F.count("*").alias("n"))
 
 
 @query("p6_numeric_coercion", """
@@ -232,7 +233,7 @@ def _(v):
 
 @query("f3_geopotential_constant", "SELECT count(*) AS n, round(sum(gh * CAST(9.80665 AS DOUBLE)), 2) AS total FROM @wide_fields")
 def _(v):
-    return v.wide_fields.agg(F.count("*").alias("n"), F.round(F.sum(F.col("gh").cast("double") * 9.80665), 2).alias("total"))
+    return v.wide_fields.agg(F.count("*").alias("n"), F.round(F.sum(F.col("gh").cast("double") * GRAVITY), 2).alias("total"))
 
 
 @query("f4_abrupt", """
@@ -254,7 +255,8 @@ SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN t2m END AS observed_value,
        round(CASE WHEN event_id % 3 <> 0 THEN 280.5 - t2m END, 6) AS error FROM @probes""")
 def _(v):
     observed = F.when(F.col("event_id") % 3 != 0, F.col("t2m"))
-    return v.probes.select("event_id", observed.alias("observed_value"), F.round(F.lit(280.5) - observed, 6).alias("error"))
+    error = W.observed_error(F.lit(280.5), observed)
+    return v.probes.select("event_id", observed.alias("observed_value"), F.round(error, 6).alias("error"))
 
 
 @query("f8_feature_snapshot", """
@@ -277,7 +279,7 @@ def _(v):
 
 @query("f10_time_stamps", "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM @events")
 def _(v):
-    return v.events.select("event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))
+    return v.events.select("event_id", X.time_stamp(F.col("ts")).alias("stamp"))
 
 
 CSV_ERROR = """CASE event_id % 11
@@ -365,7 +367,7 @@ def _(v):
 
 @query("s9_pruned_scan", "SELECT variable, isobaricInhPa, count(*) AS n FROM @forecast GROUP BY 1, 2")
 def _(v):
-    return v.forecast.select("variable", "isobaricInhPa").groupBy("variable", "isobaricInhPa").agg(F.count("*").alias("n"))
+    return profile.variable_level_counts(v.forecast)
 
 
 @query("s11_request_parse", """
@@ -390,7 +392,7 @@ def _(v):
 SELECT c.channel_index FROM @channels c WHERE c.channel_index NOT IN (SELECT o_orderkey % 20 FROM @orders WHERE o_orderkey % 20 <> 18)""")
 def _(v):
     have = v.orders.select((F.col("o_orderkey") % 20).cast("int").alias("channel_index")).where("channel_index <> 18")
-    return v.channels.select("channel_index").join(have.distinct(), "channel_index", "left_anti")
+    return CH.absent_channels(v.channels, have)
 
 
 @query("u3_empty_union", "SELECT count(*) AS n FROM @forecast WHERE variable = 'none'")

@@ -8,6 +8,7 @@ from gridloom.functions.coords import lon_0_360
 from gridloom.operators import channels as CH
 from gridloom.operators import contract, extract, melt, profile
 from gridloom.operators import tensor as T
+from gridloom.operators import validate
 from gridloom.operators.validate import validation_report
 from gridloom.plans.tensor_job import partition_manifest, run_tensor_job
 from gridloom.schema import GridSpec
@@ -20,7 +21,7 @@ SPARSE = GridSpec(lat_count=None, lon_count=15, lon_step=24.0, lon_start=12.0)
 TAGGED = """tagged AS (SELECT f.*, c.channel_index FROM @forecast_dirty f JOIN @channels c ON lower(f.variable) = c.variable AND
   ((c.level IS NULL AND (f.isobaricInhPa IS NULL OR abs(f.isobaricInhPa) <= 1e-6))
    OR abs(f.isobaricInhPa - c.level) <= 1e-6 + 1e-5 * abs(c.level)))"""
-TAGGED_STEPS = TAGGED.replace("tagged AS", "tagged AS", 1).replace("@forecast_dirty", "@forecast_steps")
+TAGGED_STEPS = TAGGED.replace("@forecast_dirty", "@forecast_steps")
 
 
 @query("j3_channel_tags", f"""WITH {TAGGED}
@@ -364,17 +365,15 @@ def _(v):
 
 @query("a24_distinct_points", "SELECT count(*) AS n FROM (SELECT DISTINCT step, variable, isobaricInhPa, latitude, longitude FROM @forecast_dirty)")
 def _(v):
-    keys = ["step", "variable", "isobaricInhPa", "latitude", "longitude"]
-    return v.forecast_dirty.dropDuplicates(keys).agg(F.count("*").alias("n"))
+    return validate.distinct_points(v.forecast_dirty, "step").agg(F.count("*").alias("n"))
 
 
 @query("j10_stat_join", """
 SELECT s.channel_index, CAST(s.mean AS DOUBLE) AS mean, CAST(s.std AS DOUBLE) AS std, count(*) AS n FROM @tensor_points t JOIN @channel_stats s USING (channel_index)
 WHERE s.channel_index < 20 GROUP BY 1, 2, 3""")
 def _(v):
-    stats = v.channel_stats.where("channel_index < 20")
-    return v.tensor_points.join(F.broadcast(stats), "channel_index").groupBy("channel_index", "mean", "std").agg(
-        F.count("*").alias("n")).withColumns({c: F.col(c).cast("double") for c in ("mean", "std")})
+    joined = T.with_channel_stats(v.tensor_points, v.channel_stats, column="value")
+    return joined.groupBy("channel_index", F.col("_mean").alias("mean"), F.col("_std").alias("std")).agg(F.count("*").alias("n"))
 
 
 @query("f7_normalise", """
@@ -431,7 +430,7 @@ def _(v):
 SELECT latitude, longitude, variable, isobaricInhPa, CAST(value AS DOUBLE) AS value FROM @forecast
 ORDER BY variable, isobaricInhPa NULLS FIRST, latitude DESC, longitude LIMIT 80""")
 def _(v):
-    return v.forecast.orderBy("variable", F.asc_nulls_first("isobaricInhPa"), F.desc("latitude"), "longitude").limit(80).select(
+    return extract.head_points(v.forecast, 80).select(
         "latitude", "longitude", "variable", "isobaricInhPa", F.col("value").cast("double").alias("value"))
 
 
