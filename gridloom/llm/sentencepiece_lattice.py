@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units that no piece can cross: a run of spaces with the word behind it, and line ends. Every distinct unit of the input is
-encoded once: its substrings up to the longest piece are exploded, joined to the piece table, and grouped again as the edges of the unit's lattice; a fold over
-the edges gives its ids. Documents then look their units up.
+Texts are cut into units that no piece can cross: a run of spaces with the letters or the other characters behind it, and line ends. Every distinct unit of the
+input is encoded once: its substrings up to the longest piece are exploded and joined to the piece table; those found are the edges of the unit's lattice, and
+a fold over them gives its ids. Documents then look their units up.
 
 The fold follows the model. A BPE model merges neighbours in the order of scores, so its ids are not those of the path with the best sum; the fold
 here merges along the edges of the lattice, best score first and leftmost first, as the library does.
@@ -11,8 +11,10 @@ here merges along the edges of the lattice, best score first and leftmost first,
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ FREQUENT, LONGEST_FREQUENT = 500_000, 64
 #: Lattice starts that are exploded from one block of a long unit.
 BLOCK = 48
 _UNITS = f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+"
+#: The same where no piece has letters (and their marks) beside other characters.
+_LETTER_UNITS = rf"\n|{SPACE_MARK}*[\p{{L}}\p{{M}}]+|{SPACE_MARK}*[^\p{{L}}\p{{M}}{SPACE_MARK}\n]+|{SPACE_MARK}+"
 
 
 class Model:
@@ -41,68 +45,72 @@ class Model:
         self.pieces = [(sp.id_to_piece(i), i, sp.get_score(i)) for i in plain]
         self.unknown = sp.unk_id()
         self.longest = max((len(p) for p, _, _ in self.pieces), default=1)
-        crossing = [p for p, _, _ in self.pieces if SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p]
+        bare = [p.lstrip(SPACE_MARK) for p, _, _ in self.pieces]
+        crossing = [p for p in bare if SPACE_MARK in p or "\n" in p]
         if crossing:
             raise ValueError(f"pieces cross the units of this encoder: {crossing[:3]}")
+        mixed = any(len({unicodedata.category(c)[0] in "LM" for c in p}) > 1 for p in bare)
+        self.units = _UNITS if mixed else _LETTER_UNITS
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """``piece, id, score``; bounded by the model's vocabulary."""
-        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
+        """``piece, id``; bounded by the model's vocabulary."""
+        return spark.createDataFrame([p[:2] for p in self.pieces], "piece string, id int")
 
     def spelled(self) -> dict[int, bytes]:
         """Bytes of each id for decoding."""
         return {i: p.encode() for p, i, _ in self.pieces} | {i: bytes([b]) for b, i in self.bytes.items()}
 
 
-def units_of(text: Column) -> Column:
+def units_of(text: Column, model: Model) -> Column:
     """Units of a text in order; the text gets the space that the library puts before it. None for an empty text."""
     marked = F.concat(F.lit(SPACE_MARK), F.replace(text, F.lit(" "), F.lit(SPACE_MARK)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(_UNITS), F.lit(0)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(model.units), F.lit(0)))
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``edges`` for each row of ``unit, n``: (start, length, id, score) of every substring that is a piece.
+    """``number, unit, n, edge``: the edges of the lattice of each row of ``unit, n``, one row each, packed as ``place << 24 | id`` with ``place = start << 8 | length``.
 
-    ``units`` is hash partitioned by unit where it comes from a grouping by it, and stays so here: no further shuffle.
+    Substrings of two characters or more are joined to the pieces. A unit's first row is its first character: it alone carries the unit, and its edge is null. The rows of a unit
+    follow each other, as neither the explosion nor a broadcast join reorders rows; ``number`` lets the reader make sure.
     Long units are exploded in blocks, so the work is in proportion to their length.
     """
-    blocks = units.select(
-        "unit", "n", F.char_length("unit").alias("size"), F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1, F.lit(BLOCK))).alias("at")
-    ).select("unit", "n", "size", "at", F.expr(f"substring(unit, at + 1, {BLOCK + longest - 1})").alias("block"))
-    cuts = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.char_length("block")) - 1),
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("block") - s)),
-            lambda n: F.struct(s.alias("start"), n.alias("length"), F.substring(F.col("block"), s + 1, n).alias("piece")),
-        ),
-    ))
-    found = blocks.select("unit", "n", "size", "at", F.explode(cuts).alias("cut")).select(
-        "unit", "n", "size", (F.col("at") + F.col("cut.start")).alias("start"), F.col("cut.length").alias("length"), F.col("cut.piece").alias("piece")
+    numbered = units.select(F.monotonically_increasing_id().alias("number"), "unit", "n", F.char_length("unit").alias("size"))
+    starts = numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(BLOCK))).alias("at")).select(
+        "number", "n", "at", F.when(F.col("at") == 0, F.col("unit")).alias("unit"),
+        F.expr(f"substring(unit, at + 1, {BLOCK + longest - 1})").alias("block"),
+    ).withColumn("held", F.char_length("block")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("held")) - 1)).alias("first")
+    )
+    cuts = starts.select(
+        "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("held") - F.col("first")))).alias("length")
+    ).where("length > 1 or at + first = 0").select(
+        "number", "n", F.when((F.col("first") == 0) & (F.col("length") == 1), F.col("unit")).alias("unit"),
+        F.expr("(cast(at + first as bigint) << 8) | length").alias("place"),
+        F.when(F.col("length") > 1, F.expr("substring(block, first + 1, length)")).alias("piece"),
     )
-    # a unit without any piece keeps a row, as its characters still have bytes
-    joined = found.join(F.broadcast(pieces), "piece", "left").where("id is not null or start = 0 and length = 1")
-    return joined.groupBy("unit").agg(
-        F.first("n").alias("n"),
-        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", "length", "id", "score"))).alias("edges"),
+    return cuts.join(F.broadcast(pieces), "piece", "left").where("id is not null or unit is not null").select(
+        "number", "unit", "n", F.expr("(place << 24) | id").alias("edge")
     )
 
 
-def merge(unit: str, edges: dict[tuple[int, int], tuple[float, int]]) -> list[tuple[int, int]]:
+def merge(n: int, edges: dict[int, int], scores: dict[int, float]) -> list[tuple[int, int]]:
     """(start, end) of the symbols after all merges: the pair whose union is the best edge goes first, the leftmost of equals."""
-    n = len(unit)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     queue: list[tuple[float, int, int, int]] = []
 
     def push(left: int) -> None:
         right = after[left]
-        if right < n and (edge := edges.get((left, after[right] - left))):
-            heapq.heappush(queue, (-edge[0], left, right, after[right]))
+        if right < n:
+            end = after[right]
+            hit = edges.get(left << 8 | end - left) if end - left < 256 else None
+            if hit is not None:
+                heapq.heappush(queue, (-scores[hit], left, right, end))
 
     for k in range(n - 1):
         push(k)
     while queue:
         _, left, right, end = heapq.heappop(queue)
-        if not (alive[left] and right < n and alive[right] and after[left] == right and after[right] == end):
+        if not (alive[left] and alive[right] and after[left] == right and after[right] == end):
             continue
         alive[right], after[left] = False, end
         if end < n:
@@ -115,29 +123,56 @@ def merge(unit: str, edges: dict[tuple[int, int], tuple[float, int]]) -> list[tu
 
 def _fold(model: Model):
     spelled, unknown = model.bytes, model.unknown
+    single = {p: i for p, i, _ in model.pieces if len(p) == 1}
+    scores = {i: s for _, i, s in model.pieces}
+
+    def ids_of(unit: str, edges: dict[int, int]) -> list[int]:
+        out = []
+        for a, b in merge(len(unit), edges, scores) if edges else [(k, k + 1) for k in range(len(unit))]:
+            if b - a > 1:
+                out.append(edges[a << 8 | b - a])
+            elif (hit := single.get(unit[a])) is not None:
+                out.append(hit)
+            elif spelled:
+                out += [spelled[x] for x in unit[a].encode("utf-8", "surrogatepass")]
+            else:
+                out.append(unknown)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("edges")
-            flat, ends = column.flatten(), column.offsets.to_pylist()
-            starts, sizes, ids, scores = (flat.field(k).to_pylist() for k in range(4))
-            base, out = ends[0], []
-            for k, unit in enumerate(batch.column("unit").to_pylist()):
-                own = range(ends[k] - base, ends[k + 1] - base)
-                edges = {(starts[j], sizes[j]): (scores[j], ids[j]) for j in own}
-                row = []
-                for a, b in merge(unit, edges):
-                    if hit := edges.get((a, b - a)):
-                        row.append(hit[1])
-                    elif spelled:
-                        row += [spelled[x] for x in unit[a:b].encode("utf-8", "surrogatepass")]
-                    else:
-                        row.append(unknown)
-                out.append(row)
-            yield pa.record_batch(
-                [batch.column("unit"), batch.column("n"), pa.array(out, pa.list_(pa.int32()))], names=["unit", "n", "ids"]
+        held: tuple | None = None  # the unit whose edges may go on in the next batch
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch(
+                [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()),
+                 pa.array([ids_of(r[1], r[3]) for r in rows], pa.list_(pa.int32()))], names=["unit", "n", "ids"],
             )
 
+        for batch in batches:
+            numbers, names, counts = (batch.column(c) for c in ("number", "unit", "n"))
+            numbers, edge = numbers.to_numpy(), batch.column("edge").fill_null(-1).to_numpy()
+            firsts = np.flatnonzero(~np.asarray(names.is_null()))
+            places, ids = (edge >> 24).tolist(), (edge & 0xFFFFFF).tolist()
+            cuts = [*firsts.tolist(), batch.num_rows]
+            if cuts[0]:
+                if held is None or (numbers[:cuts[0]] != held[0]).any():
+                    raise ValueError("edges of a unit are apart")
+                held[3].update(zip(places[:cuts[0]], ids[:cuts[0]]))
+            owners = np.repeat(numbers[firsts], np.diff(cuts))
+            if (owners != numbers[cuts[0]:]).any():
+                raise ValueError("edges of a unit are apart")
+            at = pa.array(firsts)
+            rows = [] if held is None or not len(firsts) else [held]
+            for k, (number, unit, n) in enumerate(zip(numbers[firsts].tolist(), names.take(at).to_pylist(), counts.take(at).to_pylist())):
+                low, high = cuts[k] + 1, cuts[k + 1]
+                rows.append((number, unit, n, dict(zip(places[low:high], ids[low:high]))))
+            if len(firsts):
+                held = rows.pop()
+            if rows:
+                yield done(rows)
+        if held is not None:
+            yield done([held])
+
     return run
 
 
@@ -147,16 +182,16 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     return materialise(edges.mapInArrow(_fold(model), "unit string, n long, ids array<int>"), "unit-ids")
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _numbered(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     rows = only(docs, doc_id=id_col, text=text_col)
     return rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", units_of(text_or_empty("text")).alias("units")
+        F.monotonically_increasing_id().alias("row"), "doc_id", units_of(text_or_empty("text"), model).alias("units")
     )
 
 
 def dictionary(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``unit, n, ids`` of every distinct unit of ``docs`` with its number of occurrences."""
-    found = only(docs, text=text_col).select(F.explode(units_of(text_or_empty("text"))).alias("unit"))
+    found = only(docs, text=text_col).select(F.explode(units_of(text_or_empty("text"), model)).alias("unit"))
     return encode_units(found.groupBy("unit").agg(F.count("*").alias("n")), model)
 
 
@@ -167,7 +202,7 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     encoded each. Texts of any length work: long units are cut into blocks. An empty table gives an empty result; further columns are not read.
     """
     known = dictionary(docs, model, text_col=text_col)
-    units = _numbered(docs, id_col, text_col).select("row", "doc_id", F.posexplode_outer("units").alias("pos", "unit"))
+    units = _numbered(docs, model, id_col, text_col).select("row", "doc_id", F.posexplode_outer("units").alias("pos", "unit"))
     placed = units.join(known.select("unit", "ids"), "unit", "left").groupBy("row", "doc_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("pos", "ids")))).alias("parts")
     )
@@ -194,7 +229,7 @@ def encode_summary(
             break
         least = power
     often = known.where((F.col("n") >= F.lit(2.0) ** least) & (F.char_length("unit") <= LONGEST_FREQUENT)).select("unit", "ids")
-    units = _numbered(docs, id_col, text_col).select("row", "doc_id", F.posexplode_outer("units").alias("pos", "unit"))
+    units = _numbered(docs, model, id_col, text_col).select("row", "doc_id", F.posexplode_outer("units").alias("pos", "unit"))
     met = units.join(F.broadcast(often), "unit", "left")
     rare = F.col("unit").isNotNull() & F.col("ids").isNull()
 

@@ -43,7 +43,7 @@ def test_summary_of_odd_texts(spark, model, frequent):
     docs = frame(spark, ODD)
     got = sl.encode_summary(docs, model, frequent=frequent)
     units = sl.dictionary(docs, model).select("unit", "ids")
-    rows = sl._numbered(docs, "doc_id", "text").select("row", "doc_id", F.posexplode_outer("units").alias("pos", "unit"))
+    rows = sl._numbered(docs, model, "doc_id", "text").select("row", "doc_id", F.posexplode_outer("units").alias("pos", "unit"))
     want = rows.join(units, "unit", "left").groupBy("row", "doc_id").agg(
         F.count("unit"), F.sum(F.coalesce(F.size("ids"), F.lit(0))), F.coalesce(F.bit_xor(F.when(F.col("ids").isNotNull(), F.xxhash64("pos", "ids"))), F.lit(0))
     ).drop("row")
