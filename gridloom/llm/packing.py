@@ -27,7 +27,7 @@ def _encode(path: str, end_id: int):
     """Ids of each document, and where it starts within the tokens of its own partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = memo(path, "u2", _narrow)
+        encoded = memo(path, "u2", _narrow, b"".join)
         if encoded.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16:
             raise ValueError("packing stores ids in two bytes; this vocabulary needs more")
         part, at, end = TaskContext.get().partitionId(), 0, _narrow([end_id])

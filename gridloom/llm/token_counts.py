@@ -17,7 +17,7 @@ BATCH_BYTES = 4 << 20
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = memo(path, "length", len)
+        lengths = memo(path, "length", len, sum)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             counts = []

@@ -2,7 +2,8 @@
 
 A text is cut where no token can cross: after a non-space character that is followed by an
 ASCII blank. Each distinct segment goes through the tokenizer in batches; a text's
-tokens are those of its segments in order. The memo of a worker is bounded.
+tokens are those of its segments in order. A segment that is not known yet is cut again, behind a letter that ASCII punctuation or a digit
+follows, as no token holds both; so the tokenizer sees a word once and not once for every mark behind it. The memo of a worker is bounded.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ _WITH_SPACE = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 _NO_SPACE = re.compile(f"[^{BLANKS}]+")
 _ODD_SPACE = re.compile(f"[^\\S{BLANKS}]")
 _SAFE_CUT = re.compile(f"(?<=\\S)(?=[{BLANKS}])")
+_WORD_END = re.compile(r"(?<=[^\W\d_])(?=[!-@\[-`{-~])")
 
-#: A worker forgets its memo beyond so many segments or characters.
-MEMO_SEGMENTS, MEMO_CHARS = 500_000, 16_000_000
+#: A worker forgets segments, and parts of segments, beyond so many of each or so many characters.
+MEMO_SEGMENTS, MEMO_PARTS, MEMO_CHARS = 400_000, 750_000, 12_000_000
 #: Segments per call of the tokenizer.
 ENCODE_BATCH = 4096
 
@@ -40,34 +42,52 @@ def segments_without_space(text: str) -> list[str]:
 
 
 class SegmentMemo:
-    """Encoded segments of one worker. ``keep`` turns a list of ids into what is stored."""
+    """Encoded segments of one worker. ``keep`` turns a list of ids into what is stored, ``join`` what is stored for parts into that of the whole."""
 
-    def __init__(self, path: str, keep: Callable[[list[int]], object]):
+    def __init__(self, path: str, keep: Callable[[list[int]], object], join: Callable[[list], object]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known, self.chars = keep, {}, 0
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.keep, self.join = keep, join
+        self.known: dict[str, object] = {}
+        self.parts: dict[str, object] = {}
+        self.chars = [0, 0]
+
+    def _cut(self, segment: str) -> list[str]:
+        """Parts of a segment that are encoded on their own; a special string is never cut."""
+        if any(s in segment for s in self.special):
+            return [segment]
+        return _WORD_END.split(segment)
 
     def learn(self, segments: set[str]) -> dict[str, object]:
         """The memo, with all of ``segments`` in it."""
         missing = segments.difference(self.known)
-        if missing and (len(self.known) + len(missing) > MEMO_SEGMENTS or self.chars > MEMO_CHARS):
-            self.known, self.chars, missing = {}, 0, segments
-        todo = list(missing)
+        if missing and (len(self.known) + len(missing) > MEMO_SEGMENTS or self.chars[0] > MEMO_CHARS):
+            self.known, self.chars[0], missing = {}, 0, segments
+        cut = {segment: self._cut(segment) for segment in missing}
+        wanted = set().union(*cut.values())
+        todo = wanted.difference(self.parts)
+        if todo and (len(self.parts) + len(todo) > MEMO_PARTS or self.chars[1] > MEMO_CHARS):
+            self.parts, self.chars[1], todo = {}, 0, wanted
+        todo = list(todo)
         for at in range(0, len(todo), ENCODE_BATCH):
-            part = todo[at:at + ENCODE_BATCH]
-            for segment, done in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[segment] = self.keep(done.ids)
-                self.chars += len(segment)
+            batch = todo[at:at + ENCODE_BATCH]
+            for part, done in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
+                self.parts[part] = self.keep(done.ids)
+                self.chars[1] += len(part)
+        for segment, parts in cut.items():
+            self.known[segment] = self.parts[parts[0]] if len(parts) == 1 else self.join([self.parts[p] for p in parts])
+            self.chars[0] += len(segment)
         return self.known
 
 
 _MEMOS: dict[tuple, SegmentMemo] = {}
 
 
-def memo(path: str, kind: str, keep: Callable[[list[int]], object]) -> SegmentMemo:
+def memo(path: str, kind: str, keep: Callable[[list[int]], object], join: Callable[[list], object]) -> SegmentMemo:
     """The memo of this worker process, shared by the tasks that it runs."""
     if (path, kind) not in _MEMOS:
-        _MEMOS[path, kind] = SegmentMemo(path, keep)
+        _MEMOS[path, kind] = SegmentMemo(path, keep, join)
     return _MEMOS[path, kind]

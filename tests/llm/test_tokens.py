@@ -67,23 +67,30 @@ def test_counts_of_odd_texts(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=" \t\n\r\x0b ab'tsS1é!<|>́", max_size=40))
+@given(st.text(alphabet=" \t\n\r\x0b ab'tsS1é!<|>́≠².…“9_", max_size=40))
 def test_segments_give_the_tokens_of_the_text(text):
     whole, word = Tokenizer.from_file(BYTE) if not CACHE else CACHE[0], CACHE[1] if CACHE else Tokenizer.from_file(WORD)
     CACHE[:] = [whole, word]
     ids = lambda t, s: t.encode(s, add_special_tokens=False).ids
     assert sum((ids(whole, s) for s in tokens.segments_with_space(text)), []) == ids(whole, text)
     assert sum((ids(word, s) for s in tokens.segments_without_space(text)), []) == ids(word, text)
+    for path, tok, cut in ((BYTE, whole, tokens.segments_with_space), (WORD, word, tokens.segments_without_space)):
+        if path not in MEMOS:
+            MEMOS[path] = tokens.SegmentMemo(path, list, lambda parts: sum(parts, []))
+        known = MEMOS[path].learn(set(cut(text)))
+        assert sum((known[s] for s in cut(text)), []) == ids(tok, text)
 
 
 CACHE: list = []
+MEMOS: dict = {}
 
 
 def test_memo_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_SEGMENTS", 3)
-    memo = tokens.SegmentMemo(BYTE, len)
+    monkeypatch.setattr(tokens, "MEMO_PARTS", 3)
+    memo = tokens.SegmentMemo(BYTE, len, sum)
     assert set(memo.learn({"a", "b", "c"})) == {"a", "b", "c"}
-    assert set(memo.learn({"c", "d"})) == {"c", "d"}
+    assert set(memo.learn({"c", "d"})) == {"c", "d"} and set(memo.parts) == {"d"} | {"c"}
 
 
 def test_packing_of_the_whole_table(spark):
