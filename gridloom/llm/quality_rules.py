@@ -19,7 +19,7 @@ from gridloom.session import materialise
 COMMON = 24
 #: The languages with most words have references of their own, the others share that of the whole input. This bounds what is broadcast.
 LANGUAGES = 256
-#: A language with fewer words than this shares the whole input's reference too.
+#: Not used here: every language has its own reference. The SQL and the older tests still put languages with fewer words together with all others.
 LEAST_REFERENCE = 20_000
 #: A histogram is judged only with so many characters, or words, in it.
 LEAST_CHARS, LEAST_WORDS = 200, 100
@@ -116,7 +116,7 @@ def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: st
         return [F.sum("n").alias("words"), F.array(*[F.sum(F.col("n") * F.col("chars")[k]) for k in classes]).alias("chars")]
 
     named = sized.groupBy("lang").agg(*totals())
-    large = named.where(F.col("words") >= LEAST_REFERENCE).orderBy(F.desc("words"), "lang").limit(LANGUAGES)
+    large = named.where(F.col("lang") != _ALL).orderBy(F.desc("words"), "lang").limit(LANGUAGES)
     whole = sized.agg(*totals()).select(F.lit(_ALL).alias("lang"), "words", "chars").where("words > 0")
     sums = materialise(large.unionAll(whole), "languages")
     letters = counts.where(F.col("word").rlike(r"^\p{L}+$"))

@@ -1,6 +1,7 @@
 """Quality rules and the site classifier against plain Python, and held-out accuracy."""
 
 import math
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -103,6 +104,33 @@ def test_rules_on_edges(spark):
     assert qr.quality_rules(df.limit(0)).count() == 0
 
 
+def brute_by_language(rows):
+    """Each language alone, so its whole input is its own reference."""
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2] or ""].append(r)
+    return [w for own in groups.values() for w in brute_rules(own)]
+
+
+def test_rare_languages_have_their_own_reference(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    draw = random.Random(4)
+    uncased = ["".join(chr(0x10D0 + draw.randrange(30)) for _ in range(2 + k % 6)) for k in range(200)]
+    rows += [(10_000 + k, " ".join(draw.choices(uncased, [1 / (i + 1) for i in range(200)], k=150 + 20 * k)) + ".", "ka") for k in range(12)]
+    words = Counter()
+    for _, text, lang in rows:
+        words[lang or ""] += len(WORD.findall(text or ""))
+    rare = {lang for lang, n in words.items() if n < 20_000}
+    assert {"de", "fr", "es", "ka"} <= rare
+    got = qr.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    same(got, brute_by_language(rows))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").select("doc_id").collect()
+    clean = {r[0] for r in labels} & {i for i, _, lang in rows if lang in rare} | set(range(10_000, 10_012))
+    judged = [r for r in got if r["doc_id"] in clean and not r["base_failed"] and r["n_words"] >= qr.LEAST_WORDS]
+    assert len(judged) > 30 and all(r["kept"] for r in judged)
+
+
 def brute_sites(rows, labels):
     """rows of (id, text, host, path); labels of (id, good)."""
     known = defaultdict(list)
