@@ -17,7 +17,7 @@ from gridloom.session import materialise
 
 #: Commonest words of a language that are compared one by one; all others are one bin.
 COMMON = 24
-#: The languages with most words have references of their own, the others share that of the whole input. This bounds what is broadcast.
+#: The languages with most words, whose references are broadcast. All others are joined to theirs by a shuffle; none of them has more than 1 / 257 of the words.
 LANGUAGES = 256
 #: Not used here: every language has its own reference. The SQL and the older tests still put languages with fewer words together with all others.
 LEAST_REFERENCE = 20_000
@@ -29,7 +29,6 @@ MOST_CHARS, MOST_WORDS, SLACK = 0.27, 0.25, 3.0
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Character classes, taken out of the text one after the other; what is left is the last class.
 _CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "letter": r"[\p{L}\p{M}]+", "point": r"[.,;:!?'\"()\-]+"}
-_ALL = "*"
 #: Repeated windows of a text that are looked up one by one; beyond, its windows are sorted with their places.
 _FEW = 64
 
@@ -82,10 +81,17 @@ def _covered(starts: Column) -> Column:
     ))
 
 
-def measured(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc, words``: a struct with the row's number and counts, made before words are exploded, and its words in order."""
+def measured(
+    docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, carry: tuple[str, ...] = (), languages: DataFrame | None = None, within: bool = True
+) -> DataFrame:
+    """``doc, words``: a struct with the row's number and counts, made before words are exploded, and its words in order.
+
+    With ``languages`` (few, as they are broadcast) only rows of these, or of all others.
+    """
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col, **{c: c for c in carry})
     rows = rows.select("doc_id", *carry, F.coalesce("lang", F.lit("")).alias("lang"), text_or_empty("text").alias("text"))
+    if languages is not None:
+        rows = rows.join(F.broadcast(languages.select("lang")), "lang", "left_semi" if within else "left_anti")
     rows = with_char_classes(rows.withColumn("words", words_of(F.col("text"))), "text")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(
@@ -100,34 +106,26 @@ def measured(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, carr
 
 
 def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, common, shares, chars``: commonest words with their shares and character-class shares of each language.
+    """``lang, words, common, shares, chars``: number of words, commonest words with their shares and character-class shares of each language.
 
-    Counted over every word of every document; ``*`` is the whole input. Words count once per task before they are shuffled, and the commonest
+    Counted over every word of every document. Words count once per task before they are shuffled, and the commonest
     words are cut in each task before they meet, so a language that has most of the input is no single task's work.
     """
     rows = only(docs, text=text_col, lang=lang_col).select(
         F.coalesce("lang", F.lit("")).alias("lang"), F.explode(words_of(text_or_empty("text"))).alias("word")
     )
     counts = materialise(rows.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    sized = with_char_classes(counts, "word").select("lang", "word", "n", "chars")
-    classes = range(len(_CLASSES) + 1)
-
-    def totals(*by: str) -> list[Column]:
-        return [F.sum("n").alias("words"), F.array(*[F.sum(F.col("n") * F.col("chars")[k]) for k in classes]).alias("chars")]
-
-    named = sized.groupBy("lang").agg(*totals())
-    large = named.where(F.col("lang") != _ALL).orderBy(F.desc("words"), "lang").limit(LANGUAGES)
-    whole = sized.agg(*totals()).select(F.lit(_ALL).alias("lang"), "words", "chars").where("words > 0")
-    sums = materialise(large.unionAll(whole), "languages")
-    letters = counts.where(F.col("word").rlike(r"^\p{L}+$"))
-    every = letters.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(_ALL).alias("lang"), "word", "n")
+    sums = with_char_classes(counts, "word").groupBy("lang").agg(
+        F.sum("n").alias("words"), F.array(*[F.sum(F.col("n") * F.col("chars")[k]) for k in range(len(_CLASSES) + 1)]).alias("chars")
+    )
+    sums = materialise(sums, "languages")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = letters.unionAll(every).withColumn("rank", rank).where(F.col("rank") <= COMMON)
+    top = counts.where(F.col("word").rlike(r"^\p{L}+$")).withColumn("rank", rank).where(F.col("rank") <= COMMON)
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     share = lambda n, of: n.cast("double") / of
     return materialise(
         sums.join(top, "lang", "left").select(
-            "lang", F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
+            "lang", "words", F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
             F.coalesce(F.transform("top", lambda t: share(t["n"], F.col("words"))), F.array().cast("array<double>")).alias("shares"),
             let(F.aggregate("chars", F.lit(0).cast("long"), operator.add), lambda n: F.transform("chars", lambda c: share(c, n))).alias("chars"),
         ),
@@ -135,6 +133,29 @@ def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: st
     )
 
 
+def _bins_of_first(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """``doc, bins, shares, ref_chars`` by broadcast references: words are exploded in the scan's own task and summed to one row per document before the one shuffle."""
+    common = F.broadcast(references.select("lang", F.posexplode("common").alias("bin", "word")))
+    words = rows.select("doc", F.col("doc.lang").alias("lang"), F.explode_outer("words").alias("word"))
+    binned = words.join(common, ["lang", "word"], "left").groupBy("doc").agg(
+        *[F.sum(F.when(F.col("bin") == k, F.lit(1)).otherwise(F.lit(0))).alias(f"b{k}") for k in range(COMMON)]
+    )
+    few = F.broadcast(references.select("lang", "shares", F.col("chars").alias("ref_chars")))
+    return binned.join(few, binned["doc.lang"] == few["lang"], "left").select(
+        "doc", F.slice(F.array(*[F.col(f"b{k}") for k in range(COMMON)]), F.lit(1), F.size("shares")).alias("bins"), "shares", "ref_chars"
+    )
+
+
+def _bins_of_others(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """The same by a join of any size, documents and references dealt by language."""
+    joined = rows.join(references.drop("words").withColumnRenamed("chars", "ref_chars"), rows["doc.lang"] == references["lang"], "left")
+    hits = F.filter("words", lambda w: F.array_contains("common", w))
+    return joined.select(
+        "doc", let(hits, lambda held: F.transform("common", lambda c: F.size(F.filter(held, lambda w: w == c)).cast("long"))).alias("bins"),
+        "shares", "ref_chars",
+    )
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base two, of two arrays of shares: 0 for equal, 1 for disjoint ones."""
     def part(x: Column, y: Column) -> Column:
@@ -154,27 +175,19 @@ def quality_rules(
     whose histogram of character classes or of common words is farther from its language's than the limits. A histogram with too few
     characters or words is not judged (its distance is null).
 
-    Words are exploded in the scan's own task, matched to the broadcast common words (bounded by ``LANGUAGES`` and ``COMMON``) and summed to one row per document
-    before the one shuffle. ``carry`` names further columns that the result keeps. Null text has no words and fails the base; null languages are one language. Null ids, repeated rows and ties are judged
+    The references of the ``LANGUAGES`` languages with most words are broadcast (bounded by ``COMMON`` too); documents of any further languages are joined to
+    theirs by language, with the same result. ``carry`` names further columns that the result keeps. Null text has no words and fails the base; null languages are one language. Null ids, repeated rows and ties are judged
     row by row. An empty table gives an empty result; further columns are not read.
     """
     references = language_references(docs, text_col=text_col, lang_col=lang_col)
-    own = F.broadcast(references.where(F.col("lang") != _ALL).select("lang").withColumn("ref", F.col("lang")))
-    common = F.broadcast(references.select(F.col("lang").alias("ref"), F.posexplode("common").alias("bin", "word")))
-    rows = measured(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=carry)
-    words = rows.select("doc", F.explode_outer("words").alias("word"))
-    words = words.join(own, words["doc.lang"] == own["lang"], "left").select(
-        "doc", "word", F.coalesce("ref", F.lit(_ALL)).alias("ref")
-    )
-    hits = words.join(common, ["ref", "word"], "left")
-    binned = hits.groupBy("doc", "ref").agg(
-        *[F.sum(F.when(F.col("bin") == k, F.lit(1)).otherwise(F.lit(0))).alias(f"b{k}") for k in range(COMMON)]
-    )
-    judged = binned.join(
-        F.broadcast(references.select(F.col("lang").alias("ref"), "shares", F.col("chars").alias("ref_chars"))), "ref", "left"
-    )
+    part = functools.partial(measured, docs, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=carry)
+    if references.select("lang").limit(LANGUAGES + 1).count() <= LANGUAGES:
+        judged = _bins_of_first(part(), references)
+    else:
+        first = materialise(references.orderBy(F.desc("words"), "lang").limit(LANGUAGES), "first-languages")
+        judged = _bins_of_first(part(languages=first), first).unionByName(_bins_of_others(part(languages=first, within=False), references))
     n_words, n_chars = F.col("doc.n_words").cast("double"), F.col("doc.word_chars").cast("double")
-    bins = F.slice(F.array(*[F.col(f"b{k}") / n_words for k in range(COMMON)]), F.lit(1), F.size("shares"))
+    bins = F.transform("bins", lambda n: n / n_words)
 
     def with_rest(shares: Column) -> Column:
         rest = F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(shares, F.lit(0.0), operator.add))

@@ -131,6 +131,26 @@ def test_rare_languages_have_their_own_reference(spark):
     assert len(judged) > 30 and all(r["kept"] for r in judged)
 
 
+def test_more_languages_than_are_broadcast(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = []
+    for k in range(260):
+        own = [f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}" for a in "abcdefghijklmnopqrstuvwxyzäöüßçé"]
+        texts = [" ".join(draw.choices(own, [1 / (i + 1) for i in range(32)], k=120 + k % 7)) for _ in range(2)]
+        rows += [(3 * k + i, t, f"l{k}") for i, t in enumerate([*texts, "#1 $2 %3 " * (20 if k % 2 else 1) + texts[0]])]
+    rows += [(9000, None, "none"), (9001, "", None), (None, "of the", None), (9002, "7 8 9 " * 60, "digits"), (9002, "7 8 9 " * 60, "digits")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = brute_by_language(rows)
+    same(qr.quality_rules(df).collect(), want)
+    assert {w[-1] for w in want if w[1] >= qr.LEAST_WORDS} == {True, False}
+    kept = sorted(r[0] for r in qr.keep_fitting(df).collect())
+    assert kept == sorted(w[0] for w in want if w[-1])
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(qr, "LANGUAGES", 1)
+    same(qr.quality_rules(docs).collect(), brute_by_language([tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]))
+
+
 def brute_sites(rows, labels):
     """rows of (id, text, host, path); labels of (id, good)."""
     known = defaultdict(list)
