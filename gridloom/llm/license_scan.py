@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -69,24 +70,28 @@ def normalised_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def passages(text: str) -> Iterator[list[str]]:
-    """Words of every line, of every block of lines between lines without a word, and of the whole text.
+def passages(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a text, and where each line, each block of lines between lines without a word, and the whole text lie in them.
 
     A block of one line and a text of one block are not listed again.
     """
-    blocks: list[list[list[str]]] = [[]]
+    every: list[str] = []
+    lines, blocks, inside = [], [], False
     for line in text.split("\n"):
         if words := normalised_words(line):
-            yield words
-            blocks[-1].append(words)
-        elif blocks[-1]:
-            blocks.append([])
-    blocks = [b for b in blocks if b]
-    for block in blocks:
-        if len(block) > 1:
-            yield [w for words in block for w in words]
+            start = len(every)
+            every += words
+            lines.append((start, len(every)))
+            first, n = (blocks.pop() if inside else (start, 0))
+            blocks.append((first, n + 1))
+            inside = True
+        else:
+            inside = False
+    ends = [a for a, _ in blocks[1:]] + [len(every)]
+    spans = lines + [(a, b) for (a, n), b in zip(blocks, ends) if n > 1]
     if len(blocks) > 1:
-        yield [w for block in blocks for words in block for w in words]
+        spans.append((0, len(every)))
+    return every, spans
 
 
 class Templates:
@@ -98,6 +103,10 @@ class Templates:
         self.sizes = {name: sum(g.values()) for name, g in self.grams.items()}
         self.words = frozenset(w for name in self.grams for w in words[name])
         self.least_dice, self.ratio = least_dice, least_dice / (2 - least_dice)
+        self.holders: dict[tuple[str, str], list[str]] = {}
+        for name, grams in self.grams.items():
+            for g in grams:
+                self.holders.setdefault(g, []).append(name)
         self.low = self.ratio * min(self.sizes.values(), default=0)
         self.high = max(self.sizes.values(), default=-1) / self.ratio
 
@@ -121,13 +130,70 @@ class Templates:
                     yield name, dice
 
 
+    def windows(self, words: list[str], taken: list[tuple[str, int, int, float]]) -> Iterator[tuple[str, float]]:
+        """Templates and coefficients of windows of the words, wherever these start and end, outside the ``taken`` spans of the same template.
+
+        A window inside a span or window of a template that fits at least as well and holds all its bigrams is that template's own wording, and left out.
+
+        Bigrams at the ends of a best window are the template's, and at least ``ratio`` times the template's bigrams lie in it, so only starts
+        with so many of them within the largest size are followed. Each start has its best window; of windows that overlap the best stays, then the first.
+        """
+        places: dict[str, list[int]] = {}
+        for at, gram in enumerate(pairwise(words)):
+            for name in self.holders.get(gram, ()):
+                places.setdefault(name, []).append(at)
+        found = []
+        for name, hits in places.items():
+            size, held = self.sizes[name], self.grams[name]
+            least, most = max(1, math.ceil(self.ratio * size - 1e-9)), size / self.ratio + 1e-9
+            for i in range(len(hits) - least + 1):
+                start = hits[i]
+                if hits[i + least - 1] - start + 1 > most:
+                    continue
+                both, seen, best, end = 0, {}, 0.0, 0
+                for j in range(i, len(hits)):
+                    own = hits[j] - start + 1
+                    if own > most:
+                        break
+                    gram = words[hits[j]], words[hits[j] + 1]
+                    seen[gram] = n = seen.get(gram, 0) + 1
+                    both += n <= held[gram]
+                    if (dice := 2.0 * both / (own + size)) > best:
+                        best, end = dice, hits[j] + 2
+                if best >= self.least_dice:
+                    found.append((-best, start, -end, name))
+        if not found:
+            return
+        used: dict[str, bytearray] = {}
+        spans: dict[str, list[tuple[int, int, float]]] = {}
+
+        def take(name: str, a: int, b: int, dice: float) -> None:
+            used.setdefault(name, bytearray(len(words)))[a:b] = b"\1" * (b - a)
+            spans.setdefault(name, []).append((a, b, dice))
+
+        for span in taken:
+            take(*span)
+        for dice, a, end, name in sorted(found):
+            b = -end
+            if name in used and any(used[name][a:b]):
+                continue
+            grams = set(pairwise(words[a:b]))
+            if not any(
+                other != name and all(used[other][a:b]) and grams <= self.grams[other].keys() and any(x <= a and b <= y and -dice <= d for x, y, d in near)
+                for other, near in spans.items()
+            ):
+                take(name, a, b, -dice)
+                yield name, -dice
+
+
 def license_scan(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
     least_dice: float = LEAST_DICE,
 ) -> DataFrame:
     """``doc_id, template, passages, dice``: per row of ``docs`` and template, how many passages reach ``least_dice`` and the best coefficient.
 
-    A passage is a line, a block of lines or the whole text, in lower case with everything but a-z and 0-9 as white space. Dice is twice the
+    A passage is a line, a block of lines or the whole text, in lower case with everything but a-z and 0-9 as white space; beside these, any window of the text's
+    words, inside a line or over several lines and blocks, where none of them reaches the template (see ``Templates.windows``). Dice is twice the
     bigrams in common, with their multiplicity, over the bigrams of both. A coefficient of at least d needs sizes whose ratio lies between d / (2 - d)
     and its inverse: passages outside the bounds of every template are passed over, and a passage meets only the templates inside its own bounds.
     The templates travel with the function, as the caller's list does not grow with the data. A narrow map: no shuffle.
@@ -144,9 +210,14 @@ def license_scan(
             at, names, counts, best = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 found: dict[str, list[float]] = {}
-                for words in passages(text or ""):
-                    for name, dice in known.hits(words):
+                taken: list[tuple[str, int, int, float]] = []
+                words, spans = passages(text or "")
+                for a, b in spans:
+                    for name, dice in known.hits(words[a:b]):
                         found.setdefault(name, []).append(dice)
+                        taken.append((name, a, b, dice))
+                for name, dice in known.windows(words, taken):
+                    found.setdefault(name, []).append(dice)
                 for name, values in sorted(found.items()):
                     at.append(i)
                     names.append(name)

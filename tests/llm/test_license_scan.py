@@ -1,5 +1,6 @@
 """Licence scans against every pair of passage and template."""
 
+import random
 import re
 from collections import Counter
 
@@ -69,3 +70,44 @@ def test_bounds_lose_nothing():
             own = Counter(zip(w, w[1:]))
             want = {t: d for t, held in known.grams.items() if n > 1 and (d := 2.0 * sum((own & held).values()) / (n - 1 + known.sizes[t])) >= 0.5}
             assert dict(known.hits(w)) == want
+
+
+def test_licences_inside_long_documents(spark):
+    t = ls.TEMPLATES
+    parts = {
+        "mit/text": re.split(r"(?<=conditions:)|(?<=the Software\.)(?= THE)", t["mit/text"]),
+        "gpl-3.0/header": re.split(r"(?<=later version\.)|(?<=PURPOSE\.)", t["gpl-3.0/header"]),
+        "apache-2.0/header": re.split(r"(?<=with the License\.)|(?<=LICENSE-2\.0)", t["apache-2.0/header"]),
+    }
+    prose = " ".join(f"word{k % 97} is of the other{k % 31}" for k in range(100))
+    rows, want = [], set()
+    for k, (name, paragraphs) in enumerate(parts.items()):
+        assert len(paragraphs) == 3
+        for m, between in enumerate(["\n\n", "\n#\n# ", "\n *\n * "]):
+            rows.append((10 * k + m, f"Head of the file{between}{between.join(paragraphs)}\n\n{prose}"))
+            want.add((10 * k + m, name))
+    rows += [(50, f"{prose}. Licensed under CC BY 4.0. {prose}"), (51, f"{prose}; all rights reserved, {prose}\n{prose}. All rights\n\nreserved."), (52, prose)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r[0], r[1]): (r[2], r[3]) for r in ls.license_scan(df).collect()}
+    assert want | {(50, "cc-by-4.0/notice"), (51, "all-rights-reserved/notice")} <= set(got)
+    assert got[50, "cc-by-4.0/notice"] == (1, 1.0) and got[51, "all-rights-reserved/notice"] == (2, 1.0)
+    assert not any(i == 52 for i, _ in got)
+
+
+def test_windows_lose_nothing():
+    known = ls.Templates({"a": "one two three four five six", "b": "six five four", "c": "one two one two one"}, 0.7)
+    draw = random.Random(5)
+    for _ in range(300):
+        w = draw.choices(["one", "two", "three", "four", "five", "six", "x"], k=draw.randrange(0, 25))
+        want = {}
+        for a in range(len(w)):
+            for b in range(a + 2, len(w) + 1):
+                own = Counter(zip(w[a:b], w[a + 1:b]))
+                for t, held in known.grams.items():
+                    dice = 2.0 * sum((own & held).values()) / (b - a - 1 + known.sizes[t])
+                    if dice >= 0.7:
+                        want[t] = max(dice, want.get(t, 0))
+        got = {}
+        for t, dice in known.windows(w, []):
+            got[t] = max(dice, got.get(t, 0))
+        assert got == want
