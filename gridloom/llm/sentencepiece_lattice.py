@@ -182,10 +182,10 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     return materialise(edges.mapInArrow(_fold(model), "unit string, n long, ids array<int>"), "unit-ids")
 
 
-def _numbered(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    rows = only(docs, doc_id=id_col, text=text_col)
+def _numbered(docs: DataFrame, model: Model, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    rows = only(docs, doc_id=id_col, text=text_col, **{c: c for c in carry})
     return rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", units_of(text_or_empty("text"), model).alias("units")
+        F.monotonically_increasing_id().alias("row"), "doc_id", *carry, units_of(text_or_empty("text"), model).alias("units")
     )
 
 
@@ -195,18 +195,21 @@ def dictionary(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     return encode_units(found.groupBy("unit").agg(F.count("*").alias("n")), model)
 
 
-def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, ids``: the ids of each row's text, as the library gives them without begin or end.
 
     Null text counts as empty and has no ids; a character that is no piece becomes its bytes. Null ids and repeated rows are
-    encoded each. Texts of any length work: long units are cut into blocks. An empty table gives an empty result; further columns are not read.
+    encoded each. Texts of any length work: long units are cut into blocks. ``carry`` names further columns that the result keeps;
+    they travel with a text's first unit only. An empty table gives an empty result; other columns are not read.
     """
     known = dictionary(docs, model, text_col=text_col)
-    units = _numbered(docs, model, id_col, text_col).select("row", "doc_id", F.posexplode_outer("units").alias("pos", "unit"))
+    units = _numbered(docs, model, id_col, text_col, carry).select("row", "doc_id", *carry, F.posexplode_outer("units").alias("pos", "unit"))
+    units = units.withColumns({c: F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(c)) for c in carry})
     placed = units.join(known.select("unit", "ids"), "unit", "left").groupBy("row", "doc_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("pos", "ids")))).alias("parts")
+        F.sort_array(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("pos", "ids")))).alias("parts"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
     )
-    return placed.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
+    return placed.select("doc_id", *carry, F.flatten(F.col("parts.ids")).alias("ids"))
 
 
 def encode_summary(
@@ -252,12 +255,16 @@ def encode_summary(
     ).drop("row")
 
 
-def decode(encoded: DataFrame, model: Model, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(
+    encoded: DataFrame, model: Model, *, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """``doc_id, text``: pieces joined, bytes read as UTF-8, marks turned into spaces, the first one taken off.
 
     Null or empty ids give an empty text; control and unknown ids have none. Bytes that are no UTF-8 become the replacement character.
+    ``carry`` names further columns that the result keeps.
     """
-    rows, spelled = only(encoded, doc_id=id_col, ids=ids_col), model.spelled()
+    rows, spelled = only(encoded, doc_id=id_col, ids=ids_col, **{c: c for c in carry if c != "ids"}), model.spelled()
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,6 +272,8 @@ def decode(encoded: DataFrame, model: Model, *, id_col: str = "doc_id", ids_col:
             for ids in batch.column("ids").to_pylist():
                 text = b"".join(spelled.get(i, b"") for i in ids or ()).decode("utf-8", "replace").replace(SPACE_MARK, " ")
                 texts.append(text.removeprefix(" "))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            yield pa.record_batch(
+                [*[batch.column(c) for c in ("doc_id", *carry)], pa.array(texts, pa.string())], names=["doc_id", *carry, "text"]
+            )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(run, f"{kinds}, text string")

@@ -1,5 +1,7 @@
 """SentencePiece encoding against the library, and back."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -50,6 +52,19 @@ def test_summary_of_odd_texts(spark, model, frequent):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_query_encodes_and_decodes(spark, library):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op10_sentencepiece"](spark, SF).collect()}
+    want = {i: (len(ids := library.encode(t or "")), ids, hashlib.sha256((t or "").encode()).hexdigest(), True) for i, t in rows}
+    assert got == want
+
+
+def test_carried_columns(spark, model):
+    docs = frame(spark, ODD).withColumn("source", F.coalesce("text", F.lit("")))
+    back = sl.decode(sl.encode(docs, model, carry=("source",)), model, carry=("ids", "source")).collect()
+    assert len(back) == len(ODD) and all(r["text"] == r["source"].replace("▁", " ") for r in back)
+
+
 def test_whole_table(spark, model, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
