@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import (
-    chat_format, exact_dedup, license_scan, line_dedup, oracles, packing, quality_rules, sentencepiece_lattice, simhash, site_quality, token_counts,
+    chat_format, conversation_sql, exact_dedup, language_id, license_scan, line_dedup, oracles, packing, prefix_trie, quality_rules, sentencepiece_lattice, simhash,
+    site_quality, structure_repair, token_counts,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,19 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256", (F.col("decoded_sha256") == F.col("source_sha256")).alias("same")
     )
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
+@query("op12_prefix_trie", conversation_sql.PREFIX_TRIE)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(conversations), conversations.select("conv_id"))
+
+
+@query("op13_structure_repair", conversation_sql.STRUCTURE_REPAIR)
+def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return structure_repair.damaged_and_repaired(table(spark, folder, "conversations"))
