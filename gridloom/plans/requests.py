@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.tensor import (
-    denormalise_rows, normalise_rows, shape_verdict, statistics_columns, statistics_fault, tensor_statistics,
-)
+from gridloom.operators.tensor import shape_verdict, statistics_columns, statistics_fault
+from gridloom.plans.forward import Loader, forward_outcomes
 from gridloom.schema import GUARD_ELEMENTS
 from gridloom.session import materialise
 
-RowModel = Callable[[DataFrame], DataFrame]
 STATS = ["elements", "finite", "nan_count", "min", "max", "mean", "std"]
 
 
@@ -58,58 +54,48 @@ def named_tensors(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select("tensor_uri").distinct(), "tensor_uri", "left_semi")
 
 
-def forward_statistics(
-    rows: DataFrame, wanted: DataFrame, stats: DataFrame, model: RowModel, channels: int = 20
-) -> DataFrame:
-    """Normalise, run the model, restore, describe: once per distinct tensor, row by row.
-
-    ``model`` maps row-tensors to row-tensors and owns its own distribution.
-    """
-    picked = named_tensors(rows, wanted)
-    output = denormalise_rows(model(normalise_rows(picked, stats, channels)), stats, channels)
-    return tensor_statistics(output, "tensor_uri")
+def statistics_block(stats: DataFrame, channels: int = 20) -> DataFrame:
+    """One row, ``stats``: what the tables of means and deviations hold, as every report repeats it."""
+    inside = stats.where(F.col("channel_index").between(0, channels - 1))
+    sides = []
+    for name, column in (("global_means", "mean"), ("global_stds", "std")):
+        facts = inside.agg(F.struct(F.array(F.lit(1), F.count("*").cast("int"), F.lit(1), F.lit(1)).alias("shape"), *statistics_columns(column)).alias(name))
+        sides.append(facts.withColumn("_one", F.lit(1)))
+    return sides[0].join(sides[1], "_one").select(F.struct("global_means", "global_stds").alias("stats"))
 
 
 def request_reports(
     requests: DataFrame, rows: DataFrame, stats: DataFrame, *, timestamp_utc: str,
-    model: RowModel | None = None, grid=(20, 720, 1440),
+    model: Loader | None = None, model_name: str = "model", grid=(20, 720, 1440),
 ) -> DataFrame:
-    """One report per request line; no request can fail the job.
+    """One report per request line; no request can fail the job, and none can fail another.
 
     Only tensors that a request names are profiled, once each. The model sees the tensors of accepted forward requests alone: found, without a parse error, inside the
-    guard and of the right shape. If it fails, or the statistics do not hold each channel once, the reports of those requests say so.
+    guard and of the right shape. It runs once a tensor, and what it raises is in the reports of those requests that name the tensor. Faulty statistics are in the reports of all accepted ones.
+    ``forward`` tells how a forward request went (null for others): guard limit and elements where the guard blocked it, expected and found
+    shape where they differ, shapes and error otherwise. ``stats`` describes the statistics tables.
     """
     named = requests.where(F.col("error").isNull()).select(F.col("input_s3_uri").alias("tensor_uri"))
     plan = request_plan(requests, tensor_profiles(named_tensors(rows, named)), grid)
-    plan = plan.withColumn("fault", F.lit(None).cast("string"))
-    if model is None:
-        plan = plan.withColumn("output_stats", F.lit(None).cast(plan.schema["input_tensor"].dataType))
-        missing_model = F.lit("model_not_available")
-    else:
-        accepted = (F.col("mode") == "forward") & F.col("error").isNull() & F.col("found") & F.col("forward_reason").isNull()
+    accepted = (F.col("mode") == "forward") & F.col("error").isNull() & F.col("found") & F.col("forward_reason").isNull()
+    fault = statistics_fault(stats, grid[0]) if model is not None else None
+    if model is not None and fault is None:
         ready = materialise(plan.where(accepted).select(F.col("input_s3_uri").alias("tensor_uri")).distinct(), "accepted")
-        nothing = F.lit(None).cast(plan.schema["input_tensor"].dataType)
-        missing_model = F.lit(None).cast("string")
-        if fault := statistics_fault(stats, grid[0]):
-            plan = plan.withColumns({"output_stats": nothing, "fault": F.when(accepted, F.lit(fault))})
-        else:
-            try:
-                outputs = materialise(
-                    forward_statistics(rows, ready, stats, model, grid[0]).select(
-                        F.col("tensor_uri").alias("input_s3_uri"), F.struct(*STATS).alias("output_stats")
-                    ),
-                    "outputs",
-                )
-                plan = plan.join(outputs, "input_s3_uri", "left")
-            except Exception:  # whatever a model raises belongs to the report
-                plan = plan.withColumn("output_stats", nothing)
-                missing_model = F.lit("forward_execution_failed")
-    reason = F.when(
-        (F.col("mode") == "forward") & F.col("found") & F.col("error").isNull(),
-        F.coalesce("forward_reason", missing_model),
-    )
-    bad_request = F.col("error").isNotNull() | F.col("fault").isNotNull()
-    failed = ~F.col("found") | bad_request
+        outcomes = materialise(forward_outcomes(rows, ready, stats, model, grid[0], model_name), "outcomes").select(
+            F.col("tensor_uri").alias("input_s3_uri"), "output_shape", F.col("error_type").alias("_raised"), F.col("error_message").alias("_message"),
+            F.when(F.col("error_type").isNull(), F.struct(*STATS)).alias("output_stats"),
+        )
+        plan = plan.join(outcomes, "input_s3_uri", "left")
+    else:
+        nothing = {"output_shape": "array<int>", "_raised": "string", "_message": "string"}
+        plan = plan.withColumns({c: F.lit(None).cast(kind) for c, kind in nothing.items()}).withColumn(
+            "output_stats", F.lit(None).cast(plan.schema["input_tensor"].dataType)
+        )
+    plan = plan.withColumn("fault", F.when(accepted, F.lit(fault).cast("string")))
+    tried = (F.col("mode") == "forward") & F.col("found") & F.col("error").isNull() & F.col("fault").isNull()
+    not_run = F.lit("model_not_available") if model is None else F.when(F.col("_raised").isNotNull(), "forward_execution_failed")
+    reason = F.when(tried, F.coalesce("forward_reason", not_run))
+    failed = ~F.col("found") | F.col("error").isNotNull() | F.col("fault").isNotNull()
     ok = ~failed & F.when(F.col("mode") == "forward", reason.isNull()).otherwise(True)
     result = (
         F.when(failed, "prediction_failed")
@@ -121,14 +107,23 @@ def request_reports(
         F.when(F.col("input_s3_uri") == "", "No tensor provided")
         .when(~F.col("found"), F.concat(F.lit("tensor not found: "), "input_s3_uri")),
     )
-    return plan.select(
+    blocked, misshapen = (F.coalesce(reason == r, F.lit(False)) for r in ("runtime_guard_blocked_large_tensor", "input_shape_mismatch"))
+    forward = F.when(tried, F.struct(
+        reason.isNull().alias("ok"), reason.alias("reason"),
+        F.when(blocked, GUARD_ELEMENTS).alias("guard_elements_limit"), F.when(blocked, F.col("elements")).alias("tensor_elements"),
+        F.when(misshapen, F.array(*[F.lit(x) for x in grid])).alias("expected"), F.when(misshapen, F.slice("shape", -3, 3)).alias("got"),
+        F.when(~blocked, F.col("shape")).alias("input_shape"), F.col("output_shape"), F.col("output_stats"),
+        F.col("_raised").alias("error_type"), F.col("_message").alias("error_message"),
+    ))
+    reports = plan.select(
         "request_id", "mode", ok.alias("ok"), result.alias("result"),
         reason.alias("reason"), "input_s3_uri", "output_s3_uri", "shape",
         F.when(failed, "ValueError").alias("error_type"), message.alias("error_message"),
-        "input_tensor",
-        F.when(ok & (F.col("mode") == "forward"), F.col("output_stats")).alias("output_stats"),
-        F.lit(timestamp_utc).alias("timestamp_utc"),
+        "input_tensor", F.when(ok & (F.col("mode") == "forward"), F.col("output_stats")).alias("output_stats"),
+        forward.alias("forward"), F.lit(timestamp_utc).alias("timestamp_utc"),
     )
+    block = statistics_block(stats, grid[0])  # one row
+    return reports.withColumn("_one", F.lit(1)).join(F.broadcast(block.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 # Reasons that count as an expected failure.
