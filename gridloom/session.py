@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,47 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are removed at the end, also after an error; so everything that reads them must be written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_path(spark, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, where = _hadoop(spark, path)
+    return files.exists(where)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path; none if it is not there."""
+    files, where = _hadoop(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()] if files.exists(where) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
 
 
 def materialise(df: DataFrame, label: str, *partition_by: str, compression: str = "snappy") -> DataFrame:

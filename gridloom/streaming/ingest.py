@@ -10,10 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.plans.classify import score_points
 from gridloom.schema import MODEL_GRID, TIDY_BODY, GridSpec
+from gridloom.session import materialise, scratch_scope
+from gridloom.sources import commits
 from gridloom.sources.writers import TIME_PARTITIONS, with_time_partitions
 
-#: Files of one micro-batch; this also bounds the keys that a batch touches.
+#: Files of one micro-batch.
 FILES_PER_BATCH = 1000
+#: Values of a key that are written into a scan's filter; beyond, a join filters.
+LITERAL_KEYS = 1000
 
 
 def arrivals(spark: SparkSession, landing: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -53,45 +57,46 @@ def validate_arrivals(
     )
 
 
+def touched_rows(table: DataFrame, touched: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``table`` whose keys are among ``touched``.
+
+    Folders are pruned by literals only where few values are counted; else the semi-join does it, at run time.
+    """
+    counts = touched.agg(*[F.count_distinct(k).alias(k) for k in keys]).first()
+    for k in keys:
+        if counts[k] <= LITERAL_KEYS:
+            table = table.where(F.col(k).isin([r[0] for r in touched.select(k).where(F.col(k).isNotNull()).distinct().collect()]))
+    return table.join(touched, list(keys), "left_semi")
+
+
 def tensor_publisher(
-    tidy_table: str, report_path: str, tensor_path: str, *keys: str, spec: GridSpec = MODEL_GRID,
+    tidy_table: str, base: str, *keys: str, spec: GridSpec = MODEL_GRID,
     extra: str = "", channels=None, policy: str = "fail",
 ) -> Callable[[DataFrame, int], None]:
     """Handler that judges the steps of a batch on their whole rows in the tidy table.
 
-    A step may arrive in several files. Only its newest state in the table counts, and its report and
-    tensor replace the earlier ones.
+    A step may arrive in several files. Only its newest state in the table counts. Reports, tensors and manifest rows of a batch become visible together, by the commit of the batch's
+    number below ``base``: a handler that is cut off leaves the earlier state, and a batch that is sent again after its commit changes nothing.
     """
     from gridloom.plans.tensor_job import run_tensor_job
     from gridloom.schema import TIDY
 
     schema = TIDY + (f", {extra}" if extra else "")
 
-    def handle(batch: DataFrame, _batch_id: int) -> None:
-        touched = batch.select(*keys).distinct()
+    def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        whole = spark.read.schema(schema).parquet(tidy_table)
-        named = touched.agg(*[F.collect_set(k).alias(k) for k in keys]).first()  # as many values as the batch has files, at most
-        for k in keys:
-            whole = whole.where(F.col(k).isin(named[k]))  # literal, so folders of other keys are not listed
-        whole = whole.join(touched, list(keys), "left_semi")
-        job = run_tensor_job(whole, *keys, spec=spec, allow_incomplete=True, channels=channels, policy=policy)
-        summary = job.steps.withColumn("tensor_shape", F.to_json("tensor_shape"))
-        for rows, path in ((summary, report_path), (job.tensors, tensor_path)):
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        if commits.is_committed(spark, base, batch_id):
+            return
+        with scratch_scope(spark):
+            touched = materialise(batch.select(*keys).distinct(), "touched")
+            rows = spark.read.schema(schema).parquet(tidy_table)
+            whole = touched_rows(rows.withColumn("step_file", F.col("_metadata.file_name")), touched, *keys)
+            job = run_tensor_job(whole, *keys, spec=spec, allow_incomplete=True, channels=channels, policy=policy)
+            commits.publish_job(job, base, batch_id, *keys, sources=commits.source_files(whole, *keys))
 
     return handle
 
 
-def published_tensors(spark: SparkSession, report_path: str, tensor_path: str, *keys: str) -> DataFrame:
-    """Row-tensors of the steps whose newest report says that they are written.
-
-    A step that turned bad keeps its old folder until a rerun replaces it; this is the reader that does not see it.
-    """
-    good = spark.read.parquet(report_path).where("tensor_write_reason = 'written'").select(*keys).distinct()
-    return spark.read.parquet(tensor_path).join(good, list(keys), "left_semi")
-
-
 def score_arrivals(spark: SparkSession, landing: str, target: str, log: str, config: dict | None = None) -> StreamingQuery:
     """Classifier scores of newly landed points; stateless, so append mode needs no watermark."""
     points = arrivals(spark, landing, "event_id BIGINT, lat DOUBLE, lon DOUBLE, t2m DOUBLE")
