@@ -109,9 +109,14 @@ def validation_report(
             F.array(*[F.lit(c) for c in absent]).alias("missing_columns"),
         )
 
+    return facet_report(point_facets(normalise_level(df), *keys, channels=channels), *keys, policy=policy, spec=spec, channels=channels)
+
+
+def facet_report(facets: DataFrame, *keys: str, policy: str = "fail", spec: GridSpec = MODEL_GRID, channels=None) -> DataFrame:
+    """The report of every step from the counts of its channels and coordinates (see ``point_facets``)."""
     is_ = lambda facet: F.col("facet") == facet
     lat = F.when(is_("lat"), F.col("lat"))
-    step = point_facets(normalise_level(df), *keys, channels=channels).groupBy(*keys).agg(
+    step = facets.groupBy(*keys).agg(
         F.sum(F.when(is_("lat"), F.col("rows"))).alias("row_count"),
         F.count(lat).alias("observed_lat_count"),
         F.count(F.when(is_("lon"), F.col("lon"))).alias("observed_lon_count"),

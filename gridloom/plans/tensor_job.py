@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.extract import ContractError
-from gridloom.operators.tensor import field_cells, published_rows, tensor_rows, tensor_status
-from gridloom.operators.validate import check_policy, validation_report
+from gridloom.operators.assemble import assembled_rows, availability, line_facets, no_points, off_grid_points, step_lines
+from gridloom.operators.tensor import published_rows, tensor_status
+from gridloom.operators.validate import check_policy, facet_report, report_columns
 from gridloom.schema import MODEL_GRID, GridSpec
 from gridloom.session import materialise
 
@@ -25,15 +26,21 @@ def run_tensor_job(
     tidy: DataFrame, *keys: str, policy: str = "fail", spec: GridSpec = MODEL_GRID,
     allow_incomplete: bool = False, channels=None,
 ) -> TensorJob:
-    """All steps of all requested partitions in one job.
+    """All steps of all requested partitions in one job, with a single shuffle of their rows.
 
+    The lines of the steps are assembled once. Reports (with the available variables and levels) are rolled up from them, and the lines of good steps are the row-tensors.
     Reports and row-tensors are written to the shared folder first. A strict job stops before
     anything is handed out if one step is not good, so nothing half-publishes.
     """
     policy = check_policy(policy)
-    reports = materialise(validation_report(tidy, *keys, policy=policy, spec=spec, channels=channels), "reports")
-    cells = field_cells(tidy, reports, *keys, spec=spec, channels=channels)
-    rows = materialise(tensor_rows(cells, *keys, spec=spec), "rows")
+    if absent := report_columns(tidy):
+        raise ContractError(f"the tidy table lacks {', '.join(absent)}; no step can be judged")
+    lines = step_lines(tidy, *keys, spec=spec, channels=channels)
+    beside = off_grid_points(tidy, *keys, spec=spec, channels=channels) if lines.where("off_grid > 0").limit(1).count() else None
+    facets = line_facets(lines, beside if beside is not None else no_points(lines, *keys), *keys)
+    reports = facet_report(facets, *keys, policy=policy, spec=spec, channels=channels)
+    reports = materialise(reports.join(availability(lines, *keys), list(keys), "left"), "reports")
+    rows = materialise(assembled_rows(lines, reports, *keys, spec=spec), "rows")
     status = materialise(tensor_status(rows, *keys, spec=spec, channels=channels), "status")
     steps = reports.select(*keys, "ok").join(status, list(keys), "left").select(
         *keys,
