@@ -1,11 +1,12 @@
 """Exact nearest-point and k-nearest lookups as an equi-join.
 
-A lookup table is built from the model points once: the plane is cut into square leaves, and each
-leaf lists every model point that can be among the ``k`` nearest of any position inside it. A probe
-finds its leaf by arithmetic, joins one row and picks from a short list. No probe meets the
+A lookup table is built from the model points once: the plane is cut into squares, and each of them
+lists every model point that can be among the ``k`` nearest of any position inside it. A probe
+finds its square by arithmetic, joins one row and picks from a short list. No probe meets the
 whole model, and the probes are shuffled at most once.
 
-Cells and point groups are refined together, coarse to fine. A point group leaves the list of a cell
+Models that are spread about evenly, as forecast grids are, use one net of equal cells (``cells.py``). Others, with dense knots or wide empty spaces, use leaves of many sizes:
+cells and point groups are refined together, coarse to fine. A point group leaves the list of a cell
 once ``k`` known points beat it at all four corners: the difference of two squared distances is
 linear in the position, so a corner-wise win is a win everywhere inside. The lists are therefore complete, whatever
 the layout of the points.
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.coords import finite
+from gridloom.operators.cells import Net, build_cells
 from gridloom.session import materialise
 
 LEAST_HALF = 512.0    # the plane is at least [-512, 512) in both directions; positions beyond double it
@@ -109,7 +111,7 @@ def _prune(pairs: DataFrame, k: int, half: float) -> DataFrame:
 
 @dataclass
 class NearestIndex:
-    """Lookup table of one model: ``leaves`` (leaf_id, candidates), the ``levels`` in use and the
+    """Lookup table of one model: cells of a ``net`` (cell, candidates), or ``leaves`` (leaf_id, candidates), the ``levels`` in use and the
     rare ``crowded`` leaves whose lists are kept as rows."""
 
     leaves: DataFrame
@@ -120,6 +122,7 @@ class NearestIndex:
     points: DataFrame
     half: float
     wrap: bool
+    net: Net | None = None
 
 
 def model_points(grid: DataFrame, k: int, wrap: bool = False) -> DataFrame:
@@ -242,15 +245,18 @@ def build_index(
     if wrap and k > 1:
         raise ValueError("longitude wrap is offered for the single nearest point only")
     seen = Observation()
-    edges = [f"{f}({c}) AS {f}_{c}" for c in ("lat", "lon", "lon_at") for f in ("min", "max")]
+    edges = [f"{f}({c}) AS {f}_{c}" for c in ("lat", "lon", "lon_at") for f in ("min", "max")] + ["count(*) AS total"]
     points = materialise(model_points(grid, k, wrap).observe(seen, *[F.expr(e) for e in edges]), "points")
-    box = seen.get
+    box = dict(seen.get)
+    total = box.pop("total") or 0
     if domain is None:
         domain = (
             min(WORLD[0], box["min_lat"] or 0.0), max(WORLD[1], box["max_lat"] or 0.0),
             min(WORLD[2], box["min_lon"] or 0.0), max(WORLD[3], box["max_lon"] or 0.0),
         )
     half = plane_half(*domain, *[v for v in box.values() if v is not None])
+    if even := build_cells(points, total, k, domain):
+        return NearestIndex(even[0], None, [], k, domain, grid, half, wrap, even[1])
     level = FIRST_LEVEL
     pairs = _groups(points, level, half).selectExpr("*", f"inline({_first_cells(domain, half)}) AS (qx, qy)").selectExpr(
         f"{level} AS qlevel", "*", "DOUBLE('Infinity') AS reach"
@@ -332,6 +338,10 @@ def nearest_hits(probes: DataFrame, index: NearestIndex, lat: str = "lat", lon:
     at = position(index, lat, lon)
     placed = probes.withColumns({"_lat": at[0], "_lon": at[1]})
     inside = _usable(F.col("_lat"), F.col("_lon")) & _in_domain(F.col("_lat"), F.col("_lon"), index.domain)
+    if index.net:
+        located = placed.withColumn("_in", inside).selectExpr("*", f"IF(_in, {index.net.cell_sql('_lat', '_lon')}, NULL) AS _cell")
+        found = located.join(index.leaves.withColumnRenamed("cell", "_cell"), "_cell", "left")
+        return found.selectExpr(*[f"`{n}`" for n in names], f"{_best(index.k)} AS hits")
     keys = [leaf_sql(lv, cell_sql("_lat", lv, index.half), cell_sql("_lon", lv, index.half)) for lv in index.levels]
     placed = placed.withColumn("_in", inside)
     leaves = index.leaves.withColumnRenamed("leaf_id", "_leaf")
