@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.profile import null_counts
+from gridloom.sources.files import hashed_files
 
 # Contract types and the Spark types that satisfy them.
 CONTRACT_TYPES = {
@@ -71,14 +72,8 @@ def model_table_faults(model: DataFrame) -> DataFrame:
 
 
 def asset_inventory(spark, path: str, glob: str = "*") -> DataFrame:
-    """Size and SHA-256 of every file below ``path``, one file per row."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).load(path)
-    )
-    return files.select(
-        "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    """Size and SHA-256 of every file below ``path``, one file per row, of any size."""
+    return hashed_files(spark, path, glob)
 
 
 def inventory_verdict(assets: DataFrame, checks: DataFrame) -> DataFrame:

@@ -114,8 +114,8 @@ def write_zone_map(zones: DataFrame, path: str) -> str:
     return path
 
 
-def create_prediction_table(spark: SparkSession, table: str, path: str) -> None:
-    """External table over the prediction folders; existing partitions are registered."""
+def create_prediction_table(spark: SparkSession, table: str, path: str, *, discover: bool = True) -> None:
+    """External table over the prediction folders; ``discover`` registers all that are there, by a listing of the whole table."""
     parts = set(PREDICTION_PARTITIONS)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in prediction_schema() if f.name not in parts]
     fields += [f"{name} string" for name in PREDICTION_PARTITIONS]
@@ -123,7 +123,25 @@ def create_prediction_table(spark: SparkSession, table: str, path: str) -> None:
         f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(fields)}) USING PARQUET "
         f"PARTITIONED BY ({', '.join(PREDICTION_PARTITIONS)}) LOCATION '{path}'"
     )
-    spark.sql(f"MSCK REPAIR TABLE {table}")
+    if discover:
+        spark.sql(f"MSCK REPAIR TABLE {table}")
+
+
+#: Partitions of one statement.
+PARTITIONS_PER_STATEMENT = 100
+
+
+def register_partitions(spark: SparkSession, table: str, written: DataFrame) -> int:
+    """Add the partitions that ``written`` has rows for to a table, and return their number; no other folder is listed.
+
+    A write names each of its folders to the driver anyway, and no more of them come here.
+    """
+    folders = sorted(tuple(r) for r in written.select(*PREDICTION_PARTITIONS).distinct().collect())
+    quoted = lambda v: "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    clauses = [f"PARTITION ({', '.join(f'{c} = {quoted(v)}' for c, v in zip(PREDICTION_PARTITIONS, folder))})" for folder in folders]
+    for at in range(0, len(clauses), PARTITIONS_PER_STATEMENT):
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(clauses[at:at + PARTITIONS_PER_STATEMENT])}")
+    return len(folders)
 
 
 def inspect_predictions(df: DataFrame, limit: int = 50, **partition: str) -> DataFrame:
