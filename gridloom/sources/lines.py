@@ -12,8 +12,8 @@ from gridloom.schema import REQUEST_MODES
 from gridloom.session import materialise
 
 
-def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 1-based number over all files of ``path``: by folder, part number and name.
+def read_numbered_lines(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with their 1-based number over all files of ``path``: by folder, part number and name; ``keep`` may name ``_file`` and ``_start``, their file and split.
 
     The text is scanned once and written with the number that each task gave its lines, so the offsets of the file splits, one small row each,
     belong to the same cut of the files. A split without an offset stops the job.
@@ -42,7 +42,7 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     number = F.col("_seq") - F.col("_base") + F.col("_before") + 1
     return lines.join(offsets, ["_file", "_start"], "left").select(
         F.coalesce(number, F.raise_error(F.lit("a file split has no offset")).cast("long")).alias("row_number"),
-        F.col("value").alias("line"),
+        F.col("value").alias("line"), *keep,
     )
 
 
