@@ -15,7 +15,6 @@ from gridloom.session import scratch_path
 from gridloom.sources import lines as L
 from gridloom.sources import tidy as S
 from gridloom.sources import writers as K
-from gridloom.streaming.ingest import published_tensors
 
 SPARSE = GridSpec(lat_count=None, lon_count=3, lon_step=120.0, lon_start=0.0)
 
@@ -105,7 +104,7 @@ def test_statistics_must_hold_each_channel_once(spark):
         normalise_rows(tensor, spark.createDataFrame(good, STATS), 2).collect()
 
 
-def reports(spark, monkeypatch, model, stats=((0, 0.0, 1.0), (1, 0.0, 1.0))):
+def reports(spark, monkeypatch, model, stats=((0, 0.0, 1.0), (1, 0.0, 1.0)), name="picky"):
     monkeypatch.setattr(R, "GUARD_ELEMENTS", 10)
     shapes = {"good": (2, 1, 3), "large": (2, 2, 3), "wrong": (1, 1, 3), "unnamed": (2, 1, 3)}
     rows = [(n, c, a, [1.0] * w) for n, (cs, rows, w) in shapes.items() for c in range(cs) for a in range(rows)]
@@ -113,17 +112,24 @@ def reports(spark, monkeypatch, model, stats=((0, 0.0, 1.0), (1, 0.0, 1.0))):
     asked = [(n, "forward", n, "", True, None) for n in ("good", "large", "wrong", "missing")] + [("meta", "metadata_only", "large", "", True, None)]
     requests = spark.createDataFrame(
         asked, "request_id STRING, mode STRING, input_s3_uri STRING, output_s3_uri STRING, max_runtime_guard BOOLEAN, error STRING")
-    out = R.request_reports(requests, tensors, spark.createDataFrame(list(stats), STATS), timestamp_utc="t", model=model, grid=(2, 1, 3))
+    out = R.request_reports(requests, tensors, spark.createDataFrame(list(stats), STATS), timestamp_utc="t", model=model, model_name=name, grid=(2, 1, 3))
     return {r["request_id"]: (r["ok"], r["result"], r["reason"]) for r in out.collect()}
 
 
-def picky(rows):
-    seen = F.when(F.col("tensor_uri") != "good", F.raise_error(F.lit("the model saw a refused tensor")).cast("array<float>"))
-    return rows.withColumn("values", F.coalesce(seen, F.col("values")))
+def picky_loader():
+    """Made here, so that it travels by value to workers that cannot import this file."""
+    def load():
+        def run(tensor):
+            assert tensor.shape == (2, 1, 3), "the model saw a refused tensor"
+            return tensor * 2
+
+        return run
+
+    return load
 
 
 def test_only_accepted_tensors_reach_the_model(spark, monkeypatch):
-    assert reports(spark, monkeypatch, picky) == {
+    assert reports(spark, monkeypatch, picky_loader()) == {
         "good": (True, "forward_succeeded", None),
         "large": (False, "forward_failed", "runtime_guard_blocked_large_tensor"),
         "wrong": (False, "forward_failed", "input_shape_mismatch"),
@@ -133,16 +139,42 @@ def test_only_accepted_tensors_reach_the_model(spark, monkeypatch):
 
 
 def test_a_failing_model_is_reported(spark, monkeypatch):
-    def broken(rows):
-        return rows.withColumn("values", F.raise_error(F.lit("no memory")).cast("array<float>"))
+    def broken():
+        raise OSError("no such checkpoint")
 
-    got = reports(spark, monkeypatch, broken)
+    got = reports(spark, monkeypatch, broken, name="broken")
     assert got["good"] == (False, "forward_failed", "forward_execution_failed")
     assert got["wrong"][2] == "input_shape_mismatch" and got["meta"][0]
 
 
+def test_one_refused_tensor_fails_its_own_request_only(spark):
+    def no_threes():
+        def run(tensor):
+            if (tensor == 3).any():
+                raise ZeroDivisionError("a three")
+            return tensor[:, :, ::-1] + 1
+
+        return run
+
+    rows = [(f"t{k}", c, a, [float(k), float(a), float(c)]) for k in (1, 2, 3, 4) for c in range(2) for a in (1, 0)]
+    tensors = spark.createDataFrame(rows, "tensor_uri STRING, channel_index INT, lat_index INT, values ARRAY<FLOAT>").repartition(4)
+    asked = [(f"{t}{n}", "forward", t, "", True, None) for t in ("t1", "t2", "t3", "t4") for n in "ab"]
+    requests = spark.createDataFrame(
+        asked, "request_id STRING, mode STRING, input_s3_uri STRING, output_s3_uri STRING, max_runtime_guard BOOLEAN, error STRING")
+    stats = spark.createDataFrame([(0, 1.0, 2.0), (1, 0.0, 1.0)], STATS)
+    # channel 1 of t3 holds 3 / 1, channel 0 of it (3 - 1) / 2
+    got = {r["request_id"]: r for r in R.request_reports(requests, tensors, stats, timestamp_utc="t", model=no_threes, model_name="no_threes", grid=(2, 2, 3)).collect()}
+    assert {k: r["ok"] for k, r in got.items()} == {f"{t}{n}": t != "t3" for t in ("t1", "t2", "t3", "t4") for n in "ab"}
+    bad, good = got["t3a"]["forward"], got["t1b"]["forward"]
+    assert (bad["reason"], bad["error_type"], bad["error_message"], bad["output_shape"]) == ("forward_execution_failed", "ZeroDivisionError", "a three", None)
+    assert (good["ok"], good["reason"], good["output_shape"], good["input_shape"]) == (True, None, [1, 2, 2, 3], [1, 2, 2, 3])
+    shifted = [v + (2 if c == 0 else 1) for t, c, _, vs in rows if t == "t1" for v in vs]
+    assert len(shifted) == 12 and got["t1a"]["output_stats"]["mean"] == pytest.approx(sum(shifted) / 12)
+    assert got["t1a"]["stats"]["global_stds"]["max"] == 2.0 and got["t1a"]["stats"]["global_means"]["shape"] == [1, 2, 1, 1]
+
+
 def test_faulty_statistics_are_reported(spark, monkeypatch):
-    got = reports(spark, monkeypatch, picky, stats=((0, 0.0, 1.0),))
+    got = reports(spark, monkeypatch, picky_loader(), stats=((0, 0.0, 1.0),))
     assert got["good"] == (False, "prediction_failed", None) and got["meta"][0]
 
 
@@ -154,13 +186,6 @@ def test_grouped_tensors_keep_surface_levels_and_places(spark):
     assert got == {1.0: ([5.0, 6.0, 7.0], True), 2.0: ([None, 9.0, None], False)}
 
 
-def test_readers_do_not_see_tensors_of_steps_that_turned_bad(spark):
-    reports_at, tensors_at = scratch_path(spark, "reports"), scratch_path(spark, "tensors")
-    spark.createDataFrame([(1, "written"), (2, "validation_failed")], "step INT, tensor_write_reason STRING").write.parquet(reports_at)
-    spark.createDataFrame([(1, "a"), (2, "b")], "step INT, x STRING").write.partitionBy("step").parquet(tensors_at)
-    assert [r["step"] for r in published_tensors(spark, reports_at, tensors_at, "step").collect()] == [1]
-
-
 def test_catalog_hours_and_empty_snapshots(spark):
     rows = "isobaricInhPa DOUBLE, latitude DOUBLE, longitude DOUBLE, variable STRING, value FLOAT, year STRING, month STRING, day STRING, hour STRING"
     for hour in ("18", "18z"):

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import contract, profile
+from gridloom.operators import contract, documents, profile
 from gridloom.operators.extract import snapshot
 from gridloom.operators.validate import validation_report
 from gridloom.plans import requests as R
 from gridloom.plans.classify import classify_file, score_points
-from gridloom.schema import TIDY_BODY
+from gridloom.schema import TIDY, TIDY_BODY
 from gridloom.session import scratch_path
+from gridloom.sources import commits, files
 from gridloom.sources import lines as L
+from gridloom.sources import records
 from gridloom.sources import tidy as S
 from gridloom.sources import writers as K
-from gridloom.streaming import ingest
+from gridloom.streaming import ingest, waiting
 from workload import query
 from workload.row_queries import CSV_ERROR
 from workload.step_queries import SPARSE, STAT_SQL, rounded, tensor_table
@@ -147,10 +150,28 @@ def _(v):
         F.max("variable_max").alias("variable_max"), F.min(F.col("latitude_min").cast("double")).alias("lat_min"))
 
 
+@query("s3_csv_records", """
+SELECT 2 * event_id - (SELECT min(event_id) FROM @events) * 2 + 1 AS row_number, '"' || CAST(event_id AS STRING) || chr(10) || 'a ""b"", c",x"y,2' AS line FROM @events
+UNION ALL SELECT 2 * event_id - (SELECT min(event_id) FROM @events) * 2 + 2, CAST(event_id AS STRING) || ',,"z"' FROM @events""")
+def _(v):
+    path = scratch_path(v.spark, "csv")
+    text = F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('\na ""b"", c",x"y,2\n'), F.col("event_id").cast("string"), F.lit(',,"z"'))
+    v.events.repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select(text.alias("value")).write.text(path)
+    return records.read_csv_records(v.spark, path).where("error is null").select("row_number", "line")
+
+
 BOUNDS = ["variable", "isobaricInhPa", "latitude", "longitude"]
 
 
 @query("a14_zone_map", f"SELECT count(*) AS n_rows, {', '.join(f'{f}({c}) AS {c}_{f}' for c in BOUNDS for f in ('min', 'max'))} FROM @forecast")
+def _(v):
+    path = K.write_tidy(v.forecast, scratch_path(v.spark, "tidy"))
+    zones = files.footer_zones(v.spark, path)
+    return zones.agg(F.sum("n_rows").alias("n_rows"), *[
+        f(f"{c}_{n}").alias(f"{c}_{n}") for c in BOUNDS for n, f in (("min", F.min), ("max", F.max))])
+
+
+@query("a14_scanned_zones", f"SELECT count(*) AS n_rows, {', '.join(f'{f}({c}) AS {c}_{f}' for c in BOUNDS for f in ('min', 'max'))} FROM @forecast")
 def _(v):
     path = K.write_tidy(v.forecast, scratch_path(v.spark, "tidy"))
     zones = profile.zone_map(v.spark.read.parquet(path))
@@ -158,6 +179,15 @@ def _(v):
         f(f"{c}_{n}").alias(f"{c}_{n}") for c in BOUNDS for n, f in (("min", F.min), ("max", F.max))])
 
 
+@query("a14_file_skipping", """
+SELECT variable, isobaricInhPa, latitude, longitude, CAST(value AS DOUBLE) AS value FROM @forecast WHERE variable = 'z' AND isobaricInhPa = 500 AND latitude BETWEEN 50 AND 80.5""")
+def _(v):
+    path = K.write_tidy(v.forecast, scratch_path(v.spark, "tidy"))
+    zones = files.footer_zones(v.spark, path)
+    rows = files.scan_matching(v.spark, path, TIDY, zones, variable="z", isobaricInhPa=500.0, latitude=(50.0, 80.5))
+    return double_value(rows).select("variable", "isobaricInhPa", "latitude", "longitude", "value")
+
+
 @query("a22_asset_inventory", "SELECT count(DISTINCT tensor_uri) AS folders, true AS ok FROM @tensor_points")
 def _(v):
     path = K.write_row_tensors(tensor_table(v), scratch_path(v.spark, "tensors"), "tensor_uri")
@@ -168,6 +198,15 @@ def _(v):
     return folders.join(verdict, F.col("files") >= F.col("folders")).select("folders", "ok")
 
 
+@query("p24_contract_documents", """
+SELECT document, place, key, rule FROM @contract_documents JOIN (VALUES (1, '', '', 'invalid_json'), (2, '', 'version', 'missing_key'), (3, 'inputContentType', 'inputContentType', 'unknown_value'),
+  (4, 'input', 'input', 'wrong_kind'), (5, 'input[0]', 'type', 'missing_key'), (6, 'input[0]', 'type', 'unknown_value'), (7, 'input[0]', 'unit', 'extra_key'),
+  (8, 'input[0]', 'name', 'too_long'), (9, 'input', 'name', 'duplicate_name'), (10, 'instanceCount', 'instanceCount', 'too_small'), (11, 'input[0]', '', 'not_an_object'),
+  (12, 'defaultInstanceType', 'defaultInstanceType', 'not_listed'), (13, 'instanceTypes[0]', '', 'unknown_value')) AS r(k, place, key, rule) ON document % 14 = r.k""")
+def _(v):
+    return documents.contract_violations(v.contract_documents).drop("found")
+
+
 REQUESTS = """rq AS (SELECT event_id, 's3://bucket/step' || CAST(event_id % 7 AS STRING) || '/t.npy' AS tensor_uri,
    CASE event_id % 4 WHEN 1 THEN 'forward' WHEN 3 THEN 'bogus' ELSE 'metadata_only' END AS mode, event_id % 4 = 3 AS bad FROM @manifest_lines)"""
 
@@ -201,15 +240,46 @@ SELECT 'r' || CAST(event_id AS STRING) AS request_id, coalesce(lats = 9, false)
   CASE WHEN lats <> 9 THEN 'input_shape_mismatch' END AS reason, CASE WHEN lats = 9 THEN st.mean END AS mean
 FROM rq LEFT JOIN sh USING (tensor_uri) LEFT JOIN st USING (tensor_uri) WHERE mode = 'forward'""")
 def _(v):
-    def shift(rows):
-        return rows.withColumn("values", F.transform("values", lambda x: (x.cast("double") + 0.5).cast("float")))
-
     requests = L.parse_manifest(v.manifest_lines).where("mode = 'forward'")
     reports = R.request_reports(
-        requests, tensor_table(v), v.channel_stats, timestamp_utc="2026-04-09T18:00:00+00:00", model=shift, grid=(20, 9, 15))
+        requests, tensor_table(v), v.channel_stats, timestamp_utc="2026-04-09T18:00:00+00:00", model=half_more, grid=(20, 9, 15))
     return reports.select("request_id", "ok", "result", "reason", F.round("output_stats.mean", 4).alias("mean"))
 
 
+def half_more():
+    return lambda tensor: tensor + np.float32(0.5)
+
+
+def moody():
+    """A model that refuses tensors with a missing first value, as a network with a faulty layer would."""
+    def run(tensor):
+        if np.isnan(tensor[:, :2]).any():
+            raise ArithmeticError("missing values in the first rows")
+        return half_more()(tensor)
+
+    return run
+
+
+@query("m6_forward_blocks", f"""WITH {REQUESTS}, sh AS (SELECT tensor_uri, max(lat_index) + 1 AS lats, count(*) AS elements,
+   bool_or(isnan(value) AND lat_index < 2) AS bad FROM @tensor_points GROUP BY 1),
+ s AS (SELECT avg(mean) AS m, avg(std) AS d FROM @channel_stats)
+SELECT 'r' || CAST(event_id AS STRING) AS request_id, CASE WHEN lats IS NULL THEN 'prediction_failed' WHEN lats = 9 AND NOT sh.bad THEN 'forward_succeeded' ELSE 'forward_failed' END AS result,
+  CASE WHEN lats <> 9 THEN 'input_shape_mismatch' WHEN sh.bad THEN 'forward_execution_failed' END AS reason,
+  CASE WHEN lats <> 9 THEN '20,9,15' END AS expected, CASE WHEN lats <> 9 THEN '20,' || CAST(lats AS STRING) || ',15' END AS got,
+  CASE WHEN lats = 9 AND NOT sh.bad THEN '1,20,9,15' END AS output_shape, CASE WHEN lats = 9 AND sh.bad THEN 'ArithmeticError: missing values in the first rows' END AS error,
+  round(s.m, 6) AS mean_of_means, round(s.d, 6) AS mean_of_stds
+FROM rq CROSS JOIN s LEFT JOIN sh USING (tensor_uri) WHERE mode = 'forward'""")
+def _(v):
+    requests = L.parse_manifest(v.manifest_lines).where("mode = 'forward'")
+    reports = R.request_reports(
+        requests, tensor_table(v), v.channel_stats, timestamp_utc="t", model=moody, model_name="moody", grid=(20, 9, 15))
+    listed = lambda c: F.array_join(F.col(f"forward.{c}").cast("array<string>"), ",").alias(c)
+    return reports.select(
+        "request_id", "result", "reason", listed("expected"), listed("got"), listed("output_shape"),
+        F.concat("forward.error_type", F.lit(": "), "forward.error_message").alias("error"),
+        F.round("stats.global_means.mean", 6).alias("mean_of_means"), F.round("stats.global_stds.mean", 6).alias("mean_of_stds"))
+
+
 @query("a19_record_verdicts", """
 SELECT l.event_id, CASE e.event_type WHEN 'view' THEN 'SUCCESS' WHEN 'click' THEN 'CONTROLLED_ERROR' WHEN 'error' THEN 'ERROR' ELSE 'FAIL' END AS verdict
 FROM @report_lines l JOIN @events e USING (event_id) WHERE trim(l.line) <> ''""")
@@ -248,14 +318,63 @@ def _(v):
 SELECT DISTINCT step, CASE WHEN step = 9 THEN 'written' ELSE 'validation_failed' END AS tensor_write_reason,
   CASE WHEN step = 9 THEN (SELECT count(*) FROM @forecast) END AS elements FROM @forecast_steps""")
 def _(v):
+    base = streamed_steps(v)
+    sizes = commits.read_published(v.spark, base, TENSOR_ROWS, step="INT").groupBy("step").agg(F.sum(F.size("values")).alias("elements"))
+    manifest = commits.current(commits.read_manifest(v.spark, base, step="INT"), "step")
+    return manifest.select("step", "tensor_write_reason").join(sizes, "step", "left")
+
+
+TENSOR_ROWS = "channel_index INT, lat_index INT, values ARRAY<FLOAT>"
+
+
+def streamed_steps(v):
+    """The steps landed as files, ingested and published in two runs of two streams."""
     landing = land(v, v.forecast_steps, "step")
-    target, log, log2 = (scratch_path(v.spark, x) for x in ("stream", "log", "log"))
-    reports, tensors = scratch_path(v.spark, "reports"), scratch_path(v.spark, "tensors")
-    ingest.ingest_tidy(v.spark, landing, target, log, "step INT", ("step",)).awaitTermination()
-    handler = ingest.tensor_publisher(target, reports, tensors, "step", spec=SPARSE, extra="step INT")
-    ingest.validate_arrivals(v.spark, landing, log2, handler, "step INT").awaitTermination()
-    sizes = ingest.published_tensors(v.spark, reports, tensors, "step").groupBy("step").agg(F.sum(F.size("values")).alias("elements"))
-    return v.spark.read.parquet(reports).select("step", "tensor_write_reason").join(sizes, "step", "left")
+    target, log, log2, base = (scratch_path(v.spark, x) for x in ("stream", "log", "log", "published"))
+    handler = ingest.tensor_publisher(target, base, "step", spec=SPARSE, extra="step INT")
+    for _run in range(2):  # the second run finds nothing new
+        ingest.ingest_tidy(v.spark, landing, target, log, "step INT", ("step",)).awaitTermination()
+        ingest.validate_arrivals(v.spark, landing, log2, handler, "step INT").awaitTermination()
+    return base
+
+
+@query("k12_manifest_sink", """
+SELECT step, CASE WHEN step = 9 THEN 'ok' ELSE 'incomplete' END AS status, step = 9 AS tensor_written, CASE WHEN step = 9 THEN 'written' ELSE 'validation_failed' END AS reason,
+  CASE WHEN step = 9 THEN 'tensors/step=9' END AS tensor_file, true AS has_sources, count(*) AS n_rows FROM @forecast_steps GROUP BY step""")
+def _(v):
+    base = streamed_steps(v)
+    records = commits.current(commits.read_manifest(v.spark, base, step="INT"), "step")
+    reports = commits.read_reports(v.spark, base, "step INT, row_count LONG", step="INT")
+    return records.join(reports.select("step", F.col("row_count").alias("n_rows")), "step").select(
+        "step", "status", "tensor_written", F.col("tensor_write_reason").alias("reason"), F.regexp_replace("tensor_file", "attempt=[^/]*/", "").alias("tensor_file"),
+        (F.size("source_files") > 0).alias("has_sources"), "n_rows")
+
+
+# a step's files come some seconds apart; a fifth of the upper files come too late, a seventh never, some surface files twice
+ARRIVALS = """ev AS (SELECT event_id AS step, (event_id * 37) % 5000 AS t0, event_id % 3 AS kind FROM @events),
+ arr AS (SELECT step, 'surface' AS part, t0 + CASE WHEN kind = 0 THEN 40 ELSE 0 END AS t FROM ev
+   UNION ALL SELECT step, 'surface', t0 + 100 FROM ev WHERE step % 4 = 1
+   UNION ALL SELECT step, 'upper', t0 + CASE WHEN step % 5 = 2 THEN 900 WHEN kind = 0 THEN 0 ELSE 30 + step % 500 END FROM ev WHERE step % 7 <> 3)"""
+
+
+@query("s8_late_steps", f"""WITH {ARRIVALS}, f AS (SELECT step, min(t) AS first, min(t) FILTER (part = 'surface') AS s, min(t) FILTER (part = 'upper') AS u, max(t) AS last FROM arr GROUP BY 1),
+ d AS (SELECT *, coalesce(greatest(s, u) <= first + 600, false) AND s IS NOT NULL AND u IS NOT NULL AS whole, max(last) OVER () AS now FROM f),
+ x AS (SELECT step, first, CASE WHEN whole THEN 'complete' ELSE 'incomplete' END AS status, CASE WHEN whole THEN greatest(s, u) ELSE first + 600 END AS decided,
+   CASE WHEN NOT whole THEN CASE WHEN u IS NULL OR u > first + 600 THEN 'upper' ELSE 'surface' END ELSE '' END AS missing FROM d WHERE whole OR now > first + 600)
+SELECT step, status, missing, CAST(first AS BIGINT) AS first_second, CAST(decided AS BIGINT) AS decided_second FROM x
+UNION ALL SELECT a.step, 'late', x.missing, CAST(x.first AS BIGINT), CAST(a.t AS BIGINT) FROM arr a JOIN x USING (step) WHERE a.t > x.decided""")
+def _(v):
+    landed, target, log = (scratch_path(v.spark, x) for x in ("notices", "decisions", "log"))
+    sql = ARRIVALS.replace("@events", "gl_events").replace("FILTER (part", "FILTER (WHERE part")
+    v.events.createOrReplaceTempView("gl_events")
+    notices = v.spark.sql(f"WITH {sql} SELECT step, part, timestamp_seconds(CAST(t AS BIGINT) + 1000000000) AS arrived FROM arr")
+    # files in the order of time, some seconds of each in the next one
+    notices.repartitionByRange(6, "arrived").write.parquet(landed)
+    stream = v.spark.readStream.schema("step LONG, part STRING, arrived TIMESTAMP").parquet(landed)
+    waiting.decide_arrivals(waiting.await_parts(stream, "step"), target, log).awaitTermination()
+    second = lambda c: (F.unix_seconds(c) - 1_000_000_000).alias(f"{c.split('_')[0]}_second")
+    return v.spark.read.parquet(target).select(
+        "step", "status", "missing", second("first_arrival"), second("decided_at"))
 
 
 @query("w3_stream_scores", "SELECT event_id, CASE WHEN abs(t2m - 285) / 8 >= 2 THEN 1 ELSE 0 END AS label, round(abs(t2m - 285) / 8, 6) AS score FROM @probes")

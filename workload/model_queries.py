@@ -14,7 +14,7 @@ from gridloom.plans.train import is_validation, mean_over_steps, model_table, tr
 from gridloom.operators.extract import snapshot
 from gridloom.session import materialise, scratch_path
 from gridloom.sources.writers import (
-    create_prediction_table, inspect_predictions, read_predictions, write_predictions, write_training,
+    create_prediction_table, inspect_predictions, read_predictions, register_partitions, write_predictions, write_training,
 )
 from workload import query
 
@@ -143,6 +143,19 @@ def _(v):
     return v.spark.table(name).groupBy("model_name_partition", "hour").agg(F.count("*").alias("n"))
 
 
+@query("k11_touched_partitions", "SELECT h.hour, count(*) AS n FROM @probes, (VALUES ('06'), ('12')) AS h(hour) GROUP BY 1")
+def _(v):
+    path = scratch_path(v.spark, "predictions")
+    name = "gl_predictions_" + path.rsplit("-", 1)[-1]
+    create_prediction_table(v.spark, name, path, discover=False)
+    for hour in ("06", "12", "18"):  # the last one is written and not registered
+        rows = predict_batch(named(v), MockPredictor(), **{**SOURCE, "hour": hour})
+        write_predictions(rows, path)
+        if hour != "18":
+            register_partitions(v.spark, name, rows)
+    return v.spark.table(name).groupBy("hour").agg(F.count("*").alias("n"))
+
+
 @query("p23_inspect_predictions", """
 SELECT latitude, longitude, 't' AS target_variable, round(predicted_value, 6) AS predicted_value FROM (
   SELECT lat AS latitude, lon AS longitude, 273.15 + ((abs(lat) + abs(lon)) % 25) AS predicted_value FROM @probes ORDER BY lat, lon LIMIT 50)""")

@@ -196,19 +196,30 @@ def _(v):
 
 
 @query("p18_latitude_policy", """
-WITH l AS (SELECT step, count(DISTINCT latitude) AS n FROM @forecast_steps GROUP BY 1)
-SELECT f.step, count(*) AS rows_kept, min(f.latitude) AS lat_min, max(f.latitude) AS lat_max FROM @forecast_steps f JOIN l USING (step)
-WHERE n IN (49, 50) AND (n = 49 OR f.latitude <> 90) GROUP BY 1""")
+WITH l AS (SELECT step, count(DISTINCT latitude) AS n FROM @forecast_steps GROUP BY 1), w AS (SELECT n - 1 AS want FROM l WHERE step = 9)
+SELECT f.step, count(*) AS rows_kept, min(f.latitude) AS lat_min, max(f.latitude) AS lat_max FROM @forecast_steps f JOIN l USING (step), w
+WHERE n IN (want, want + 1) AND (n = want OR f.latitude <> 90) GROUP BY 1""")
 def _(v):
     from gridloom.operators.validate import keep_policy_rows
-    spec = GridSpec(lat_count=49, lon_count=15, lon_step=24.0, lon_start=12.0)
+    # a grid with one latitude less than step 9 has, whatever the scale
+    seen = v.forecast.agg(F.count_distinct("latitude")).first()[0]
+    spec = GridSpec(lat_count=seen - 1, lon_count=15, lon_step=24.0, lon_start=12.0)
     report = validation_report(v.forecast_steps, "step", policy="drop_north_pole", spec=spec)
-    ready = report.where("latitude.final_lat_count = 49").select("step", F.col("latitude").alias("detail"))
+    ready = report.where("latitude.final_lat_count = expected_lat_count").select("step", F.col("latitude").alias("detail"))
     kept = v.forecast_steps.join(materialise(ready, "policy"), "step").where(keep_policy_rows(F.col("latitude"), F.col("detail")))
     return kept.groupBy("step").agg(
         F.count("*").alias("rows_kept"), F.min("latitude").alias("lat_min"), F.max("latitude").alias("lat_max"))
 
 
+@query("a8_available_levels", """
+SELECT step, lower(variable) AS variable, isobaricInhPa, dense_rank() OVER (PARTITION BY step ORDER BY lower(variable)) AS variable_place FROM
+  (SELECT DISTINCT step, lower(variable) AS variable, isobaricInhPa FROM @forecast_steps) AS pairs""")
+def _(v):
+    reports = run_tensor_job(v.forecast_steps, "step", spec=SPARSE, allow_incomplete=True).reports
+    levels = reports.select("step", "available_variables", F.explode("available_variable_levels").alias("a"))
+    return levels.select("step", "a.variable", "a.isobaricInhPa", F.array_position("available_variables", F.col("a.variable")).cast("int").alias("variable_place"))
+
+
 VERDICT_SQL = f"""WITH {TAGGED_STEPS},
  pts AS (SELECT step, channel_index, latitude, longitude, count(*) AS n FROM tagged GROUP BY ALL),
  ch AS (SELECT step, channel_index, sum(n) - count(*) AS dup FROM pts GROUP BY 1, 2),

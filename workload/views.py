@@ -114,6 +114,15 @@ SELECT event_id, CASE event_id % 6
          WHEN 4 THEN '{"lat":"' || CAST(event_id % 90 AS STRING) || '.5","lon":' || CAST(event_id % 180 AS STRING) || '}'
          ELSE '{"lat":' || CAST(event_id % 90 AS STRING) || ',"lon":-' || CAST(event_id % 180 AS STRING) || '.25}' END AS body
 FROM @events""",
+    # contract documents, all but each fourteenth with a fault of its own
+    "contract_documents": """
+SELECT event_id AS document, CASE WHEN k = 1 THEN '{bad' ELSE '{"inputContentType":"' || CASE k WHEN 3 THEN 'text/csv' ELSE 'CSV' END || '","outputContentType":"CSV","input":' ||
+  CASE k WHEN 4 THEN '{}' WHEN 11 THEN '["lat"]' ELSE '[{"name":"' || CASE k WHEN 8 THEN repeat('x', 101) WHEN 9 THEN 'b' ELSE 'a' END || '"' ||
+    CASE k WHEN 5 THEN '' WHEN 6 THEN ',"type":"FLOAT"' ELSE ',"type":"DECIMAL"' END || CASE k WHEN 7 THEN ',"unit":"K"' ELSE '' END || '},{"name":"b","type":"STRING","nullable":true}]' END ||
+  ',"output":[{"name":"label","type":"INTEGER"}]' || CASE k WHEN 2 THEN '' ELSE ',"version":"v1"' END ||
+  ',"instanceTypes":["' || CASE k WHEN 13 THEN 'ml.x.huge' ELSE 'ml.m5.large' END || '"],"defaultInstanceType":"' ||
+  CASE k WHEN 12 THEN 'ml.m5.24xlarge' WHEN 13 THEN 'ml.x.huge' ELSE 'ml.m5.large' END || '"' || CASE k WHEN 10 THEN ',"instanceCount":0' ELSE '' END || '}' END AS body
+FROM (SELECT event_id, event_id % 14 AS k FROM @events) AS numbered""",
     # values of six tensors; a few are NaN
     "tensor_points": f"""
 SELECT 's3://bucket/step' || CAST({_K} % 6 AS STRING) || '/t.npy' AS tensor_uri,
