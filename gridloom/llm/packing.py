@@ -19,33 +19,40 @@ from gridloom.session import materialise
 BATCH_BYTES = 4 << 20
 
 
-def _narrow(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u2").tobytes()
+def id_width(tokenizer: str, end_id: int) -> str:
+    """Smallest type that holds all ids of a vocabulary."""
+    from tokenizers import Tokenizer
 
+    most = max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id)
+    return "<u2" if most < 1 << 16 else "<u4"
 
-def _encode(path: str, end_id: int):
+
+def slices(whole: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _encode(path: str, end_id: int, width: str):
     """Ids of each document, and where it starts within the tokens of its own partition."""
+    size = np.dtype(width).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = memo(path, "u2", _narrow, b"".join)
-        if encoded.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16:
-            raise ValueError("packing stores ids in two bytes; this vocabulary needs more")
-        part, at, end = TaskContext.get().partitionId(), 0, _narrow([end_id])
+        encoded = memo(path, width, lambda ids, counts: slices(ids.astype(width).tobytes(), counts * size), b"".join, False)
+        part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], width).tobytes()
         for batch in batches:
             names = batch.column("doc_id")
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for low, high in by_bytes([4 * len(t) for t in texts], BATCH_BYTES):
-                cut = [segments_without_space(t) for t in texts[low:high]]
-                known = encoded.learn(set().union(*cut))
+                cut = [segments_without_space(encoded.plain(t)) for t in texts[low:high]]
                 ids, starts = [], []
-                for parts in cut:
-                    ids.append(b"".join(map(known.__getitem__, parts)) + end)
+                for parts in encoded.of(cut):
+                    ids.append(b"".join(parts) + end)
                     starts.append(at)
-                    at += len(ids[-1]) // 2
+                    at += len(ids[-1]) // size
                 yield pa.record_batch(
                     [
                         pa.array([part] * len(ids), pa.int32()), names.slice(low, high - low),
-                        pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()),
+                        pa.array(starts, pa.int64()), pa.array([len(x) // size for x in ids], pa.int64()),
                         pa.array(ids, pa.binary()),
                     ],
                     names=["part", "doc_id", "start", "doc_tokens", "ids"],
@@ -54,7 +61,7 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, width: str):
     """Cut each document where a window of ``length`` tokens ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +71,7 @@ def _cut(length: int):
             for low, high in by_bytes([4 * n for n in sizes], BATCH_BYTES):
                 rows, out = [], []
                 for i in range(low, high):
-                    wide = np.frombuffer(ids[i].as_buffer(), "<u2").astype("<u4")
+                    wide = np.frombuffer(ids[i].as_buffer(), width).astype("<u4")
                     first, stop = starts[i], starts[i] + sizes[i]
                     while first < stop:
                         after = min(stop, (first // length + 1) * length)
@@ -93,12 +100,13 @@ def pack(
     No text is shuffled and nothing but the partition totals meets in one place.
 
     Null and empty texts are one ``end_id``. Null or repeated ids and repeated rows are packed like any other row. A document longer than a window
-    becomes many pieces. An empty table gives no pieces; further columns are not read.
+    becomes many pieces; a run of text without any white space, however long, is one call of the tokenizer. Ids take two bytes between the passes, or four for vocabularies beyond 65,536. An empty table gives no pieces; further columns are not read.
     """
     rows = only(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    width = id_width(tokenizer, end_id)
     encoded = materialise(
-        rows.mapInArrow(_encode(tokenizer, end_id), f"part int, doc_id {kind}, start long, doc_tokens long, ids binary"),
+        rows.mapInArrow(_encode(tokenizer, end_id, width), f"part int, doc_id {kind}, start long, doc_tokens long, ids binary"),
         "packing", compression="zstd",
     )
     totals = encoded.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
@@ -108,6 +116,6 @@ def pack(
         "doc_id", (F.col("start") + F.col("base")).alias("start"), "doc_tokens", "ids"
     )
     return placed.mapInArrow(
-        _cut(length),
+        _cut(length, width),
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary",
     )

@@ -10,7 +10,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+
+from gridloom.llm.text import by_bytes
 
 BLANKS = " \\t\\n\\r"
 _WITH_SPACE = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
@@ -18,11 +23,13 @@ _NO_SPACE = re.compile(f"[^{BLANKS}]+")
 _ODD_SPACE = re.compile(f"[^\\S{BLANKS}]")
 _SAFE_CUT = re.compile(f"(?<=\\S)(?=[{BLANKS}])")
 _WORD_END = re.compile(r"(?<=[^\W\d_])(?=[!-@\[-`{-~])")
+#: White space to Python that tokenizers may take for something else.
+_OWN_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 #: A worker forgets segments, and parts of segments, beyond so many of each or so many characters.
-MEMO_SEGMENTS, MEMO_PARTS, MEMO_CHARS = 400_000, 750_000, 12_000_000
-#: Segments per call of the tokenizer.
-ENCODE_BATCH = 4096
+MEMO_SEGMENTS, MEMO_PARTS, MEMO_CHARS = 800_000, 1_000_000, 12_000_000
+#: Parts, and characters, of one call of the tokenizer; a single part may be longer.
+ENCODE_BATCH, ENCODE_CHARS = 4096, 1 << 18
 
 
 def segments_with_space(text: str) -> list[str]:
@@ -38,56 +45,113 @@ def segments_with_space(text: str) -> list[str]:
 
 def segments_without_space(text: str) -> list[str]:
     """Segments of a tokenizer that drops white space."""
-    return _NO_SPACE.findall(text)
+    return text.split() if _OWN_SPACE.search(text) is None else _NO_SPACE.findall(text)
+
+
+class _Places(dict):
+    """Number of each segment; a new one gets the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = place = len(self)
+        self.new.append(segment)
+        return place
 
 
 class SegmentMemo:
-    """Encoded segments of one worker. ``keep`` turns a list of ids into what is stored, ``join`` what is stored for parts into that of the whole."""
+    """Encoded segments of one worker. ``split`` turns the ids of many parts and their counts into what is stored for each, ``join`` what is stored for parts into that of the whole.
+
+    Most parts are a word of letters, with a blank before it where blanks count (``spaced``). They go to the tokenizer in one text, as it makes a word of each again; where it finds another
+    number of words, and for all other parts, each part is a text of its own.
+    """
 
-    def __init__(self, path: str, keep: Callable[[list[int]], object], join: Callable[[list], object]):
+    def __init__(self, path: str, split: Callable[[np.ndarray, np.ndarray], list], join: Callable[[list], object], spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keep, self.join = keep, join
-        self.known: dict[str, object] = {}
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.marks = [m for m in "<[|{(#_" if all(m in t for t in special)][:1]  # a character that every special string has
+        normal = self.tokenizer.normalizer
+        self.lowers = normal is not None and normal.normalize_str("ABCXYZ") == "abcxyz"
+        self.split, self.join, self.spaced = split, join, spaced
+        self._forget()
         self.parts: dict[str, object] = {}
-        self.chars = [0, 0]
+        self.part_chars = 0
+
+    def _forget(self) -> None:
+        self.places, self.values, self.chars = _Places(), [], 0
+
+    def plain(self, text: str) -> str:
+        """The text, in lower case if that gives the same ids and saves segments."""
+        if self.lowers and text.isascii() and not self.special.search(low := text.lower()):
+            return low
+        return text
 
     def _cut(self, segment: str) -> list[str]:
         """Parts of a segment that are encoded on their own; a special string is never cut."""
-        if any(s in segment for s in self.special):
+        if segment.isalpha() or ((not self.marks or self.marks[0] in segment) and self.special.search(segment)):
             return [segment]
         return _WORD_END.split(segment)
 
-    def learn(self, segments: set[str]) -> dict[str, object]:
-        """The memo, with all of ``segments`` in it."""
-        missing = segments.difference(self.known)
-        if missing and (len(self.known) + len(missing) > MEMO_SEGMENTS or self.chars[0] > MEMO_CHARS):
-            self.known, self.chars[0], missing = {}, 0, segments
-        cut = {segment: self._cut(segment) for segment in missing}
-        wanted = set().union(*cut.values())
+    def _is_word(self, part: str) -> bool:
+        return part[0] == " " and part[1:].isalpha()
+
+    def _encode(self, parts: list[str]) -> None:
+        """Store the ids of parts that are not known yet."""
+        words = list(filter(self._is_word if self.spaced else str.isalpha, parts))
+        if words:
+            found = self.tokenizer.encode(("" if self.spaced else " ").join(words), add_special_tokens=False)
+            numbers = found.word_ids
+            if numbers and None not in numbers and numbers[-1] == len(words) - 1:
+                counts = np.bincount(numbers, minlength=len(words))
+                if counts.all():
+                    self.parts.update(zip(words, self.split(np.asarray(found.ids), counts)))
+                    parts = [p for p in parts if p not in self.parts] if len(words) < len(parts) else []
+        if parts:
+            done = [d.ids for d in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            counts = np.fromiter(map(len, done), np.int64, len(done))
+            self.parts.update(zip(parts, self.split(np.fromiter(chain.from_iterable(done), np.int64, int(counts.sum())), counts)))
+
+    def _learn(self, segments: list[str]) -> None:
+        """Store what belongs to new segments, in their order."""
+        cut = list(map(self._cut, segments))
+        wanted = set(chain.from_iterable(cut))
         todo = wanted.difference(self.parts)
-        if todo and (len(self.parts) + len(todo) > MEMO_PARTS or self.chars[1] > MEMO_CHARS):
-            self.parts, self.chars[1], todo = {}, 0, wanted
+        if todo and (len(self.parts) + len(todo) > MEMO_PARTS or self.part_chars > MEMO_CHARS):
+            self.parts, self.part_chars, todo = {}, 0, wanted
         todo = list(todo)
+        sizes = list(map(len, todo))
         for at in range(0, len(todo), ENCODE_BATCH):
-            batch = todo[at:at + ENCODE_BATCH]
-            for part, done in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                self.parts[part] = self.keep(done.ids)
-                self.chars[1] += len(part)
-        for segment, parts in cut.items():
-            self.known[segment] = self.parts[parts[0]] if len(parts) == 1 else self.join([self.parts[p] for p in parts])
-            self.chars[0] += len(segment)
-        return self.known
+            for low, high in by_bytes(sizes[at:at + ENCODE_BATCH], ENCODE_CHARS):
+                self._encode(todo[at + low:at + high])
+        self.part_chars += sum(sizes)
+        self.chars += sum(map(len, segments))
+        found, join = self.parts, self.join
+        self.values += [found[parts[0]] if len(parts) == 1 else join([found[p] for p in parts]) for parts in cut]
+
+    def of(self, texts: list[list[str]]) -> list[Iterator]:
+        """For each list of segments what is stored for them, in order. Good until the next call."""
+        if len(self.values) > MEMO_SEGMENTS or self.chars > MEMO_CHARS:
+            self._forget()
+        numbered = self.places.__getitem__
+        placed = [list(map(numbered, segments)) for segments in texts]
+        if self.places.new:
+            self._learn(self.places.new)
+            self.places.new = []
+        value = self.values.__getitem__
+        return [map(value, places) for places in placed]
 
 
 _MEMOS: dict[tuple, SegmentMemo] = {}
 
 
-def memo(path: str, kind: str, keep: Callable[[list[int]], object], join: Callable[[list], object]) -> SegmentMemo:
+def memo(path: str, kind: str, split: Callable[[np.ndarray, np.ndarray], list], join: Callable[[list], object], spaced: bool) -> SegmentMemo:
     """The memo of this worker process, shared by the tasks that it runs."""
     if (path, kind) not in _MEMOS:
-        _MEMOS[path, kind] = SegmentMemo(path, keep, join)
+        _MEMOS[path, kind] = SegmentMemo(path, split, join, spaced)
     return _MEMOS[path, kind]

@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,6 +21,10 @@ ODD = [
 ]
 
 
+def split_lists(ids, counts):
+    return [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n_tokens int, part int")
 
@@ -76,21 +81,46 @@ def test_segments_give_the_tokens_of_the_text(text):
     assert sum((ids(word, s) for s in tokens.segments_without_space(text)), []) == ids(word, text)
     for path, tok, cut in ((BYTE, whole, tokens.segments_with_space), (WORD, word, tokens.segments_without_space)):
         if path not in MEMOS:
-            MEMOS[path] = tokens.SegmentMemo(path, list, lambda parts: sum(parts, []))
-        known = MEMOS[path].learn(set(cut(text)))
-        assert sum((known[s] for s in cut(text)), []) == ids(tok, text)
+            MEMOS[path] = tokens.SegmentMemo(path, split_lists, lambda parts: sum(parts, []), path == BYTE)
+        assert sum(MEMOS[path].of([cut(MEMOS[path].plain(text))])[0], []) == ids(tok, text)
 
 
 CACHE: list = []
 MEMOS: dict = {}
 
 
+def test_words_together_have_the_ids_of_words_alone():
+    odd = ["İstanbul", "ΣΑΣ", "straße", "ﬁn", "naïve", "ᾳ", "𝒜b", "日本語", "é", "Ǆ", "K", "ſ"]
+    for path, spaced in ((BYTE, True), (WORD, False)):
+        tok = Tokenizer.from_file(path)
+        words = [f" {w}" if spaced else w for w in [*odd, *[f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]]]
+        found = tokens.SegmentMemo(path, split_lists, lambda parts: sum(parts, []), spaced).of([words])[0]
+        assert list(found) == [tok.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_long_runs_without_a_boundary(spark):
+    texts = [(1, "ab" * 1_000_000), (2, "a1" * 600_000), (3, "é!" * 50_000)]
+    tok, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(frame(spark, texts), BYTE).collect()}
+    assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in texts}
+    pieces = packing.pack(frame(spark, texts), WORD).collect()
+    assert {p["doc_id"]: p["doc_tokens"] for p in pieces} == {i: len(word.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts}
+
+
+def test_large_vocabularies_take_four_bytes(spark, monkeypatch):
+    plain = [(k, t) for k, (_, t) in enumerate(ODD)]
+    want = sorted(map(tuple, packing.pack(frame(spark, plain).coalesce(1), WORD, length=9).collect()))
+    assert packing.id_width(WORD, 2) == "<u2" and packing.id_width(WORD, 70_000) == "<u4"
+    monkeypatch.setattr(packing, "id_width", lambda *_: "<u4")
+    assert sorted(map(tuple, packing.pack(frame(spark, plain).coalesce(1), WORD, length=9).collect())) == want
+
+
 def test_memo_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_SEGMENTS", 3)
     monkeypatch.setattr(tokens, "MEMO_PARTS", 3)
-    memo = tokens.SegmentMemo(BYTE, len, sum)
-    assert set(memo.learn({"a", "b", "c"})) == {"a", "b", "c"}
-    assert set(memo.learn({"c", "d"})) == {"c", "d"} and set(memo.parts) == {"d"} | {"c"}
+    memo = tokens.SegmentMemo(BYTE, lambda ids, counts: counts.tolist(), sum, True)
+    assert [list(map(int, x)) for x in memo.of([["a", "b"], ["c", "d", "a"]])] == [[1, 1], [1, 1, 1]]
+    assert [list(x) for x in memo.of([["c", "e"]])] == [[1, 1]] and set(memo.places) == {"c", "e"} and set(memo.parts) == {"c", "e"}
 
 
 def test_packing_of_the_whole_table(spark):
