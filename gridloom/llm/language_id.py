@@ -33,8 +33,8 @@ BLOCK = 8
 LEAST_DOCS, SLICE = 64, 8
 #: Share of a language's own documents that may lie beyond its limit, and documents that a limit needs.
 BEYOND, LEAST_LIMIT = 0.002, 100
-#: Text bytes of one step; a worker forgets tokens beyond so many, or so many characters, and passes counts on from so many distinct tokens.
-BATCH_BYTES, MEMO_TOKENS, MEMO_CHARS, FLUSH = 4 << 20, 600_000, 16_000_000, 600_000
+#: Text bytes of one step; a worker forgets tokens beyond so many, or so many characters, and grams beyond so many, and passes counts on from so many distinct tokens.
+BATCH_BYTES, MEMO_TOKENS, MEMO_CHARS, MEMO_GRAMS, FLUSH = 8 << 20, 600_000, 16_000_000, 1_000_000, 600_000
 _RUN = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,20 +104,20 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, capacity: int = CAPACITY)
     for k in range(order - 1, 0, -1):
         followed = levels[k + 1].groupBy("lang", tail("gram").alias("gram")).agg(F.count("*").alias("n"))
         levels[k] = materialise(followed.unionByName(counts.where(starts & (F.length("gram") == k))), "grams-below")
-    letters = levels[1].agg(F.count_distinct("gram").alias("letters"))  # one row
-    below = back = None
+    letters = levels[1].agg(F.count_distinct("gram")).first()[0]
+    below = None
     finished = []
     for k in range(1, order + 1):
         once = levels[k].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
         # at 0 an order would leave nothing to the one below, at 1 nothing to itself
-        cut = once.select("lang", F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5).alias("cut"))
+        cut = _by_lang({r["lang"]: r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5 for r in once.collect()})  # a number a language
         head = F.substring("gram", 1, k - 1)
         behind = levels[k].groupBy("lang", head.alias("head")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        behind = behind.join(cut, "lang").select("lang", "head", "total", "cut", (F.col("cut") * F.col("kinds") / F.col("total")).alias("weight"))
+        behind = behind.withColumn("cut", cut).select("lang", "head", "total", "cut", (F.col("cut") * F.col("kinds") / F.col("total")).alias("weight"))
         behind = materialise(behind, "contexts")
         known = levels[k].withColumn("head", head).join(behind, ["lang", "head"])
         if k == 1:
-            known = known.join(F.broadcast(letters)).withColumn("lower", 1 / (F.col("letters") + 1))
+            known = known.withColumn("lower", F.lit(1.0 / (letters + 1)))
         else:
             known = known.withColumn("last", tail("gram")).join(below.select("lang", F.col("gram").alias("last"), F.col("p").alias("lower")), ["lang", "last"])
         level = known.select("lang", "gram", "n", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("lower")).alias("p"))
@@ -125,7 +125,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, capacity: int = CAPACITY)
         weights = behind.select("lang", F.col("head").alias("gram"), F.log("weight").alias("back"))
         if k == 1:
             # the empty gram keeps what a letter that no text held gets
-            nothing = weights.join(F.broadcast(letters)).select("lang", "gram", (F.col("back") - F.log(F.col("letters") + 1)).alias("logp"), "back")
+            nothing = weights.select("lang", "gram", (F.col("back") - math.log(letters + 1)).alias("logp"), "back")
             finished.append(nothing)
         else:
             finished.append(_join_back(_most_frequent(below, capacity), weights))
@@ -151,8 +151,15 @@ def _most_frequent(level: DataFrame, capacity: int) -> DataFrame:
     histogram = level.groupBy("lang", "class").agg(F.count("*").alias("grams"))
     downwards = Window.partitionBy("lang").orderBy(F.desc("class"))
     fits = histogram.withColumn("kept", F.sum("grams").over(downwards)).where(F.col("kept") <= capacity)
-    least = fits.groupBy("lang").agg(F.min("class").alias("least"))
-    return level.join(least, "lang").where("class >= least").drop("least", "class")
+    least = _by_lang({r["lang"]: r["least"] for r in fits.groupBy("lang").agg(F.min("class").alias("least")).collect()})  # a number a language
+    return level.where(F.col("class") >= least).drop("class")
+
+
+def _by_lang(numbers: dict[str, float]) -> Column:
+    """A number that belongs to the row's language."""
+    if not numbers:
+        return F.lit(None).cast("double")
+    return F.try_element_at(F.create_map(*[x for lang, n in sorted(numbers.items()) for x in (F.lit(lang), F.lit(n))]), F.col("lang"))
 
 
 @dataclass
@@ -204,7 +211,7 @@ class Windows:
                 near = np.where(self.place[back:] >= back, self.codes[:len(self.codes) - back] + np.uint64(1), np.uint64(0))
                 total[back:] += near * power
                 power *= _BASE
-        _, self.first, self.where = np.unique(_mixed(total), return_index=True, return_inverse=True)
+        self.keys, self.first, self.where = np.unique(_mixed(total), return_index=True, return_inverse=True)
 
     def gram(self, i: int) -> str:
         end = int(self.first[i])
@@ -242,26 +249,66 @@ def _lookup(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, model.keys[at] == keys if len(model.keys) else np.zeros(len(keys), bool)
 
 
-def score_words(words: list[str], models: list[Model], order: int = ORDER) -> np.ndarray:
-    """Natural log-probability of each word (row) in each language (column), its end included."""
-    out = np.zeros((len(words), len(models)))
-    if not words:
+class Scorer:
+    """Log-probabilities of a block of languages. A gram that was met before is not looked up again; at most ``MEMO_GRAMS`` are remembered."""
+
+    def __init__(self, models: list[Model], order: int = ORDER):
+        self.models, self.order = models, order
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.logp = np.zeros(0, np.uint64), np.zeros((0, len(self.models)))
+
+    def grams(self, text: Windows) -> np.ndarray:
+        """Log-probability of the last symbol of each gram (row) in each language (column)."""
+        at = np.searchsorted(self.keys, text.keys)
+        at[at == len(self.keys)] = 0
+        new = np.flatnonzero(self.keys[at] != text.keys) if len(self.keys) else np.arange(len(text.keys))
+        if len(new):
+            if len(self.keys) + len(new) > MEMO_GRAMS:
+                self.forget()
+                new = np.arange(len(text.keys))
+            keys = np.concatenate([self.keys, text.keys[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.logp = keys[order], np.concatenate([self.logp, self._look_up(text, new)])[order]
+            at = np.searchsorted(self.keys, text.keys)
+        return self.logp[at]
+
+    def _look_up(self, text: Windows, chosen: np.ndarray) -> np.ndarray:
+        size = np.minimum(text.place[text.first[chosen]] + 1, self.order)
+        columns = [text.symbols(back)[chosen] for back in range(self.order)]
+        out = np.zeros((len(chosen), len(self.models)))
+        for column, model in enumerate(self.models):
+            logp = np.full(len(size), model.unseen)
+            for k in range(1, self.order + 1):
+                long_enough = np.flatnonzero(size >= k)
+                if k > 1:
+                    at, hit = _lookup(model, hash_columns([c[long_enough] for c in columns[1:k]]))
+                    logp[long_enough[hit]] += model.back[at[hit]]
+                at, hit = _lookup(model, hash_columns([c[long_enough] for c in columns[:k]]))
+                logp[long_enough[hit]] = model.logp[at[hit]]
+            logp[size == 1] = 0.0  # the start mark is given
+            out[:, column] = logp
+        return out
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Natural log-probability of each word (row) in each language (column), its end included."""
+        if not words:
+            return np.zeros((0, len(self.models)))
+        text = Windows(words, self.order)
+        return np.add.reduceat(self.grams(text)[text.where], text.begins, axis=0)
+
+    def tokens(self, tokens: list[str]) -> np.ndarray:
+        """Log-probabilities of the words of each token, and behind them their symbols."""
+        words = [words_of_letters(t) for t in tokens]
+        flat = list(chain.from_iterable(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.zeros((len(tokens), len(self.models) + 1))
+        if flat:
+            some = np.flatnonzero(sizes)
+            each = np.column_stack([self.words(flat), np.fromiter(map(len, flat), np.int64, len(flat)) + 1])
+            out[some] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[some])
         return out
-    text = Windows(words, order)
-    size = np.minimum(text.place[text.first] + 1, order)
-    columns = [text.symbols(back) for back in range(order)]
-    for column, model in enumerate(models):
-        logp = np.full(len(size), model.unseen)
-        for k in range(1, order + 1):
-            long_enough = np.flatnonzero(size >= k)
-            if k > 1:
-                at, hit = _lookup(model, hash_columns([c[long_enough] for c in columns[1:k]]))
-                logp[long_enough] += np.where(hit, model.back[at], 0.0) if len(model.keys) else 0.0
-            at, hit = _lookup(model, hash_columns([c[long_enough] for c in columns[:k]]))
-            logp[long_enough[hit]] = model.logp[at[hit]]
-        logp[size == 1] = 0.0  # the start mark is given
-        out[:, column] = np.add.reduceat(logp[text.where], text.begins)
-    return out
 
 
 def _score(shared, order: int):
@@ -269,7 +316,7 @@ def _score(shared, order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        names = [m.lang for m in models]
+        names, scorer = [m.lang for m in models], Scorer(models, order)
         memo: dict[str, int] = {}
         known, chars = np.zeros((0, len(models) + 1)), 0
         for batch in batches:
@@ -281,7 +328,7 @@ def _score(shared, order: int):
                 new = list(set().union(*cut).difference(memo))
                 if new:
                     memo.update(zip(new, range(len(memo), len(memo) + len(new))))
-                    known = np.concatenate([known, score_tokens(new, models, order)])
+                    known = np.concatenate([known, scorer.tokens(new)])
                     chars += sum(map(len, new))
                 sizes = np.fromiter(map(len, cut), np.int64, len(cut))
                 index = np.fromiter(map(memo.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
@@ -295,19 +342,6 @@ def _score(shared, order: int):
     return run
 
 
-def score_tokens(tokens: list[str], models: list[Model], order: int) -> np.ndarray:
-    """Log-probabilities of the words of each token, and behind them their symbols."""
-    words = [words_of_letters(t) for t in tokens]
-    flat = list(chain.from_iterable(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    out = np.zeros((len(tokens), len(models) + 1))
-    if flat:
-        some = np.flatnonzero(sizes)
-        each = np.column_stack([score_words(flat, models, order), np.fromiter(map(len, flat), np.int64, len(flat)) + 1])
-        out[some] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[some])
-    return out
-
-
 def _best(batch: pa.RecordBatch, names: list[str], entropy: np.ndarray, symbols: np.ndarray) -> pa.RecordBatch:
     before = list(zip(*[batch.column(c).to_pylist() for c in ("best", "first", "second")]))
     best, first, second = [], [], []
@@ -401,7 +435,8 @@ def identify(
 
     Models learn from all rows with a language that are not held out (``crc32`` of the id as text, modulo 4, is 2), except one in eight of each language of ``least_docs`` rows or more: these
     calibrate. ``lang_pred`` is the language of least cross-entropy a letter, ``score`` the share of right answers among calibration rows whose lead over the second language was as large.
-    ``accepted`` is false if that is below one half, or the cross-entropy is beyond what calibration rows of that language and length showed (all but two in a thousand).
+    ``accepted`` is false if that is below one half, or the cross-entropy is beyond what calibration rows of that language and length showed (all but two in a thousand; the loosest limit of that length
+    where a language has too few of them).
 
     Words are counted before grams, grams before the shuffle, so a language or a text that fills much of the input is pre-aggregated. Each language keeps at most ``capacity`` grams an
     order; a task holds ``block`` languages. Texts are read whole and never shuffled.
@@ -427,6 +462,9 @@ def identify(
     if found.limits:
         pairs = [x for (lang, size), most in sorted(found.limits.items()) for x in (F.lit(f"{size}:{lang}"), F.lit(float(most)))]
         limit = F.try_element_at(F.create_map(*pairs), F.concat_ws(":", length_class().cast("string"), F.col("best")))
+        loosest = {size: max(m for (_, s), m in found.limits.items() if s == size) for _, size in found.limits}
+        others = F.create_map(*[x for size, most in sorted(loosest.items()) for x in (F.lit(size), F.lit(float(most)))])
+        limit = F.coalesce(limit, F.try_element_at(others, length_class()))
     judged = (F.col("symbols") > 0) & F.col("best").isNotNull()
     score = F.when(judged, F.get(shares, gap_class())).otherwise(0.0)
     return scored.select(
