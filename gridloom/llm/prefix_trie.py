@@ -278,7 +278,6 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, *, chunk: int = CHUN
 
     Null ids belong to no conversation and are left out. An empty table has no nodes; conversations without turns end in the root. Turns are compared by their hash.
     """
-    spark = turns.sparkSession
     conv = F.col("conv_id").cast("long").alias("conv")
     turns = materialise(running_length(turns.where("conv_id is not null").select(conv, F.col("place").cast("long").alias("place"), "same", F.col("chars").cast("long").alias("chars")), "turns"), "trie-turns")
     ranks, tables = sequence_ranks(turns)
@@ -314,10 +313,10 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, *, chunk: int = CHUN
         members.select(F.unhex(F.lpad(F.hex("rank"), 16, "0")).alias("key"), "conv", F.col("conv").cast("string").alias("piece")), "conv", separator=","
     ).select(F.conv(F.hex("key"), 16, 10).cast("long").alias("ends"), "sha256")
     nodes = nodes.join(ends, "ends", "left")
-    return _along(nodes, turns, spark)
+    return _along(nodes, turns)
 
 
-def _along(nodes: DataFrame, turns: DataFrame, spark) -> DataFrame:
+def _along(nodes: DataFrame, turns: DataFrame) -> DataFrame:
     """Every node of the trie: the chain above each branching node, turn by turn."""
     chain = nodes.where("depth > 0").withColumn("place", F.explode(F.sequence(F.col("above") + 1, F.col("depth"))))
     texts = turns.select("conv", "place", (F.col("upto") - F.col("chars")).alias("before"))
