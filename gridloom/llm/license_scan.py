@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
@@ -37,7 +38,22 @@ ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFT
     "bsd-2-clause/text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
 met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary
 form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution.""",
+distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause/text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary
+form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "gpl-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0/header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
 Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful,
@@ -55,7 +71,13 @@ You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "cc-by-4.0/work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense/text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
-distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that
+recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication
+for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity
+of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE. For more information, please refer to https://unlicense.org""",
     "all-rights-reserved/notice": "All rights reserved.",
 }
 #: Least Dice coefficient of a hit.
@@ -130,13 +152,11 @@ class Templates:
                     yield name, dice
 
 
-    def windows(self, words: list[str], taken: list[tuple[str, int, int, float]]) -> Iterator[tuple[str, float]]:
-        """Templates and coefficients of windows of the words, wherever these start and end, outside the ``taken`` spans of the same template.
-
-        A window inside a span or window of a template that fits at least as well and holds all its bigrams is that template's own wording, and left out.
+    def windows(self, words: list[str]) -> list[tuple[float, int, int, str]]:
+        """``-dice, start, -end, template`` of the best window from each start, wherever windows start and end.
 
         Bigrams at the ends of a best window are the template's, and at least ``ratio`` times the template's bigrams lie in it, so only starts
-        with so many of them within the largest size are followed. Each start has its best window; of windows that overlap the best stays, then the first.
+        with so many of them within the largest size are followed.
         """
         places: dict[str, list[int]] = {}
         for at, gram in enumerate(pairwise(words)):
@@ -162,28 +182,53 @@ class Templates:
                         best, end = dice, hits[j] + 2
                 if best >= self.least_dice:
                     found.append((-best, start, -end, name))
-        if not found:
-            return
+        return found
+
+    def found(self, text: str) -> Iterator[tuple[str, float]]:
+        """Template and coefficient of every passage that counts.
+
+        Lines, blocks and the whole text come first, then windows outside those of the same template: of windows that overlap the best one, then the first. A passage of
+        any kind whose bigrams in common with its template all belong to another one as well is that template's wording and left out, if it lies in a passage of that template which fits better, or as well and is longer. A line, block
+        or text fits as well as the best window of its template inside it.
+        """
+        words, spans = passages(text)
+        windows = self.windows(words)
+        whole = [(-dice, a, -b, name) for a, b in spans for name, dice in self.hits(words[a:b])]
+        starts: dict[str, list[tuple[int, int, float]]] = {}
+        for low, a, end, name in windows if whole else ():
+            starts.setdefault(name, []).append((a, -end, -low))  # in the order of their starts
+        taken: dict[str, dict[int, list[tuple[int, float]]]] = {}
         used: dict[str, bytearray] = {}
-        spans: dict[str, list[tuple[int, int, float]]] = {}
-
-        def take(name: str, a: int, b: int, dice: float) -> None:
-            used.setdefault(name, bytearray(len(words)))[a:b] = b"\1" * (b - a)
-            spans.setdefault(name, []).append((a, b, dice))
-
-        for span in taken:
-            take(*span)
-        for dice, a, end, name in sorted(found):
-            b = -end
-            if name in used and any(used[name][a:b]):
-                continue
-            grams = set(pairwise(words[a:b]))
-            if not any(
-                other != name and all(used[other][a:b]) and grams <= self.grams[other].keys() and any(x <= a and b <= y and -dice <= d for x, y, d in near)
-                for other, near in spans.items()
-            ):
-                take(name, a, b, -dice)
-                yield name, -dice
+
+        def foreign(a: int, b: int, dice: float, name: str) -> bool:
+            grams = self.grams[name].keys() & set(pairwise(words[a:b]))
+            for other in self.holders[min(grams, key=lambda g: len(self.holders[g]))]:
+                if other == name or other not in taken or not grams <= self.grams[other].keys():
+                    continue
+                starts = taken[other]
+                for x in range(a, max(-1, b - int(self.sizes[other] / self.ratio) - 3), -1):
+                    if any(y >= b and (d > dice or d == dice and y - x > b - a) for y, d in starts.get(x, ())):
+                        return True
+            return False
+
+        def fit(a: int, b: int, dice: float, name: str) -> float:
+            inside = starts.get(name, [])
+            for k in range(bisect_left(inside, (a,)), bisect_left(inside, (b,))):
+                if inside[k][1] <= b:
+                    dice = max(dice, inside[k][2])
+            return dice
+
+        def take(candidates: list[tuple[float, int, int, str]], once: bool) -> Iterator[tuple[str, float]]:
+            for low, a, end, name in sorted(candidates):
+                b, mine = -end, used.setdefault(name, bytearray(len(words)))
+                if (once and any(mine[a:b])) or foreign(a, b, -low, name):
+                    continue
+                mine[a:b] = b"\1" * (b - a)
+                taken.setdefault(name, {}).setdefault(a, []).append((b, -low if once else fit(a, b, -low, name)))
+                yield name, -low
+
+        yield from take(whole, False)
+        yield from take(windows, True)
 
 
 def license_scan(
@@ -193,7 +238,8 @@ def license_scan(
     """``doc_id, template, passages, dice``: per row of ``docs`` and template, how many passages reach ``least_dice`` and the best coefficient.
 
     A passage is a line, a block of lines or the whole text, in lower case with everything but a-z and 0-9 as white space; beside these, any window of the text's
-    words, inside a line or over several lines and blocks, where none of them reaches the template (see ``Templates.windows``). Dice is twice the
+    words, inside a line or over several lines and blocks, where none of them reaches the template. A passage that is only the wording of a better fitting template is left out, so a notice
+    gives the same rows alone on a line and inside a sentence (see ``Templates.found``). Dice is twice the
     bigrams in common, with their multiplicity, over the bigrams of both. A coefficient of at least d needs sizes whose ratio lies between d / (2 - d)
     and its inverse: passages outside the bounds of every template are passed over, and a passage meets only the templates inside its own bounds.
     The templates travel with the function, as the caller's list does not grow with the data. A narrow map: no shuffle.
@@ -210,13 +256,7 @@ def license_scan(
             at, names, counts, best = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 found: dict[str, list[float]] = {}
-                taken: list[tuple[str, int, int, float]] = []
-                words, spans = passages(text or "")
-                for a, b in spans:
-                    for name, dice in known.hits(words[a:b]):
-                        found.setdefault(name, []).append(dice)
-                        taken.append((name, a, b, dice))
-                for name, dice in known.windows(words, taken):
+                for name, dice in known.found(text or ""):
                     found.setdefault(name, []).append(dice)
                 for name, values in sorted(found.items()):
                     at.append(i)

@@ -19,7 +19,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
   WINDOW w AS (PARTITION BY t))
 """
 
-# every line, block and whole text against every template that shares a bigram: no bounds
+# every line, block and whole text against every template that shares a bigram, without bounds; less what is another template's own wording. Windows are beyond it:
+# the brute force of the tests has them.
 LICENSE_SCAN = f"""
 WITH t(template, text) AS (VALUES {', '.join(f'({_text(k)}, {_text(v)})' for k, v in ls.TEMPLATES.items())}),
  tw AS (SELECT template, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM t),
@@ -27,14 +28,20 @@ WITH t(template, text) AS (VALUES {', '.join(f'({_text(k)}, {_text(v)})' for k,
  tg AS (SELECT template, size, bigram, count(*) AS held FROM tb GROUP BY ALL),
  l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
  w AS (SELECT doc_id, i, regexp_extract_all(lower(line), '[a-z0-9]+') AS ws FROM l),
- s AS (SELECT * FROM (SELECT *, sum(CASE WHEN len(ws) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM w) WHERE len(ws) > 0),
- b AS (SELECT doc_id, block, count(*) AS n, flatten(list(ws ORDER BY i)) AS ws FROM s GROUP BY 1, 2),
- u AS (SELECT doc_id, 'line' || i AS unit, ws FROM s UNION ALL SELECT doc_id, 'block' || block, ws FROM b WHERE n > 1
-       UNION ALL SELECT doc_id, 'text', flatten(list(ws ORDER BY block)) FROM b GROUP BY doc_id HAVING count(*) > 1),
+ p AS (SELECT *, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) AS b, sum(CASE WHEN len(ws) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM w),
+ s AS (SELECT *, b - len(ws) AS a FROM p WHERE len(ws) > 0),
+ b AS (SELECT doc_id, block, count(*) AS n, flatten(list(ws ORDER BY i)) AS ws, min(a) AS a, max(b) AS b FROM s GROUP BY 1, 2),
+ u AS (SELECT doc_id, 'line' || i AS unit, ws, a, b FROM s UNION ALL SELECT doc_id, 'block' || block, ws, a, b FROM b WHERE n > 1
+       UNION ALL SELECT doc_id, 'text', flatten(list(ws ORDER BY block)), min(a), max(b) FROM b GROUP BY doc_id HAVING count(*) > 1),
  g AS (SELECT doc_id, unit, len(ws) - 1 AS own, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS bigram FROM u WHERE len(ws) > 1),
  c AS (SELECT doc_id, unit, own, bigram, count(*) AS n FROM g GROUP BY ALL),
- d AS (SELECT doc_id, unit, template, CAST(2 AS DOUBLE) * sum(least(n, held)) / (own + size) AS dice FROM c JOIN tg USING (bigram) GROUP BY doc_id, unit, own, template, size)
-SELECT doc_id, template, count(*) AS passages, max(dice) AS dice FROM d WHERE dice >= {ls.LEAST_DICE} GROUP BY 1, 2
+ d AS (SELECT doc_id, unit, template, CAST(2 AS DOUBLE) * sum(least(n, held)) / (own + size) AS dice, count(*) AS shared FROM c JOIN tg USING (bigram) GROUP BY doc_id, unit, own, template, size),
+ h AS (SELECT d.*, u.a, u.b FROM d JOIN u USING (doc_id, unit) WHERE dice >= {ls.LEAST_DICE}),
+ shared_ AS (SELECT doc_id, unit, x.template, o.template AS other, count(*) AS n FROM (SELECT c.doc_id, c.unit, c.bigram FROM c SEMI JOIN h USING (doc_id, unit)) AS cs JOIN tg x USING (bigram) JOIN tg o USING (bigram) GROUP BY 1, 2, 3, 4),
+ foreign_ AS (SELECT DISTINCT x.doc_id, x.unit, x.template FROM h x JOIN h o ON o.doc_id = x.doc_id AND o.template <> x.template AND o.a <= x.a AND x.b <= o.b
+     AND (o.dice > x.dice OR (o.dice = x.dice AND o.b - o.a > x.b - x.a))
+   JOIN shared_ s ON s.doc_id = x.doc_id AND s.unit = x.unit AND s.template = x.template AND s.other = o.template WHERE s.n = x.shared)
+SELECT doc_id, template, count(*) AS passages, max(dice) AS dice FROM h ANTI JOIN foreign_ USING (doc_id, unit, template) GROUP BY 1, 2
 """
 
 # shortest windows of 50 words from both ends, by their text
@@ -97,19 +104,22 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text
      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))) AS n_dup_lines,
    coalesce(r.n, 0) AS n_repeat_words, {_classes('text')} AS chars FROM w LEFT JOIN r USING (doc_id)),
  cnt AS (SELECT lang, unnest(ws) AS word, count(*) AS n FROM w GROUP BY 1, 2),
- wide AS (SELECT lang, word, n FROM cnt UNION ALL SELECT '*', word, sum(n) FROM cnt GROUP BY 2),
- tot AS (SELECT lang, CAST(sum(n) AS DOUBLE) AS words FROM wide GROUP BY 1),
- cls AS (SELECT lang, k, sum(n * c) AS n FROM (SELECT lang, n, unnest({_classes('word')}) AS c, unnest(range(6)) AS k FROM wide) GROUP BY 1, 2),
- ref_chars AS (SELECT lang, list(n / total ORDER BY k) AS ref_chars FROM (SELECT lang, k, CAST(n AS DOUBLE) AS n, sum(n) OVER (PARTITION BY lang) AS total FROM cls) GROUP BY 1),
- top AS (SELECT * FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM wide WHERE regexp_full_match(word, '\p{{L}}+')) WHERE k <= {qr.COMMON}),
- ref_words AS (SELECT lang, list(word ORDER BY k) AS common, list(n / words ORDER BY k) AS shares FROM top JOIN tot USING (lang) GROUP BY 1),
- ref AS (SELECT lang, common, shares, ref_chars, words FROM tot JOIN ref_chars USING (lang) JOIN ref_words USING (lang)),
- placed AS (SELECT base.*, coalesce(own.lang, '*') AS ref FROM base LEFT JOIN ref own ON own.lang = base.lang AND own.words >= {qr.LEAST_REFERENCE} AND own.lang <> '*'),
- hits AS (SELECT placed.*, ref_chars, shares, list_transform(common, lambda c: len(list_filter(ws, lambda x: x = c)) / CAST(greatest(n_words, 1) AS DOUBLE)) AS bins
-          FROM placed JOIN ref ON ref.lang = placed.ref),
+ tot AS (SELECT lang, sum(n) AS words FROM cnt GROUP BY 1),
+ cls AS (SELECT lang, k, sum(n * c) AS n FROM (SELECT lang, n, unnest({_classes('word')}) AS c, unnest(range(6)) AS k FROM cnt) GROUP BY 1, 2),
+ ref_chars AS (SELECT lang, list(n ORDER BY k) AS ref_chars FROM cls GROUP BY 1),
+ top AS (SELECT * FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM cnt WHERE regexp_full_match(word, '\p{{L}}+')) WHERE k <= {qr.COMMON}),
+ ref_words AS (SELECT lang, list(word ORDER BY k) AS common, list(n ORDER BY k) AS counts FROM top GROUP BY 1),
+ ref AS (SELECT lang, coalesce(common, []) AS common, coalesce(counts, []) AS counts, ref_chars, words FROM tot JOIN ref_chars USING (lang) LEFT JOIN ref_words USING (lang)),
+ own AS (SELECT base.*, words - n_words AS rest_words, list_sum(ref_chars) - word_chars AS rest_chars, ref_chars, counts,
+           list_transform(common, lambda c: len(list_filter(ws, lambda x: x = c))) AS held FROM base LEFT JOIN ref USING (lang)),
+ hits AS (SELECT *, list_transform(held, lambda h: h / CAST(greatest(n_words, 1) AS DOUBLE)) AS bins,
+            list_transform(list_zip(counts, held), lambda z: (z[1] - z[2]) / CAST(greatest(rest_words, 1) AS DOUBLE)) AS shares,
+            list_transform(list_zip(ref_chars, chars), lambda z: (z[1] - z[2]) / CAST(greatest(rest_chars, 1) AS DOUBLE)) AS rest_classes FROM own),
  far AS (SELECT *,
-   CASE WHEN word_chars >= {qr.LEAST_CHARS} THEN {_distance('list_transform(chars, lambda c: c / CAST(word_chars AS DOUBLE))', 'ref_chars')} ELSE 0 END AS char_distance,
-   CASE WHEN n_words >= {qr.LEAST_WORDS} THEN {_distance('list_append(bins, greatest(0, 1 - list_sum(bins)))', 'list_append(shares, greatest(0, 1 - list_sum(shares)))')} ELSE 0 END AS word_distance,
+   CASE WHEN word_chars >= {qr.LEAST_CHARS} AND rest_chars >= {qr.LEAST_REST_CHARS}
+     THEN {_distance('list_transform(chars, lambda c: c / CAST(word_chars AS DOUBLE))', 'rest_classes')} ELSE 0 END AS char_distance,
+   CASE WHEN n_words >= {qr.LEAST_WORDS} AND rest_words >= {qr.LEAST_REST_WORDS} AND len(bins) > 0
+     THEN {_distance('list_append(bins, greatest(0, 1 - list_sum(bins)))', 'list_append(shares, greatest(0, 1 - list_sum(shares)))')} ELSE 0 END AS word_distance,
    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM hits)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND char_distance <= {qr.MOST_CHARS} AND word_distance <= {qr.MOST_WORDS} + {qr.SLACK} / n_words AS kept FROM far

@@ -1,6 +1,6 @@
 """Quality rules: counted limits, then the Jensen-Shannon distance to a language's own histograms.
 
-Two histograms of a document are compared to references that are counted over the whole input: the classes of its characters and its share of
+Two histograms of a document are compared to references that are counted over all other documents of its language: the classes of its characters and its share of
 each of the language's commonest words. Only functions of Spark are used.
 """
 
@@ -17,10 +17,8 @@ from gridloom.session import materialise
 
 #: Commonest words of a language that are compared one by one; all others are one bin.
 COMMON = 24
-#: The languages with most words, whose references are broadcast. All others are joined to theirs by a shuffle; none of them has more than 1 / 257 of the words.
-LANGUAGES = 256
-#: Not used here: every language has its own reference. The SQL and the older tests still put languages with fewer words together with all others.
-LEAST_REFERENCE = 20_000
+#: A document is compared with what its language holds without it, if that has so many words, or characters.
+LEAST_REST_WORDS, LEAST_REST_CHARS = 1000, 5000
 #: A histogram is judged only with so many characters, or words, in it.
 LEAST_CHARS, LEAST_WORDS = 200, 100
 #: Largest distances of a kept document; that of words may be larger by ``SLACK`` over the number of words, as short histograms are rough.
@@ -81,22 +79,15 @@ def _covered(starts: Column) -> Column:
     ))
 
 
-def measured(
-    docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, carry: tuple[str, ...] = (), languages: DataFrame | None = None, within: bool = True
-) -> DataFrame:
-    """``doc, words``: a struct with the row's number and counts, made before words are exploded, and its words in order.
-
-    With ``languages`` (few, as they are broadcast) only rows of these, or of all others.
-    """
+def measured(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc, words``: a struct with the row's counts, and its words in order."""
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col, **{c: c for c in carry})
     rows = rows.select("doc_id", *carry, F.coalesce("lang", F.lit("")).alias("lang"), text_or_empty("text").alias("text"))
-    if languages is not None:
-        rows = rows.join(F.broadcast(languages.select("lang")), "lang", "left_semi" if within else "left_anti")
     rows = with_char_classes(rows.withColumn("words", words_of(F.col("text"))), "text")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(
         F.struct(
-            F.monotonically_increasing_id().alias("row"), "doc_id", *carry, "lang",
+            "doc_id", *carry, "lang",
             F.size("words").cast("long").alias("n_words"), F.col("_had0").alias("word_chars"), F.col("_symbols").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("words")).alias("n_repeat_words"), "chars",
@@ -106,7 +97,7 @@ def measured(
 
 
 def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, words, common, shares, chars``: number of words, commonest words with their shares and character-class shares of each language.
+    """``lang, words, common, counts, chars``: number of words, commonest words with their counts and characters by class of each language.
 
     Counted over every word of every document. Words count once per task before they are shuffled, and the commonest
     words are cut in each task before they meet, so a language that has most of the input is no single task's work.
@@ -122,37 +113,26 @@ def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: st
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.where(F.col("word").rlike(r"^\p{L}+$")).withColumn("rank", rank).where(F.col("rank") <= COMMON)
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    share = lambda n, of: n.cast("double") / of
     return materialise(
         sums.join(top, "lang", "left").select(
             "lang", "words", F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
-            F.coalesce(F.transform("top", lambda t: share(t["n"], F.col("words"))), F.array().cast("array<double>")).alias("shares"),
-            let(F.aggregate("chars", F.lit(0).cast("long"), operator.add), lambda n: F.transform("chars", lambda c: share(c, n))).alias("chars"),
+            F.coalesce(F.col("top.n"), F.array().cast("array<bigint>")).alias("counts"), "chars",
         ),
         "references",
     )
 
 
-def _bins_of_first(rows: DataFrame, references: DataFrame) -> DataFrame:
-    """``doc, bins, shares, ref_chars`` by broadcast references: words are exploded in the scan's own task and summed to one row per document before the one shuffle."""
-    common = F.broadcast(references.select("lang", F.posexplode("common").alias("bin", "word")))
-    words = rows.select("doc", F.col("doc.lang").alias("lang"), F.explode_outer("words").alias("word"))
-    binned = words.join(common, ["lang", "word"], "left").groupBy("doc").agg(
-        *[F.sum(F.when(F.col("bin") == k, F.lit(1)).otherwise(F.lit(0))).alias(f"b{k}") for k in range(COMMON)]
-    )
-    few = F.broadcast(references.select("lang", "shares", F.col("chars").alias("ref_chars")))
-    return binned.join(few, binned["doc.lang"] == few["lang"], "left").select(
-        "doc", F.slice(F.array(*[F.col(f"b{k}") for k in range(COMMON)]), F.lit(1), F.size("shares")).alias("bins"), "shares", "ref_chars"
-    )
-
+def _with_bins(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """``doc``, its reference and ``bins``, how often it holds each common word of its language.
 
-def _bins_of_others(rows: DataFrame, references: DataFrame) -> DataFrame:
-    """The same by a join of any size, documents and references dealt by language."""
-    joined = rows.join(references.drop("words").withColumnRenamed("chars", "ref_chars"), rows["doc.lang"] == references["lang"], "left")
+    The references are a written table of some hundred bytes a language: small ones are broadcast by their size, others joined by language. Documents are neither exploded nor grouped.
+    """
+    known = references.select("lang", "words", "common", "counts", F.col("chars").alias("ref_chars")).withColumnRenamed("words", "ref_words")
+    joined = rows.join(known, rows["doc.lang"] == known["lang"], "left")
     hits = F.filter("words", lambda w: F.array_contains("common", w))
     return joined.select(
-        "doc", let(hits, lambda held: F.transform("common", lambda c: F.size(F.filter(held, lambda w: w == c)).cast("long"))).alias("bins"),
-        "shares", "ref_chars",
+        "doc", "ref_words", "counts", "ref_chars",
+        let(hits, lambda held: F.transform("common", lambda c: F.size(F.filter(held, lambda w: w == c)).cast("long"))).alias("bins"),
     )
 
 
@@ -175,32 +155,35 @@ def quality_rules(
     whose histogram of character classes or of common words is farther from its language's than the limits. A histogram with too few
     characters or words is not judged (its distance is null).
 
-    The references of the ``LANGUAGES`` languages with most words are broadcast (bounded by ``COMMON`` too); documents of any further languages are joined to
-    theirs by language, with the same result. ``carry`` names further columns that the result keeps. Null text has no words and fails the base; null languages are one language. Null ids, repeated rows and ties are judged
-    row by row. An empty table gives an empty result; further columns are not read.
+    A document's own words and characters are taken out of its reference first, so that it is never compared with itself. Where fewer than ``LEAST_REST_WORDS`` words (``LEAST_REST_CHARS``
+    characters) of its language are left, as for the only document of a language, the distance is null as well, and the base decides alone.
+
+    Texts are not shuffled as long as the references, one row a language, are small enough for Spark's own broadcast limit. ``carry`` names further columns that the result keeps. Null text has no words and
+    fails the base; a null and an empty language are one language. Null ids, repeated rows and ties are judged row by row. An empty table gives an empty result; further columns are not read.
     """
     references = language_references(docs, text_col=text_col, lang_col=lang_col)
-    part = functools.partial(measured, docs, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=carry)
-    if references.select("lang").limit(LANGUAGES + 1).count() <= LANGUAGES:
-        judged = _bins_of_first(part(), references)
-    else:
-        first = materialise(references.orderBy(F.desc("words"), "lang").limit(LANGUAGES), "first-languages")
-        judged = _bins_of_first(part(languages=first), first).unionByName(_bins_of_others(part(languages=first, within=False), references))
+    judged = _with_bins(measured(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=carry), references)
     n_words, n_chars = F.col("doc.n_words").cast("double"), F.col("doc.word_chars").cast("double")
     bins = F.transform("bins", lambda n: n / n_words)
+    rest_words = F.col("ref_words") - F.col("doc.n_words")
+    rest_chars = F.aggregate("ref_chars", F.lit(0).cast("long"), operator.add) - F.col("doc.word_chars")
+    without = lambda counts, own, rest: F.zip_with(counts, own, lambda c, o: (c - o) / rest.cast("double"))
+    shares, ref_chars = without("counts", "bins", F.col("rest_words")), without("ref_chars", "doc.chars", F.col("rest_chars"))
 
     def with_rest(shares: Column) -> Column:
         rest = F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(shares, F.lit(0.0), operator.add))
         return F.concat(shares, F.array(rest))
 
-    judged = judged.select(
+    judged = judged.withColumns({"rest_words": rest_words, "rest_chars": rest_chars}).select(
         *[F.col(f"doc.{c}").alias(c) for c in ["doc_id", *carry, *BASE]],
         ((F.col("doc.n_words") < 50) | (100 * F.col("doc.n_repeat_words") > 50 * F.col("doc.n_words"))).alias("base_failed"),
         F.when(
-            F.col("doc.word_chars") >= LEAST_CHARS, js_distance(F.transform("doc.chars", lambda c: c / n_chars), F.col("ref_chars"))
+            (F.col("doc.word_chars") >= LEAST_CHARS) & (F.col("rest_chars") >= LEAST_REST_CHARS),
+            js_distance(F.transform("doc.chars", lambda c: c / n_chars), ref_chars),
         ).alias("char_distance"),
         F.when(
-            (F.col("doc.n_words") >= LEAST_WORDS) & (F.size("shares") > 0), js_distance(with_rest(bins), with_rest(F.col("shares")))
+            (F.col("doc.n_words") >= LEAST_WORDS) & (F.size("bins") > 0) & (F.col("rest_words") >= LEAST_REST_WORDS),
+            js_distance(with_rest(bins), with_rest(shares)),
         ).alias("word_distance"),
     )
     far = functools.reduce(operator.or_, [

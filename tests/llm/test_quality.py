@@ -43,29 +43,28 @@ def distance(p, q):
 
 
 def brute_rules(rows):
-    counts, every = defaultdict(Counter), Counter()
+    counts = defaultdict(Counter)
     for _, text, lang in rows:
-        words = WORD.findall(text or "")
-        counts[lang or ""].update(words)
-        every.update(words)
+        counts[lang or ""].update(WORD.findall(text or ""))
     refs = {}
-    for lang, own in [*((k, v) for k, v in counts.items() if sum(v.values()) >= qr.LEAST_REFERENCE), ("*", every)]:
-        total = sum(own.values())
+    for lang, own in counts.items():
         letters = {w: n for w, n in own.items() if all(unicodedata.category(c)[0] == "L" for c in w)}
         common = sorted(letters, key=lambda w: (-letters[w], w.encode()))[:qr.COMMON]
         chars = [0] * 6
         for w, n in own.items():
             chars = [a + n * b for a, b in zip(chars, classes(w))]
-        refs[lang] = (common, [own[w] / total for w in common], [c / sum(chars) for c in chars] if sum(chars) else None)
+        refs[lang] = (sum(own.values()), common, [own[w] for w in common], chars)
     out = []
     for i, text, lang in rows:
         n, chars, *rest = base(text)
-        common, shares, ref = refs.get(lang or "", refs["*"])
+        words, common, held, all_chars = refs[lang or ""]
         own = Counter(WORD.findall(text or ""))
-        char_d = distance([c / chars for c in classes(text)], ref) if chars >= qr.LEAST_CHARS else None
-        word_d = None
-        if n >= qr.LEAST_WORDS and common:
-            bins = [own[w] / n for w in common]
+        char_d = word_d = None
+        if chars >= qr.LEAST_CHARS and (left := sum(all_chars) - chars) >= qr.LEAST_REST_CHARS:
+            mine = classes(text)
+            char_d = distance([c / chars for c in mine], [(a - c) / left for a, c in zip(all_chars, mine)])
+        if n >= qr.LEAST_WORDS and common and words - n >= qr.LEAST_REST_WORDS:
+            bins, shares = [own[w] / n for w in common], [(h - own[w]) / (words - n) for h, w in zip(held, common)]
             word_d = distance([*bins, max(0.0, 1 - sum(bins))], [*shares, max(0.0, 1 - sum(shares))])
         failed = n < 50 or 100 * rest[2] > 50 * n
         far = (char_d or 0) > qr.MOST_CHARS or (word_d is not None and word_d > qr.MOST_WORDS + qr.SLACK / n)
@@ -104,14 +103,6 @@ def test_rules_on_edges(spark):
     assert qr.quality_rules(df.limit(0)).count() == 0
 
 
-def brute_by_language(rows):
-    """Each language alone, so its whole input is its own reference."""
-    groups = defaultdict(list)
-    for r in rows:
-        groups[r[2] or ""].append(r)
-    return [w for own in groups.values() for w in brute_rules(own)]
-
-
 def test_rare_languages_have_their_own_reference(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
@@ -124,31 +115,41 @@ def test_rare_languages_have_their_own_reference(spark):
     rare = {lang for lang, n in words.items() if n < 20_000}
     assert {"de", "fr", "es", "ka"} <= rare
     got = qr.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
-    same(got, brute_by_language(rows))
+    same(got, brute_rules(rows))
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").select("doc_id").collect()
     clean = {r[0] for r in labels} & {i for i, _, lang in rows if lang in rare} | set(range(10_000, 10_012))
     judged = [r for r in got if r["doc_id"] in clean and not r["base_failed"] and r["n_words"] >= qr.LEAST_WORDS]
     assert len(judged) > 30 and all(r["kept"] for r in judged)
 
 
-def test_more_languages_than_are_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("languages", [1, 2, 300])
+def test_any_number_of_languages(spark, languages):
     draw = random.Random(8)
     rows = []
-    for k in range(260):
+    for k in range(languages):
         own = [f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}" for a in "abcdefghijklmnopqrstuvwxyzäöüßçé"]
-        texts = [" ".join(draw.choices(own, [1 / (i + 1) for i in range(32)], k=120 + k % 7)) for _ in range(2)]
-        rows += [(3 * k + i, t, f"l{k}") for i, t in enumerate([*texts, "#1 $2 %3 " * (20 if k % 2 else 1) + texts[0]])]
-    rows += [(9000, None, "none"), (9001, "", None), (None, "of the", None), (9002, "7 8 9 " * 60, "digits"), (9002, "7 8 9 " * 60, "digits")]
+        texts = [" ".join(draw.choices(own, [1 / (i + 1) for i in range(32)], k=120 + k % 7)) for _ in range(11)]
+        rows += [(100 * k + i, t, f"l{k}") for i, t in enumerate([*texts, "#1 $2 %3 " * (20 if k % 2 else 1) + texts[0]])]
+    rows += [(90_000, None, "none"), (90_001, "", None), (None, "of the", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    want = brute_by_language(rows)
+    want = brute_rules(rows)
     same(qr.quality_rules(df).collect(), want)
-    assert {w[-1] for w in want if w[1] >= qr.LEAST_WORDS} == {True, False}
+    assert {w[-1] for w in want if w[1] >= qr.LEAST_WORDS} == {True} | ({False} if languages > 1 else set())
     kept = sorted(r[0] for r in qr.keep_fitting(df).collect())
     assert kept == sorted(w[0] for w in want if w[-1])
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    monkeypatch.setattr(qr, "LANGUAGES", 1)
-    same(qr.quality_rules(docs).collect(), brute_by_language([tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]))
+
+def test_a_document_is_not_compared_with_itself(spark):
+    draw = random.Random(2)
+    junk = lambda: " ".join("".join(draw.choices("0123456789#$%&|{}", k=6)) for _ in range(300))
+    prose = [" ".join(draw.choices(["the", "of", "and", "house", "river", "green", "walks", "on"], k=200)) for _ in range(12)]
+    alone = junk()
+    rows = [(k, t, "en") for k, t in enumerate(prose)] + [(20, alone, "en"), (21, alone, "xx"), (22, alone, None), (23, junk(), "yy"), (24, prose[0], "yy")]
+    got = {r["doc_id"]: r for r in qr.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[20]["char_distance"] > 0.9 and not got[20]["kept"]
+    # alone in its language, or with too little beside it: not called near, not judged
+    assert [got[i]["char_distance"] for i in (21, 22, 23, 24)] == [None] * 4 and [got[i]["word_distance"] for i in (21, 22, 23, 24)] == [None] * 4
+    same(got.values(), brute_rules(rows))
 
 
 def brute_sites(rows, labels):
