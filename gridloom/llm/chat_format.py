@@ -148,11 +148,12 @@ def format_conversations(
     number of escape rounds, 0 or 1. Every conversation was read back and compared before it is returned.
 
     One shuffle by conversation; a conversation is one output text, so its turns meet in one task by nature. Turns are ordered by number (null first),
-    then role and text, so ties have one order and repeated rows stay. Null text counts as empty, a null role has no name. Rows with a null
-    id are one conversation. An empty table gives an empty result; further columns are not read.
+    then role and text, so ties have one order and repeated rows stay. Null text counts as empty, a null role has no name. A null id is no conversation that rows could
+    share: each such row is a conversation of one turn. An empty table gives an empty result; further columns are not read.
     """
     rows = only(conversations, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
-    turns = rows.groupBy("conv_id").agg(
+    rows = rows.withColumn("_alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    turns = rows.groupBy("conv_id", "_alone").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("turns")
     ).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     kind = rows.schema["conv_id"].dataType.simpleString()

@@ -33,10 +33,10 @@ def test_escape_is_reversible(text):
 
 def want(rows):
     by = {}
-    for c, turn, role, text in rows:
-        by.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    for n, (c, turn, role, text) in enumerate(rows):
+        by.setdefault((c, n if c is None else None), []).append((turn is not None, turn or 0, role or "", text or ""))
     out = []
-    for c, turns in by.items():
+    for (c, _), turns in by.items():
         turns.sort()
         said = "".join(f"{r}\n{t}\n" for _, _, r, t in turns)
         loss = "".join(t for _, _, r, t in turns if r == "assistant")
@@ -53,7 +53,7 @@ def test_whole_table(spark):
 
 
 def test_edges(spark):
-    rows = [(1, 0, None, None), (1, 0, None, None), (1, None, "user", "x"), (None, 3, "assistant", ""), (2, 1, "tool]", "y" * 50_000), (2, 1, "assistant", "<s>")]
+    rows = [(1, 0, None, None), (1, 0, None, None), (1, None, "user", "x"), (None, 3, "assistant", ""), (None, 3, "assistant", ""), (None, 4, "user", "<s>"), (2, 1, "tool]", "y" * 50_000), (2, 1, "assistant", "<s>")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, turns int")
     formatted = cf.format_conversations(df)
     assert sorted([tuple(r)[:5] for r in cf.read_back(formatted).collect()], key=repr) == want(rows)
