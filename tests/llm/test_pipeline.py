@@ -54,3 +54,19 @@ def test_one_copy_of_each_group_stays(spark):
     rows = [(k, body + f"\nlast words {k % 2}", "en", "s") for k in range(1, 9)] + [(20, None, "en", None)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r[0] for r in cp.simhash_near_dedup(spark, docs, SF).collect()) == [1, 20]
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = docs.limit(60).selectExpr("*", "'x' as words", "1 as kept", "cast(null as string) as fingerprint")
+    odd = spark.createDataFrame(
+        [(9001, None, None, None, None), (9002, "", "en", "s", 0), (9002, "", "en", "s", 0), (None, "a b", None, "s", 3), (9003, "long " * 20_000, "en", "s", 100_000)],
+        "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as words", "1 as kept", "cast(null as string) as fingerprint")
+    rows = extra.unionByName(odd)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, rows, SF)
+        assert out.columns == rows.columns and out.count() <= rows.count(), name
+        assert stage(spark, rows.limit(0), SF).count() == 0, name
+    packed = cp.pack(spark, rows, SF).collect()
+    assert {p["doc_id"] for p in packed} == {r["doc_id"] for r in rows.select("doc_id").collect()}
+    assert cp.pack(spark, rows.limit(0), SF).count() == 0
