@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units that no piece can cross: a run of spaces with the letters or the other characters behind it, and line ends. Every distinct unit of the
-input is encoded once: its substrings up to the longest piece are exploded and joined to the piece table; those found are the edges of the unit's lattice, and
-a fold over them gives its ids. Documents then look their units up.
+Texts are cut into units that no piece can cross: a run of spaces with the letters or the other characters behind it, and line ends. A task encodes each of its distinct
+units once: the substrings up to the longest piece are exploded and joined to the piece table; those found are the edges of the unit's lattice, and
+a fold over them gives its ids. The texts of the task follow as numbers of their units and look them up, so neither texts nor units are shuffled.
 
 The fold follows the model. A BPE model merges neighbours in the order of scores, so its ids are not those of the path with the best sum; the fold
 here merges along the edges of the lattice, best score first and leftmost first, as the library does.
@@ -10,16 +10,18 @@ here merges along the edges of the lattice, best score first and leftmost first,
 
 from __future__ import annotations
 
+import functools
 import heapq
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.text import only, text_or_empty
+from gridloom.llm.text import by_bytes, only, text_or_empty
 from gridloom.session import materialise
 
 SPACE_MARK = "▁"
@@ -27,6 +29,14 @@ SPACE_MARK = "▁"
 FREQUENT, LONGEST_FREQUENT = 500_000, 64
 #: Lattice starts that are exploded from one block of a long unit.
 BLOCK = 48
+#: Base of the 64-bit keys of substrings.
+KEY_BASE = 0x9E3779B97F4A7C15
+#: Units and their characters that a task keeps; bytes of texts that it cuts, and units or ids that it looks up, together.
+TASK_UNITS, TASK_CHARS, SLICE_BYTES, SLICE_UNITS = 400_000, 8_000_000, 2 << 20, 1 << 17
+#: Characters of blocks whose keys are made together, units that are folded together, and the longest unit that is folded so.
+NEW_CHARS, FOLD_UNITS, LONGEST_TOGETHER = 1 << 15, 8192, 64
+#: Rank of what is no edge.
+_NEVER = 1 << 30
 _UNITS = f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+"
 #: The same where no piece has letters (and their marks) beside other characters.
 _LETTER_UNITS = rf"\n|{SPACE_MARK}*[\p{{L}}\p{{M}}]+|{SPACE_MARK}*[^\p{{L}}\p{{M}}{SPACE_MARK}\n]+|{SPACE_MARK}+"
@@ -50,46 +60,131 @@ class Model:
         if crossing:
             raise ValueError(f"pieces cross the units of this encoder: {crossing[:3]}")
         mixed = any(len({unicodedata.category(c)[0] in "LM" for c in p}) > 1 for p in bare)
-        self.units = _UNITS if mixed else _LETTER_UNITS
+        self.mixed, self.units = mixed, _UNITS if mixed else _LETTER_UNITS
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """``piece, id``; bounded by the model's vocabulary."""
-        return spark.createDataFrame([p[:2] for p in self.pieces], "piece string, id int")
+        """``key, piece, id``; bounded by the model's vocabulary."""
+        return spark.createDataFrame([(piece_key(p), p, i) for p, i, _ in self.pieces], "key long, piece string, id int")
 
     def spelled(self) -> dict[int, bytes]:
         """Bytes of each id for decoding."""
         return {i: p.encode() for p, i, _ in self.pieces} | {i: bytes([b]) for b, i in self.bytes.items()}
 
 
-def units_of(text: Column, model: Model) -> Column:
-    """Units of a text in order; the text gets the space that the library puts before it. None for an empty text."""
-    marked = F.concat(F.lit(SPACE_MARK), F.replace(text, F.lit(" "), F.lit(SPACE_MARK)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(model.units), F.lit(0)))
-
+def marked(text: Column) -> Column:
+    """A text with marks for spaces; it gets the space that the library puts before it unless it is empty."""
+    return F.when(text == "", text).otherwise(F.concat(F.lit(SPACE_MARK), F.replace(text, F.lit(" "), F.lit(SPACE_MARK))))
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``number, unit, n, edge``: the edges of the lattice of each row of ``unit, n``, one row each, packed as ``place << 24 | id`` with ``place = start << 8 | length``.
 
-    Substrings of two characters or more are joined to the pieces. A unit's first row is its first character: it alone carries the unit, and its edge is null. The rows of a unit
-    follow each other, as neither the explosion nor a broadcast join reorders rows; ``number`` lets the reader make sure.
-    Long units are exploded in blocks, so the work is in proportion to their length.
+def units_of(text: Column, model: Model) -> Column:
+    """Units of a text in order. None for an empty text."""
+    return F.regexp_extract_all(marked(text), F.lit(model.units), F.lit(0))
+
+
+@functools.lru_cache(2)
+def _classes(mixed: bool) -> np.ndarray:
+    """Of each character: 0 or 1 inside a unit (letters and their marks have 1 where units part them from others), 2 for a space mark, 3 for a line end."""
+    found = np.zeros(0x110000, np.uint8)
+    if not mixed:
+        kinds = "".join(map(unicodedata.category, map(chr, range(0x110000)))).encode()
+        found[np.isin(np.frombuffer(kinds, np.uint8)[::2], list(b"LM"))] = 1
+    found[ord(SPACE_MARK)], found[ord("\n")] = 2, 3
+    return found
+
+
+def _cut(texts: pa.Array, classes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Units of marked texts, as ``units_of`` cuts them, all in one array that shares the texts' bytes, and their number in each text."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    whole = texts.buffers()[2]
+    if whole is None or offsets[0] == offsets[-1]:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    whole, offsets = whole.slice(int(offsets[0]), int(offsets[-1] - offsets[0])), offsets - offsets[0]
+    starts = np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80).astype(np.int32)
+    kind = classes[np.frombuffer(str(whole, "utf-8").encode("utf-32-le"), "<u4")]
+    first = kind == 3
+    first[0] = True
+    first[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != 2)
+    first[np.searchsorted(starts, offsets[:-1][offsets[:-1] < offsets[-1]])] = True
+    cuts = np.append(starts[first], offsets[-1])
+    units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), whole)
+    return units, np.diff(np.searchsorted(cuts, offsets))
+
+
+def _strings(names: pa.Array) -> list[str]:
+    return names.to_numpy(zero_copy_only=False).tolist()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def piece_key(piece: str) -> int:
+    """The number that stands for a piece in the join; substrings get theirs from ``_keys``."""
+    key = 0
+    for code in _codes(piece).tolist():
+        key = (key * KEY_BASE + code) % (1 << 64)
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _keys(blocks: list[str], starts: np.ndarray, heads: np.ndarray, longest: int) -> pa.Array:
+    """For each block a list of lists: ``[0]`` where a unit begins, else none, then the keys of the substrings of two characters or more from each of its first ``starts`` characters, shortest first."""
+    codes, sizes = _codes("".join(blocks)), np.fromiter(map(len, blocks), np.int64, len(blocks))
+    ends = np.cumsum(sizes)
+    inside = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    room = np.where(inside < np.repeat(starts, sizes), np.minimum(np.repeat(ends, sizes) - np.arange(len(codes)), longest), 0)
+    every = np.zeros((len(codes), max(longest - 1, 1)), np.uint64)
+    key = codes
+    for length in range(2, min(longest, len(codes)) + 1):
+        key = key[:-1] * np.uint64(KEY_BASE) + codes[length - 1:]
+        every[:len(key), length - 2] = key
+    found = every[np.arange(2, 2 + every.shape[1]) <= room[:, None]].view(np.int64)
+    held = np.maximum(room - 1, 0)
+    before = np.cumsum(held) - held  # values in front of each character
+    first = (ends - sizes)[heads]
+    values = np.insert(found, before[first], 0)
+    inner = np.insert(held[inside < np.repeat(starts, sizes)], np.cumsum(starts) - starts, heads.astype(np.int64))
+    offsets = np.concatenate([[0], np.cumsum(inner)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(starts + 1)]).astype(np.int32)), lists)
+
+
+#: What ``lattice`` reads; further columns are handed on with a row's first edge.
+_ROWS = "number long, unit string, at int, block string, keys array<array<long>>"
+
+
+def _unit_rows(number: int, units: list[str], longest: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """The columns of ``_ROWS`` for units numbered from ``number`` on, one row a block, some rows at a time, with the place of each row's unit."""
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    blocks = -(-sizes // BLOCK)
+    owners = np.repeat(np.arange(len(units)), blocks)
+    at = (np.arange(len(owners)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+    texts = units
+    if len(owners) > len(units):
+        texts = [units[k][a:a + BLOCK + longest - 1] for k, a in zip(owners.tolist(), at.tolist())]
+    for low, high in by_bytes(list(map(len, texts)), NEW_CHARS):
+        mine, places, some = owners[low:high], at[low:high], texts[low:high]
+        heads = places == 0
+        yield mine, [
+            pa.array(number + mine), pa.array([units[k] if h else None for k, h in zip(mine.tolist(), heads.tolist())], pa.string()),
+            pa.array(places.astype(np.int32)), pa.array(some, pa.string()), _keys(some, np.minimum(sizes[mine] - places, BLOCK), heads, longest),
+        ]
+
+
+def lattice(rows: DataFrame, model: Model, *carry: str) -> DataFrame:
+    """``number, unit, edge``: the edges of the lattice of each unit, one row each, packed as ``place << 24 | id`` with ``place = start << 8 | length``.
+
+    Substrings of two characters or more are joined to the pieces by a 64-bit key and kept where the texts are equal, so a key that two texts share does no harm. A unit's first row has no edge;
+    it alone carries the unit and the columns ``carry``. A row without a unit gives that one row. The rows of a unit follow each other, as neither the explosion nor a broadcast join reorders
+    rows; ``number`` lets the reader make sure. Long units come in blocks, so the work is in proportion to their length.
     """
-    numbered = units.select(F.monotonically_increasing_id().alias("number"), "unit", "n", F.char_length("unit").alias("size"))
-    starts = numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(BLOCK))).alias("at")).select(
-        "number", "n", "at", F.when(F.col("at") == 0, F.col("unit")).alias("unit"),
-        F.expr(f"substring(unit, at + 1, {BLOCK + longest - 1})").alias("block"),
-    ).withColumn("held", F.char_length("block")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("held")) - 1)).alias("first")
-    )
-    cuts = starts.select(
-        "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("held") - F.col("first")))).alias("length")
-    ).where("length > 1 or at + first = 0").select(
-        "number", "n", F.when((F.col("first") == 0) & (F.col("length") == 1), F.col("unit")).alias("unit"),
-        F.expr("(cast(at + first as bigint) << 8) | length").alias("place"),
-        F.when(F.col("length") > 1, F.expr("substring(block, first + 1, length)")).alias("piece"),
-    )
-    return cuts.join(F.broadcast(pieces), "piece", "left").where("id is not null or unit is not null").select(
-        "number", "unit", "n", F.expr("(place << 24) | id").alias("edge")
+    starts = rows.select("number", "unit", "at", "block", *carry, F.posexplode("keys").alias("first", "cuts"))
+    cuts = starts.select("number", "unit", "at", "block", *carry, "first", F.posexplode("cuts").alias("more", "key"))
+    return cuts.join(F.broadcast(model.table(rows.sparkSession)), "key", "left").where(
+        "first = 0 or (id is not null and substring(block, first, more + 2) = piece)"
+    ).select(
+        "number", F.when(F.col("first") == 0, F.col("unit")).alias("unit"),
+        F.when(F.col("first") > 0, F.expr("(((cast(at + first - 1 as bigint) << 8) | (more + 2)) << 24) | id")).alias("edge"),
+        *[F.when(F.col("first") == 0, F.col(c)).alias(c) for c in carry],
     )
 
 
@@ -121,65 +216,136 @@ def merge(n: int, edges: dict[int, int], scores: dict[int, float]) -> list[tuple
     return [(k, after[k]) for k in range(n) if alive[k]]
 
 
-def _fold(model: Model):
-    spelled, unknown = model.bytes, model.unknown
-    single = {p: i for p, i, _ in model.pieces if len(p) == 1}
-    scores = {i: s for _, i, s in model.pieces}
-
-    def ids_of(unit: str, edges: dict[int, int]) -> list[int]:
-        out = []
-        for a, b in merge(len(unit), edges, scores) if edges else [(k, k + 1) for k in range(len(unit))]:
-            if b - a > 1:
-                out.append(edges[a << 8 | b - a])
-            elif (hit := single.get(unit[a])) is not None:
-                out.append(hit)
-            elif spelled:
-                out += [spelled[x] for x in unit[a].encode("utf-8", "surrogatepass")]
-            else:
-                out.append(unknown)
-        return out
+class _Fold:
+    """Ids of units from the rows of their lattices. Units are gathered and folded together: in each round every unit makes its best merge."""
+
+    def __init__(self, model: Model):
+        self.spelled, self.unknown, self.longest = model.bytes, model.unknown, model.longest
+        self.scores = {i: s for _, i, s in model.pieces}
+        ids = np.array(list(self.scores), np.int64)
+        self.ranks = np.full(int(ids.max(initial=0)) + 2, _NEVER, np.int64)  # by id + 1; 0 is no edge
+        self.ranks[ids + 1] = np.unique(-np.array(list(self.scores.values())), return_inverse=True)[1]
+        self.single = np.full(0x110000, -1, np.int32)
+        for piece, i, _ in model.pieces:
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
+        self.names, self.numbers = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.edges: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+
+    def add(self, numbers: np.ndarray, names: pa.Array, edge: np.ndarray) -> None:
+        """Rows of units, in order; ``edge`` is -1 in a unit's first row."""
+        heads, more = edge < 0, np.flatnonzero(edge >= 0)
+        owners = np.cumsum(heads) + (len(self.names) - 1)
+        self.names = pa.concat_arrays([self.names, names.drop_null()])
+        self.numbers = np.concatenate([self.numbers, numbers[heads]])
+        if owners[0] < 0 or len(self.names) != len(self.numbers) or (self.numbers[owners] != numbers).any():
+            raise ValueError("edges of a unit are apart")
+        self.edges.append(edge[more])
+        self.owners.append(owners[more])
+
+    def take(self, ended: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """``(units, numbers, ids, counts)`` of the gathered units; the last one stays unless no row of it can follow."""
+        n = len(self.names) if ended else max(len(self.names) - 1, 0)
+        names, numbers = self.names.slice(0, n), self.numbers[:n]
+        edges, owners = np.concatenate([np.zeros(0, np.int64), *self.edges]), np.concatenate([np.zeros(0, np.int64), *self.owners])
+        cut = int(np.searchsorted(owners, n))
+        self.names, self.numbers, self.edges, self.owners = self.names.slice(n), self.numbers[n:], [edges[cut:]], [owners[cut:] - n]
+        return names, numbers, *self._ids(names, edges[:cut], owners[:cut])
+
+    def _ids(self, names: pa.Array, edges: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = pc.utf8_length(names).to_numpy().astype(np.int64)
+        total = int(sizes.sum())
+        if not total:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        bases = np.cumsum(sizes) - sizes
+        stops = np.zeros(total, np.int64)  # end of the symbol that starts at a character, 0 for none
+        piece = np.zeros(total, np.int64)  # its id + 1 if it is longer than a character
+        short = sizes <= LONGEST_TOGETHER
+        self._merge_short(stops, piece, sizes, bases, short, edges, owners)
+        for k in np.flatnonzero(~short).tolist():
+            low, high = np.searchsorted(owners, [k, k + 1])
+            found = dict(zip((edges[low:high] >> 24).tolist(), (edges[low:high] & 0xFFFFFF).tolist()))
+            for start, end in merge(int(sizes[k]), found, self.scores):
+                stops[bases[k] + start] = bases[k] + end
+                if end - start > 1:
+                    piece[bases[k] + start] = found[start << 8 | end - start] + 1
+        starts = np.flatnonzero(stops)
+        codes = _codes("".join(_strings(names)))[starts].astype(np.int64)
+        ids = np.where(piece[starts] > 0, piece[starts] - 1, self.single[codes])
+        counts, lost = np.ones(len(ids), np.int64), np.flatnonzero(ids < 0)
+        spelled = [[self.spelled[x] for x in chr(c).encode("utf-8", "surrogatepass")] if self.spelled else [self.unknown] for c in codes[lost].tolist()]
+        counts[lost] = list(map(len, spelled))
+        places = np.cumsum(counts) - counts
+        out = np.repeat(ids, counts).astype(np.int32)
+        for place, some in zip(places[lost].tolist(), spelled):
+            out[place:place + len(some)] = some
+        return out, np.bincount(np.repeat(np.arange(len(names)), sizes)[starts], counts, len(names)).astype(np.int64)
+
+    def _merge_short(self, stops, piece, sizes, bases, short, edges, owners) -> None:
+        """Fill in the symbols of short units. The best edge goes first, the leftmost of equals, as in ``merge``."""
+        width = self.longest + 1
+        table = np.zeros(len(stops) * width, np.int32)
+        mine = short[owners]
+        place = edges[mine] >> 24
+        table[(bases[owners[mine]] + (place >> 8)) * width + (place & 0xFF)] = (edges[mine] & 0xFFFFFF) + 1
+        unit = np.repeat(np.arange(len(sizes)), sizes)
+        start = np.flatnonzero(short[unit])
+        unit, end = unit[start], start + 1
+        while len(start):
+            span = np.append(end[1:], 0) - start
+            fits = np.append(unit[1:] == unit[:-1], False) & (span <= self.longest)
+            rank = self.ranks[table[np.where(fits, start * width + span, 0)]]
+            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(start)), first)
+            merged = (best >> 32) < _NEVER
+            left = best[merged] & 0xFFFFFFFF
+            end[left] = end[left + 1]
+            piece[start[left]] = table[start[left] * width + end[left] - start[left]]
+            going = np.repeat(merged, np.diff(np.append(first, len(start))))
+            stops[start[~going]] = end[~going]
+            going[left + 1] = False
+            start, end, unit = start[going], end[going], unit[going]
+
+
+def _edges_of(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    return batch.column("number").to_numpy(), batch.column("unit"), batch.column("edge").fill_null(-1).to_numpy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the unit whose edges may go on in the next batch
 
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch(
-                [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()),
-                 pa.array([ids_of(r[1], r[3]) for r in rows], pa.list_(pa.int32()))], names=["unit", "n", "ids"],
-            )
+def encode_units(units: DataFrame, model: Model) -> DataFrame:
+    """``unit, n, ids`` for distinct ``unit, n``; written once."""
+    longest = model.longest
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for batch in batches:
-            numbers, names, counts = (batch.column(c) for c in ("number", "unit", "n"))
-            numbers, edge = numbers.to_numpy(), batch.column("edge").fill_null(-1).to_numpy()
-            firsts = np.flatnonzero(~np.asarray(names.is_null()))
-            places, ids = (edge >> 24).tolist(), (edge & 0xFFFFFF).tolist()
-            cuts = [*firsts.tolist(), batch.num_rows]
-            if cuts[0]:
-                if held is None or (numbers[:cuts[0]] != held[0]).any():
-                    raise ValueError("edges of a unit are apart")
-                held[3].update(zip(places[:cuts[0]], ids[:cuts[0]]))
-            owners = np.repeat(numbers[firsts], np.diff(cuts))
-            if (owners != numbers[cuts[0]:]).any():
-                raise ValueError("edges of a unit are apart")
-            at = pa.array(firsts)
-            rows = [] if held is None or not len(firsts) else [held]
-            for k, (number, unit, n) in enumerate(zip(numbers[firsts].tolist(), names.take(at).to_pylist(), counts.take(at).to_pylist())):
-                low, high = cuts[k] + 1, cuts[k + 1]
-                rows.append((number, unit, n, dict(zip(places[low:high], ids[low:high]))))
-            if len(firsts):
-                held = rows.pop()
-            if rows:
-                yield done(rows)
-        if held is not None:
-            yield done([held])
+            names = batch.column("unit").to_pylist()
+            for owners, columns in _unit_rows(at, names, longest):
+                yield pa.record_batch([*columns, batch.column("n").take(pa.array(owners))], names=["number", "unit", "at", "block", "keys", "n"])
+            at += len(names)
 
-    return run
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded, held = _Fold(model), pa.array([], pa.int64())
 
+        def done(ended: bool) -> pa.RecordBatch:
+            nonlocal held
+            names, _, ids, counts = folded.take(ended)
+            out = pa.record_batch([names, held.slice(0, len(names)), _lists(ids, counts)], names=["unit", "n", "ids"])
+            held = held.slice(len(names))
+            return out
 
-def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """``unit, n, ids`` for distinct ``unit, n``; written once."""
-    edges = lattice(units, model.table(units.sparkSession), model.longest)
-    return materialise(edges.mapInArrow(_fold(model), "unit string, n long, ids array<int>"), "unit-ids")
+        for batch in batches:
+            folded.add(*_edges_of(batch))
+            held = pa.concat_arrays([held, batch.column("n").drop_null()])
+            yield done(False)
+        yield done(True)
+
+    rows = units.select("unit", F.col("n").cast("long").alias("n")).mapInArrow(spread, f"{_ROWS}, n long")
+    return materialise(lattice(rows, model, "n").mapInArrow(fold, "unit string, n long, ids array<int>"), "unit-ids")
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 def _numbered(docs: DataFrame, model: Model, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -195,21 +361,122 @@ def dictionary(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     return encode_units(found.groupBy("unit").agg(F.count("*").alias("n")), model)
 
 
-def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _split(longest: int, mixed: bool, kept: list[str]):
+    """Rows for ``lattice``: the units that a task has not met yet, numbered, then the texts that hold them, as the numbers of their units."""
+    names = ["number", "unit", "at", "block", "keys", "places", *kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        chars, classes = 0, _classes(mixed)
+        for batch in batches:
+            texts, others = batch.column("text"), [batch.column(c) for c in kept]
+            for low, high in by_bytes(pc.binary_length(texts).to_pylist(), SLICE_BYTES):
+                n = high - low
+                units, sizes = _cut(texts.slice(low, n), classes)
+                found = units.dictionary_encode()
+                distinct = _strings(found.dictionary)
+                if distinct and (len(known) > TASK_UNITS or chars > TASK_CHARS):
+                    known, chars = {}, 0
+                before = len(known)
+                numbers = np.fromiter((known.setdefault(u, len(known)) for u in distinct), np.uint32, len(distinct))
+                new = [distinct[k] for k in np.flatnonzero(numbers >= before).tolist()]
+                chars += sum(map(len, new))
+                for owners, columns in _unit_rows(before, new, longest):
+                    yield pa.record_batch([*columns, *[pa.nulls(len(owners), t) for t in (pa.binary(), *[c.type for c in others])]], names=names)
+                flat = numbers[found.indices.to_numpy()].tobytes()
+                ends = (4 * np.cumsum(sizes)).tolist()
+                yield pa.record_batch(
+                    [pa.array([-1] * n, pa.int64()), pa.nulls(n, pa.string()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string()),
+                     pa.array([[[0]]] * n, pa.list_(pa.list_(pa.int64()))), pa.array([flat[a:b] for a, b in zip([0, *ends], ends)], pa.binary()),
+                     *[c.slice(low, n) for c in others]],
+                    names=names,
+                )
+
+    return run
+
+
+class _Spelled(dict):
+    def __missing__(self, i: int) -> bytes:
+        return b""
+
+
+def _texts(ids: pa.Array, spell: Callable[[int], bytes]) -> pa.Array:
+    """The text of each list of ids."""
+    parts = list(map(spell, ids.flatten().to_pandas().tolist()))
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist()
+    whole = [b"".join(parts[a:b]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
+    return pa.array([text.replace(SPACE_MARK, " ").removeprefix(" ") for text in whole], pa.string())
+
+
+def _look_up(model: Model, kept: list[str], decoded: bool):
+    """Ids of each text from the lattices of its units, which came before it; ``decoded`` adds the text that they spell."""
+    known = model.spelled()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded, spell = _Fold(model), _Spelled(known).__getitem__
+        ids, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        starts = counts
+
+        def learn(ended: bool) -> None:
+            nonlocal ids, counts, starts
+            names, numbers, more, sizes = folded.take(ended)
+            if len(names) and numbers[0] == 0:  # the task has begun a new list
+                ids, counts = ids[:0], counts[:0]
+            if (numbers != np.arange(len(counts), len(counts) + len(names))).any():
+                raise ValueError("units of a task are out of order")
+            ids, counts = np.concatenate([ids, more]), np.concatenate([counts, sizes])
+            starts = np.cumsum(counts) - counts
+
+        def texts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            places = rows.column("places").to_pylist()
+            for low, high in by_bytes([len(p) // 4 for p in places], SLICE_UNITS):
+                numbers = np.frombuffer(b"".join(places[low:high]), np.uint32)
+                sizes = counts[numbers]
+                ends = np.cumsum(sizes)
+                flat = ids[np.repeat(starts[numbers] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+                of_text = np.append(0, ends)[np.cumsum([0, *[len(p) // 4 for p in places[low:high]]])]
+                found = _lists(flat, np.diff(of_text))
+                yield pa.record_batch(
+                    [*[rows.column(c).slice(low, high - low) for c in kept], found, *([_texts(found, spell)] if decoded else [])],
+                    names=[*kept, "ids", *(["text"] if decoded else [])],
+                )
+
+        for batch in batches:
+            whole = np.asarray(batch.column("places").is_valid())
+            borders = [0, *(np.flatnonzero(whole[1:] != whole[:-1]) + 1).tolist(), batch.num_rows]
+            for low, high in zip(borders, borders[1:]):
+                rows = batch.slice(low, high - low)
+                if high > low and whole[low]:
+                    learn(True)
+                    yield from texts(rows)
+                elif high > low:
+                    folded.add(*_edges_of(rows))
+                    if len(folded.names) > FOLD_UNITS:
+                        learn(False)
+
+    return run
+
+
+def encode(
+    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), decoded: str | None = None
+) -> DataFrame:
     """``doc_id, ids``: the ids of each row's text, as the library gives them without begin or end.
 
     Null text counts as empty and has no ids; a character that is no piece becomes its bytes. Null ids and repeated rows are
-    encoded each. Texts of any length work: long units are cut into blocks. ``carry`` names further columns that the result keeps;
-    they travel with a text's first unit only. An empty table gives an empty result; other columns are not read.
+    encoded each. Texts of any length work: long units are cut into blocks. ``carry`` names further columns that the result keeps,
+    ``decoded`` a column for what ``decode`` makes of the ids, worked out in the same pass. An empty table gives an empty result; other columns are not read.
+
+    Nothing is shuffled or written. A task numbers the units that it has not met, hands them to the lattice once, and sends each text behind them as
+    numbers; beyond ``TASK_UNITS`` units or ``TASK_CHARS`` characters it forgets them and begins again.
     """
-    known = dictionary(docs, model, text_col=text_col)
-    units = _numbered(docs, model, id_col, text_col, carry).select("row", "doc_id", *carry, F.posexplode_outer("units").alias("pos", "unit"))
-    units = units.withColumns({c: F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(c)) for c in carry})
-    placed = units.join(known.select("unit", "ids"), "unit", "left").groupBy("row", "doc_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("pos", "ids")))).alias("parts"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
-    )
-    return placed.select("doc_id", *carry, F.flatten(F.col("parts.ids")).alias("ids"))
+    rows = only(docs, doc_id=id_col, text=text_col, **{c: c for c in carry})
+    kept = [f"kept_{k}" for k in range(1 + len(carry))]
+    named = rows.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(("doc_id", *carry), kept)], marked(text_or_empty("text")).alias("text"))
+    kinds = ", ".join(f"{k} {named.schema[k].dataType.simpleString()}" for k in kept)
+    spread = named.mapInArrow(_split(model.longest, model.mixed, kept), f"{_ROWS}, places binary, {kinds}")
+    kinds += ", ids array<int>" + (", text string" if decoded else "")
+    found = lattice(spread, model, "places", *kept).mapInArrow(_look_up(model, kept, decoded is not None), kinds)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(("doc_id", *carry), kept)], "ids", *([F.col("text").alias(decoded)] if decoded else []))
 
 
 def encode_summary(
@@ -263,17 +530,15 @@ def decode(
     Null or empty ids give an empty text; control and unknown ids have none. Bytes that are no UTF-8 become the replacement character.
     ``carry`` names further columns that the result keeps.
     """
-    rows, spelled = only(encoded, doc_id=id_col, ids=ids_col, **{c: c for c in carry if c != "ids"}), model.spelled()
+    rows, known = only(encoded, doc_id=id_col, ids=ids_col, **{c: c for c in carry if c != "ids"}), model.spelled()
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = _Spelled(known).__getitem__
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids").to_pylist():
-                text = b"".join(spelled.get(i, b"") for i in ids or ()).decode("utf-8", "replace").replace(SPACE_MARK, " ")
-                texts.append(text.removeprefix(" "))
-            yield pa.record_batch(
-                [*[batch.column(c) for c in ("doc_id", *carry)], pa.array(texts, pa.string())], names=["doc_id", *carry, "text"]
-            )
+            every = batch.column("ids")
+            for low, high in by_bytes(every.value_lengths().fill_null(0).to_pylist(), SLICE_UNITS):
+                some = every.slice(low, high - low)
+                yield pa.record_batch([*[batch.column(c).slice(low, high - low) for c in ("doc_id", *carry)], _texts(some, spell)], names=["doc_id", *carry, "text"])
 
     return rows.mapInArrow(run, f"{kinds}, text string")

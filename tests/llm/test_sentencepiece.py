@@ -1,7 +1,9 @@
 """SentencePiece encoding against the library, and back."""
 
 import hashlib
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -73,3 +75,56 @@ def test_whole_table(spark, model, library):
     assert {r[0]: r[1] for r in sl.decode(encoded, model).collect()} == {i: t for i, t in rows}
     counts = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op10_sentencepiece"](spark, SF).collect()}
     assert counts == {i: len(library.encode(t)) for i, t in rows}
+
+
+def test_nothing_is_shuffled_or_written(spark, model, monkeypatch):
+    monkeypatch.setattr(sl, "materialise", lambda *_, **__: pytest.fail("units are written"))
+    plan = sl.encode(frame(spark, ODD).coalesce(1), model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
+    assert "Exchange hashpartitioning" not in QUERIES["op10_sentencepiece"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_are_cut_as_by_the_expression(spark, model):
+    rows = frame(spark, ODD).where("text is not null").select(sl.marked(F.col("text")).alias("m"), sl.units_of(F.col("text"), model).alias("u")).collect()
+    for part in (rows, rows[3:7], [rows[1]]):
+        texts = pa.array([r["m"] for r in part], pa.string())
+        units, sizes = sl._cut(texts, sl._classes(model.mixed))
+        assert units.to_pylist() == [u for r in part for u in r["u"]] and sizes.tolist() == [len(r["u"]) for r in part]
+
+
+def test_memory_that_forgets_and_small_slices(model, library):
+    """Tasks forget units, slices and batches end anywhere, a unit spans batches: the ids stay those of the library."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["the", "ation", "q", " ", "  ", "12", "é", "🙂", "\n", "▁", "x" * 70]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    texts += ["implementation" * 40, ""]
+    pieces: dict[int, list] = {}
+    for p, i, _ in model.pieces:
+        pieces.setdefault(sl.piece_key(p), []).append((p, i))
+
+    def joined(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                for first, cuts in enumerate(r["keys"]):
+                    for more, key in enumerate(cuts):
+                        head = first == 0
+                        hits = [None] if head else [i for p, i in pieces.get(key, []) if r["block"][first - 1:first + 1 + more] == p]
+                        for i in hits:
+                            edge = None if head else ((r["at"] + first - 1) << 8 | more + 2) << 24 | i
+                            yield {"number": r["number"], "unit": r["unit"] if head else None, "edge": edge, "places": r["places"] if head else None, "kept_0": r["kept_0"] if head else None}
+
+    marked = [("▁" + t.replace(" ", "▁")) if t else "" for t in texts]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(marked, pa.string())], names=["kept_0", "text"])
+    kinds = pa.schema([("number", pa.int64()), ("unit", pa.string()), ("edge", pa.int64()), ("places", pa.binary()), ("kept_0", pa.int64())])
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in (("TASK_UNITS", 20), ("SLICE_BYTES", 300), ("SLICE_UNITS", 9), ("NEW_CHARS", 64), ("FOLD_UNITS", 3)):
+            patch.setattr(sl, name, value)
+        rows = list(joined(sl._split(model.longest, model.mixed, ["kept_0"])(iter([batch.slice(0, 25), batch.slice(25)]))))
+        cut = (pa.RecordBatch.from_pylist(rows[at:at + 7], kinds) for at in range(0, len(rows), 7))
+        got = {r["kept_0"]: (r["ids"], r["text"]) for b in sl._look_up(model, ["kept_0"], True)(cut) for r in b.to_pylist()}
+    assert got == {k: (library.encode(t), t.replace("▁", " ")) for k, t in enumerate(texts)}
+
+
+def test_decoded_with_the_ids(spark, model):
+    encoded = sl.encode(frame(spark, ODD), model, decoded="back")
+    want = sl.decode(sl.encode(frame(spark, ODD), model, carry=()), model, carry=("ids",))
+    assert sorted(map(repr, map(tuple, encoded.collect()))) == sorted(map(repr, map(tuple, want.select("doc_id", "ids", "text").collect())))
