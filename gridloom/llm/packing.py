@@ -107,7 +107,7 @@ def pack(
     width = id_width(tokenizer, end_id)
     encoded = materialise(
         rows.mapInArrow(_encode(tokenizer, end_id, width), f"part int, doc_id {kind}, start long, doc_tokens long, ids binary"),
-        "packing", compression="zstd",
+        "packing",
     )
     totals = encoded.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

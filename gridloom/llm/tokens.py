@@ -8,6 +8,7 @@ follows, as no token holds both; so the tokenizer sees a word once and not once
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -48,19 +49,6 @@ def segments_without_space(text: str) -> list[str]:
     return text.split() if _OWN_SPACE.search(text) is None else _NO_SPACE.findall(text)
 
 
-class _Places(dict):
-    """Number of each segment; a new one gets the next number and is noted."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, segment: str) -> int:
-        self[segment] = place = len(self)
-        self.new.append(segment)
-        return place
-
-
 class SegmentMemo:
     """Encoded segments of one worker. ``split`` turns the ids of many parts and their counts into what is stored for each, ``join`` what is stored for parts into that of the whole.
 
@@ -84,7 +72,7 @@ class SegmentMemo:
         self.part_chars = 0
 
     def _forget(self) -> None:
-        self.places, self.values, self.chars = _Places(), [], 0
+        self.places, self.chars = {}, 0
 
     def plain(self, text: str) -> str:
         """The text, in lower case if that gives the same ids and saves segments."""
@@ -94,7 +82,7 @@ class SegmentMemo:
 
     def _cut(self, segment: str) -> list[str]:
         """Parts of a segment that are encoded on their own; a special string is never cut."""
-        if segment.isalpha() or ((not self.marks or self.marks[0] in segment) and self.special.search(segment)):
+        if (not self.marks or self.marks[0] in segment) and self.special.search(segment):
             return [segment]
         return _WORD_END.split(segment)
 
@@ -117,10 +105,13 @@ class SegmentMemo:
             counts = np.fromiter(map(len, done), np.int64, len(done))
             self.parts.update(zip(parts, self.split(np.fromiter(chain.from_iterable(done), np.int64, int(counts.sum())), counts)))
 
-    def _learn(self, segments: list[str]) -> None:
-        """Store what belongs to new segments, in their order."""
-        cut = list(map(self._cut, segments))
+    def _learn(self, new: set[str]) -> None:
+        """Store what belongs to new segments. Segments of letters are a part of their own."""
+        whole = list(filter(str.isalpha, new))
+        mixed = list(new.difference(whole))
+        cut = list(map(self._cut, mixed))
         wanted = set(chain.from_iterable(cut))
+        wanted.update(whole)
         todo = wanted.difference(self.parts)
         if todo and (len(self.parts) + len(todo) > MEMO_PARTS or self.part_chars > MEMO_CHARS):
             self.parts, self.part_chars, todo = {}, 0, wanted
@@ -130,21 +121,26 @@ class SegmentMemo:
             for low, high in by_bytes(sizes[at:at + ENCODE_BATCH], ENCODE_CHARS):
                 self._encode(todo[at + low:at + high])
         self.part_chars += sum(sizes)
-        self.chars += sum(map(len, segments))
+        self.chars += sum(map(len, new))
         found, join = self.parts, self.join
-        self.values += [found[parts[0]] if len(parts) == 1 else join([found[p] for p in parts]) for parts in cut]
+        self.places.update(zip(whole, map(found.__getitem__, whole)))
+        self.places.update(zip(mixed, [found[parts[0]] if len(parts) == 1 else join([found[p] for p in parts]) for parts in cut]))
 
     def of(self, texts: list[list[str]]) -> list[Iterator]:
         """For each list of segments what is stored for them, in order. Good until the next call."""
-        if len(self.values) > MEMO_SEGMENTS or self.chars > MEMO_CHARS:
+        if len(self.places) > MEMO_SEGMENTS or self.chars > MEMO_CHARS:
             self._forget()
-        numbered = self.places.__getitem__
-        placed = [list(map(numbered, segments)) for segments in texts]
-        if self.places.new:
-            self._learn(self.places.new)
-            self.places.new = []
-        value = self.values.__getitem__
-        return [map(value, places) for places in placed]
+        new = set(chain.from_iterable(texts)).difference(self.places)
+        if new:
+            collects = gc.isenabled()
+            gc.disable()  # the many short lists made here hold no cycles
+            try:
+                self._learn(new)
+            finally:
+                if collects:
+                    gc.enable()
+        value = self.places.__getitem__
+        return [map(value, segments) for segments in texts]
 
 
 _MEMOS: dict[tuple, SegmentMemo] = {}

@@ -138,3 +138,19 @@ def test_packing_of_odd_texts(spark, length):
     assert packing.pack(frame(spark, []), WORD).count() == 0
     twice = packing.pack(frame(spark, [(1, "a"), (1, "a"), (None, None)]), WORD).collect()
     assert sorted((p["doc_id"] or 0, p["length"]) for p in twice) == [(0, 1), (1, 2), (1, 2)]
+
+
+def test_words_are_learnt_once_and_never_cut(monkeypatch):
+    import gc
+
+    memo = tokens.SegmentMemo(WORD, lambda ids, counts: [tuple(x) for x in np.split(ids, np.cumsum(counts)[:-1])], lambda parts: sum(parts, ()), False)
+    cut, encoded, running = [], [], []
+    monkeypatch.setattr(memo, "_cut", lambda s, plain=memo._cut: cut.append(s) or running.append(gc.isenabled()) or plain(s))
+    monkeypatch.setattr(memo, "_encode", lambda parts, plain=memo._encode: encoded.extend(parts) or plain(parts))
+    texts = [["alpha", "beta", "alpha", "gamma,"], ["beta", "don't", "gamma"], ["<unk>", "alpha", "é,x"]]
+    tok = Tokenizer.from_file(WORD)
+    for _ in range(2):
+        got = [[int(i) for part in text for i in part] for text in memo.of(texts)]
+        assert got == [tok.encode(" ".join(text), add_special_tokens=False).ids for text in texts]
+    assert sorted(cut) == sorted(["gamma,", "don't", "<unk>", "é,x"]) and len(encoded) == len(set(encoded))
+    assert set(running) == {False} and gc.isenabled()
