@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into units that no piece can cross: a run of spaces with the letters or the other characters behind it, and line ends. A task encodes each of its distinct
-units once: the substrings up to the longest piece are exploded and joined to the piece table; those found are the edges of the unit's lattice, and
-a fold over them gives its ids. The texts of the task follow as numbers of their units and look them up, so neither texts nor units are shuffled.
+units once: the distinct substrings up to the longest piece are joined to the piece table; those found are the edges of the unit's lattice, and
+a fold over them gives its ids. Substrings that no piece can equal are sieved out before the join. The texts of the task follow as numbers of their units
+and look them up, so neither texts nor units are shuffled.
 
 The fold follows the model. A BPE model merges neighbours in the order of scores, so its ids are not those of the path with the best sum; the fold
 here merges along the edges of the lattice, best score first and leftmost first, as the library does.
@@ -29,10 +30,12 @@ SPACE_MARK = "▁"
 FREQUENT, LONGEST_FREQUENT = 500_000, 64
 #: Lattice starts that are exploded from one block of a long unit.
 BLOCK = 48
-#: Base of the 64-bit keys of substrings.
-KEY_BASE = 0x9E3779B97F4A7C15
+#: Base of the 64-bit keys of substrings, and the factor that spreads keys over a sieve.
+KEY_BASE, KEY_SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Units and their characters that a task keeps; bytes of texts that it cuts, and units or ids that it looks up, together.
 TASK_UNITS, TASK_CHARS, SLICE_BYTES, SLICE_UNITS = 400_000, 8_000_000, 2 << 20, 1 << 17
+#: Distinct substrings that a task keeps; their numbers take the place of ids, so fewer than ``1 << 24`` with those of one more batch.
+TASK_PARTS = 1 << 20
 #: Characters of blocks whose keys are made together, units that are folded together, and the longest unit that is folded so.
 NEW_CHARS, FOLD_UNITS, LONGEST_TOGETHER = 1 << 15, 8192, 64
 #: Rank of what is no edge.
@@ -66,6 +69,10 @@ class Model:
         """``key, piece, id``; bounded by the model's vocabulary."""
         return spark.createDataFrame([(piece_key(p), p, i) for p, i, _ in self.pieces], "key long, piece string, id int")
 
+    def keys(self) -> np.ndarray:
+        """Keys of all pieces, for ``_Sieve``."""
+        return np.array([piece_key(p) for p, _, _ in self.pieces], np.int64)
+
     def spelled(self) -> dict[int, bytes]:
         """Bytes of each id for decoding."""
         return {i: p.encode() for p, i, _ in self.pieces} | {i: bytes([b]) for b, i in self.bytes.items()}
@@ -126,20 +133,51 @@ def piece_key(piece: str) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def _keys(blocks: list[str], starts: np.ndarray, heads: np.ndarray, longest: int) -> pa.Array:
-    """For each block a list of lists: ``[0]`` where a unit begins, else none, then the keys of the substrings of two characters or more from each of its first ``starts`` characters, shortest first."""
+class _Sieve:
+    """Tells keys that are no piece's from those that may be: each piece marks a place in two tables of at least 16 places a piece. Never wrong about a piece; the join decides about the rest."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys), 1).bit_length() + 4
+        self.shift, self.last = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.tables = np.zeros((2, 1 << bits), bool)
+        for table, places in zip(self.tables, self._places(keys.view(np.uint64))):
+            table[places] = True
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spread = keys * np.uint64(KEY_SPREAD)
+        return (spread >> self.shift).view(np.int64), ((spread >> np.uint64(20)) & self.last).view(np.int64)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        one, two = self._places(keys)
+        found = self.tables[0][one]
+        some = np.flatnonzero(found)
+        found[some] = self.tables[1][two[some]]
+        return found
+
+
+def _keys(blocks: list[str], starts: np.ndarray, heads: np.ndarray, longest: int, sieve: _Sieve | None = None) -> pa.Array:
+    """For each block a list of lists: ``[0]`` where a unit begins, else none, then the keys of the substrings of two characters or more from each of its first ``starts`` characters, shortest first.
+
+    With a sieve, the substrings from a character end with the longest one that may be a piece.
+    """
     codes, sizes = _codes("".join(blocks)), np.fromiter(map(len, blocks), np.int64, len(blocks))
     ends = np.cumsum(sizes)
     inside = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
     room = np.where(inside < np.repeat(starts, sizes), np.minimum(np.repeat(ends, sizes) - np.arange(len(codes)), longest), 0)
-    every = np.zeros((len(codes), max(longest - 1, 1)), np.uint64)
-    key = codes
+    each = [codes]  # keys of the substrings of 1, 2, ... characters from each character
     for length in range(2, min(longest, len(codes)) + 1):
-        key = key[:-1] * np.uint64(KEY_BASE) + codes[length - 1:]
-        every[:len(key), length - 2] = key
-    found = every[np.arange(2, 2 + every.shape[1]) <= room[:, None]].view(np.int64)
+        each.append(each[-1][:-1] * np.uint64(KEY_BASE) + codes[length - 1:])
+    if sieve is not None:
+        most, room = room, np.zeros_like(room)
+        for length, key in enumerate(each[1:], 2):
+            room[:len(key)][sieve.may_hold(key) & (most[:len(key)] >= length)] = length
     held = np.maximum(room - 1, 0)
     before = np.cumsum(held) - held  # values in front of each character
+    found = np.zeros(int(held.sum()), np.uint64)
+    for length, key in enumerate(each[1:], 2):
+        some = np.flatnonzero(room >= length)
+        found[before[some] + (length - 2)] = key[some]
+    found = found.view(np.int64)
     first = (ends - sizes)[heads]
     values = np.insert(found, before[first], 0)
     inner = np.insert(held[inside < np.repeat(starts, sizes)], np.cumsum(starts) - starts, heads.astype(np.int64))
@@ -152,7 +190,7 @@ def _keys(blocks: list[str], starts: np.ndarray, heads: np.ndarray, longest: int
 _ROWS = "number long, unit string, at int, block string, keys array<array<long>>"
 
 
-def _unit_rows(number: int, units: list[str], longest: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+def _unit_rows(number: int, units: list[str], longest: int, sieve: _Sieve | None = None) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
     """The columns of ``_ROWS`` for units numbered from ``number`` on, one row a block, some rows at a time, with the place of each row's unit."""
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     blocks = -(-sizes // BLOCK)
@@ -166,7 +204,7 @@ def _unit_rows(number: int, units: list[str], longest: int) -> Iterator[tuple[np
         heads = places == 0
         yield mine, [
             pa.array(number + mine), pa.array([units[k] if h else None for k, h in zip(mine.tolist(), heads.tolist())], pa.string()),
-            pa.array(places.astype(np.int32)), pa.array(some, pa.string()), _keys(some, np.minimum(sizes[mine] - places, BLOCK), heads, longest),
+            pa.array(places.astype(np.int32)), pa.array(some, pa.string()), _keys(some, np.minimum(sizes[mine] - places, BLOCK), heads, longest, sieve),
         ]
 
 
@@ -314,13 +352,13 @@ def _edges_of(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
     """``unit, n, ids`` for distinct ``unit, n``; written once."""
-    longest = model.longest
+    longest, pieces = model.longest, model.keys()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
+        at, sieve = 0, _Sieve(pieces)
         for batch in batches:
             names = batch.column("unit").to_pylist()
-            for owners, columns in _unit_rows(at, names, longest):
+            for owners, columns in _unit_rows(at, names, longest, sieve):
                 yield pa.record_batch([*columns, batch.column("n").take(pa.array(owners))], names=["number", "unit", "at", "block", "keys", "n"])
             at += len(names)
 
@@ -361,13 +399,13 @@ def dictionary(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     return encode_units(found.groupBy("unit").agg(F.count("*").alias("n")), model)
 
 
-def _split(longest: int, mixed: bool, kept: list[str]):
-    """Rows for ``lattice``: the units that a task has not met yet, numbered, then the texts that hold them, as the numbers of their units."""
+def _split(longest: int, mixed: bool, kept: list[str], pieces: np.ndarray | None = None):
+    """Rows for ``lattice``: the units that a task has not met yet, numbered, then the texts that hold them, as the numbers of their units. ``pieces`` are the keys for a sieve."""
     names = ["number", "unit", "at", "block", "keys", "places", *kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        chars, classes = 0, _classes(mixed)
+        chars, classes, sieve = 0, _classes(mixed), None if pieces is None else _Sieve(pieces)
         for batch in batches:
             texts, others = batch.column("text"), [batch.column(c) for c in kept]
             for low, high in by_bytes(pc.binary_length(texts).to_pylist(), SLICE_BYTES):
@@ -381,7 +419,7 @@ def _split(longest: int, mixed: bool, kept: list[str]):
                 numbers = np.fromiter((known.setdefault(u, len(known)) for u in distinct), np.uint32, len(distinct))
                 new = [distinct[k] for k in np.flatnonzero(numbers >= before).tolist()]
                 chars += sum(map(len, new))
-                for owners, columns in _unit_rows(before, new, longest):
+                for owners, columns in _unit_rows(before, new, longest, sieve):
                     yield pa.record_batch([*columns, *[pa.nulls(len(owners), t) for t in (pa.binary(), *[c.type for c in others])]], names=names)
                 flat = numbers[found.indices.to_numpy()].tobytes()
                 ends = (4 * np.cumsum(sizes)).tolist()
@@ -395,6 +433,97 @@ def _split(longest: int, mixed: bool, kept: list[str]):
     return run
 
 
+def _parts(rows: pa.RecordBatch, sieve: _Sieve) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of rows of ``_unit_rows`` the substrings that may be pieces, in order: their row, their place ``start << 8 | length`` in the unit, and their text."""
+    lists, blocks = rows.column("keys").flatten(), rows.column("block")
+    cuts, per_list, per_row = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), rows.column("keys").value_lengths().to_numpy()
+    some = np.flatnonzero(sieve.may_hold(cuts.view(np.uint64)))
+    of_list = np.repeat(np.arange(len(lists)), per_list)[some]
+    first = (np.arange(len(lists)) - np.repeat(np.cumsum(per_row) - per_row, per_row))[of_list]
+    some, of_list, start = some[first > 0], of_list[first > 0], first[first > 0] - 1
+    row = np.repeat(np.arange(len(per_row)), per_row)[of_list]
+    length = some - (np.cumsum(per_list) - per_list)[of_list] + 2
+    whole = np.frombuffer("".join(_strings(blocks)).encode(), np.uint8)
+    borders = np.append(np.flatnonzero((whole & 0xC0) != 0x80), len(whole))  # of characters
+    sizes = pc.utf8_length(blocks).to_numpy().astype(np.int64)
+    begin = (np.cumsum(sizes) - sizes)[row] + start
+    low, held = borders[begin], borders[begin + length] - borders[begin]
+    ends = np.cumsum(held)
+    data = whole[np.repeat(low - (ends - held), held) + np.arange(held.sum())]
+    texts = pa.StringArray.from_buffers(len(row), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data))
+    return row, (rows.column("at").to_numpy()[row].astype(np.int64) + start) << 8 | length, texts
+
+
+def _packed(split, kept: list[str], pieces: np.ndarray):
+    """``number, part, held``: the distinct substrings that may be pieces, numbered, and behind them, numbered -1, what refers to them. ``held`` is an Arrow stream of
+    units with their edges, which have numbers of substrings for ids, or of texts with their ``places`` and ``kept``."""
+    names = ["number", "part", "held"]
+
+    def stream(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        return pa.record_batch([pa.array([-1], pa.int64()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        sieve = _Sieve(pieces)
+        for batch in split(batches):
+            if not batch.column("places").null_count:
+                yield stream(batch.select(["places", *kept]))
+                continue
+            row, place, texts = _parts(batch, sieve)
+            found = texts.dictionary_encode()
+            distinct = _strings(found.dictionary)
+            if len(known) > TASK_PARTS:
+                known = {}
+            before = len(known)
+            numbers = np.fromiter((known.setdefault(p, len(known)) for p in distinct), np.int64, len(distinct))
+            new = [distinct[k] for k in np.flatnonzero(numbers >= before).tolist()]
+            if new:
+                yield pa.record_batch([pa.array(np.arange(before, len(known))), pa.array(new, pa.string()), pa.nulls(len(new), pa.binary())], names=names)
+            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
+            edges = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(place << 24 | numbers[found.indices.to_numpy()]))
+            yield stream(pa.record_batch([batch.column("number"), batch.column("unit"), edges], names=["number", "unit", "edges"]))
+
+    return run
+
+
+def _unpacked(look_up):
+    """``look_up`` of ``number, id, held``: what ``_packed`` made, with the ids of the substrings that are pieces. The join keeps the order of rows; the numbers make sure."""
+
+    def edges(units: pa.RecordBatch, ids: np.ndarray) -> pa.RecordBatch:
+        names, flat = units.column("unit"), units.column("edges").flatten().to_numpy()
+        found = ids[flat & 0xFFFFFF]
+        hits, heads = found >= 0, np.asarray(names.is_valid())
+        rows = np.repeat(np.arange(len(names)), units.column("edges").value_lengths().to_numpy())[hits]
+        sizes = np.bincount(rows, minlength=len(names)) + heads
+        first = (np.cumsum(sizes) - sizes)[heads]
+        rows, edge = np.repeat(np.arange(len(names)), sizes), np.zeros(int(sizes.sum()), np.int64)
+        edge[first] = -1
+        edge[edge == 0] = (flat & ~0xFFFFFF | found)[hits]
+        unit = names.take(pa.array(rows, mask=edge >= 0))
+        return pa.record_batch([units.column("number").take(pa.array(rows)), unit, pa.array(edge), pa.nulls(len(rows), pa.binary())], names=["number", "unit", "edge", "places"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.zeros(0, np.int64)
+        for batch in batches:
+            numbers, found, low = batch.column("number").to_numpy(), batch.column("id").fill_null(-1).to_numpy(), 0
+            for at in [*np.flatnonzero(numbers < 0).tolist(), batch.num_rows]:
+                if at > low:
+                    if numbers[low] == 0:  # the task has begun a new list
+                        ids = ids[:0]
+                    if (numbers[low:at] != np.arange(len(ids), len(ids) + at - low)).any():
+                        raise ValueError("substrings of a task are out of order")
+                    ids = np.concatenate([ids, found[low:at]])
+                if at < batch.num_rows:
+                    held = pa.ipc.open_stream(batch.column("held")[at].as_buffer()).read_next_batch()
+                    yield held if "places" in held.schema.names else edges(held, ids)
+                low = at + 1
+
+    return lambda batches: look_up(rows(batches))
+
+
 class _Spelled(dict):
     def __missing__(self, i: int) -> bytes:
         return b""
@@ -466,16 +595,19 @@ def encode(
     encoded each. Texts of any length work: long units are cut into blocks. ``carry`` names further columns that the result keeps,
     ``decoded`` a column for what ``decode`` makes of the ids, worked out in the same pass. An empty table gives an empty result; other columns are not read.
 
-    Nothing is shuffled or written. A task numbers the units that it has not met, hands them to the lattice once, and sends each text behind them as
-    numbers; beyond ``TASK_UNITS`` units or ``TASK_CHARS`` characters it forgets them and begins again.
+    Nothing is shuffled or written. A task numbers the units that it has not met and the substrings in them, joins each substring to the pieces once, and sends the units
+    behind their substrings, and each text behind its units, as numbers; beyond ``TASK_UNITS`` units, ``TASK_CHARS`` characters or ``TASK_PARTS`` substrings it forgets them and begins again.
     """
     rows = only(docs, doc_id=id_col, text=text_col, **{c: c for c in carry})
     kept = [f"kept_{k}" for k in range(1 + len(carry))]
     named = rows.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(("doc_id", *carry), kept)], marked(text_or_empty("text")).alias("text"))
     kinds = ", ".join(f"{k} {named.schema[k].dataType.simpleString()}" for k in kept)
-    spread = named.mapInArrow(_split(model.longest, model.mixed, kept), f"{_ROWS}, places binary, {kinds}")
+    keys = model.keys()
+    parts = named.mapInArrow(_packed(_split(model.longest, model.mixed, kept, keys), kept, keys), "number long, part string, held binary")
     kinds += ", ids array<int>" + (", text string" if decoded else "")
-    found = lattice(spread, model, "places", *kept).mapInArrow(_look_up(model, kept, decoded is not None), kinds)
+    pieces = F.broadcast(model.table(docs.sparkSession).select(F.col("piece").alias("part"), "id"))
+    edges = parts.join(pieces, "part", "left").select("number", F.col("id").cast("long").alias("id"), "held")
+    found = edges.mapInArrow(_unpacked(_look_up(model, kept, decoded is not None)), kinds)
     return found.select(*[F.col(k).alias(c) for c, k in zip(("doc_id", *carry), kept)], "ids", *([F.col("text").alias(decoded)] if decoded else []))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,39 @@ def test_decoded_with_the_ids(spark, model):
     encoded = sl.encode(frame(spark, ODD), model, decoded="back")
     want = sl.decode(sl.encode(frame(spark, ODD), model, carry=()), model, carry=("ids",))
     assert sorted(map(repr, map(tuple, encoded.collect()))) == sorted(map(repr, map(tuple, want.select("doc_id", "ids", "text").collect())))
+
+
+@pytest.mark.parametrize("changed", [{}, {"KEY_BASE": 1}, {"TASK_PARTS": 5, "NEW_CHARS": 64, "TASK_UNITS": 20, "SLICE_BYTES": 300}])
+def test_substrings_meet_the_pieces_once_a_task(model, library, monkeypatch, changed):
+    """However often a substring occurs, the join sees it once; keys that many substrings share, forgotten substrings and batches that end anywhere do no harm."""
+    for name, value in changed.items():
+        monkeypatch.setattr(sl, name, value)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["station", "nation", "q", "12", "é🙂", "x" * 70, "implementation" * 9]) + str(k) for _ in range(30)) for k in range(40)] + ["", "q"]
+    kept = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([[t] for t in texts])], names=["kept_0", "kept_1"])
+    batch = kept.append_column("text", pa.array([("▁" + t.replace(" ", "▁")) if t else "" for t in texts]))
+    ids = {p: i for p, i, _ in model.pieces}
+    split = sl._split(model.longest, model.mixed, kept.schema.names, model.keys())
+    rows = [r for b in sl._packed(split, kept.schema.names, model.keys())(iter([batch.slice(0, 25), batch.slice(25)])) for r in b.to_pylist()]
+    parts = [r["part"] for r in rows if r["number"] >= 0]
+    if "TASK_PARTS" not in changed:
+        assert len(set(parts)) == len(parts) and set(parts) >= {p for p in ids if 1 < len(p) and any(p in t for t in ("▁station", "nation", "implementation"))}
+    found = pa.schema([("number", pa.int64()), ("id", pa.int64()), ("held", pa.binary())])
+    joined = [{"number": r["number"], "id": ids.get(r["part"]), "held": r["held"]} for r in rows]
+    cut = (pa.RecordBatch.from_pylist(joined[at:at + 7], found) for at in range(0, len(joined), 7))
+    got = {r["kept_0"]: (r["kept_1"], r["ids"], r["text"]) for b in sl._unpacked(sl._look_up(model, kept.schema.names, True))(cut) for r in b.to_pylist()}
+    assert got == {k: ([t], library.encode(t), t) for k, t in enumerate(texts)}
+
+
+def test_no_row_for_each_edge(spark, model, library):
+    """Handing a row of every edge to Python took most of the JVM's CPU time."""
+    assert "Generate" not in sl.encode(frame(spark, ODD), model)._jdf.queryExecution().optimizedPlan().toString()
+    plain = [(1, "~"), (2, "\x7f"), (3, "①")]  # no substring that may be a piece but the mark's
+    assert sorted(map(tuple, sl.encode(frame(spark, plain).coalesce(1), model).collect())) == [(i, library.encode(t)) for i, t in plain]
+
+
+def test_sieve_never_loses_a_piece(model):
+    for some in (model.keys(), model.keys()[:1], model.keys()[:0]):
+        assert sl._Sieve(some).may_hold(some.view("u8")).all()
+    others = np.random.default_rng(1).integers(0, 1 << 63, 100_000).astype("u8")
+    assert sl._Sieve(model.keys()).may_hold(others).mean() < 0.01
