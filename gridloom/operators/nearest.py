@@ -9,7 +9,8 @@ Models that are spread about evenly, as forecast grids are, use one net of equal
 cells and point groups are refined together, coarse to fine. A point group leaves the list of a cell
 once ``k`` known points beat it at all four corners: the difference of two squared distances is
 linear in the position, so a corner-wise win is a win everywhere inside. The lists are therefore complete, whatever
-the layout of the points.
+the layout of the points. Points that share a position are one place: a known place counts for as many points as it holds, and a list
+names it once, so stacked steps make neither more cells nor longer lists.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ LEAST_HALF = 512.0    # the plane is at least [-512, 512) in both directions; po
 FIRST_LEVEL = 5       # 32 x 32 cells over the plane: a fixed number, whatever the data
 STRIDE = 2            # each round cuts a cell into 4 x 4
 LAST_LEVEL = 27       # 8e-6 degrees, about the spacing of single-precision coordinates
-LIST_SIZE = 64        # a leaf stops refining at this many candidates, or at LISTS_PER_HIT for each hit wanted
+LIST_SIZE = 64        # a leaf stops refining at this many places, or at PLACES_PER_HIT places or LISTS_PER_HIT points for each hit wanted
+PLACES_PER_HIT = 2
 LISTS_PER_HIT = 4
 SLACK = 1e-9          # guards the pruning against rounding
 WORLD = (-90.0, 90.0, -180.0, 180.0)
@@ -45,10 +47,6 @@ def plane_half(*edges: float) -> float:
     return half
 
 
-def leaf_limit(k: int) -> int:
-    return max(LIST_SIZE, LISTS_PER_HIT * k)
-
-
 def cell_sql(coord: str, level: int | str, half: float) -> str:
     """Cell number at a level. Scaling by powers of two is exact, so cells nest exactly."""
     return f"floor(({coord} + {half}D) / {2 * half}D * pow(2D, {level}))"
@@ -78,7 +76,8 @@ def _prune(pairs: DataFrame, k: int, half: float) -> DataFrame:
 
     The cell edges a0..a1, b0..b1 are widened a little against rounding. ``reach`` is what the
     coarser cell found out already: within it lie ``k`` points of every position. It removes most
-    pairs before they are ranked.
+    pairs before they are ranked. A known place beats with all of its points (``rep_n``), so the nearest
+    places count until they hold ``k``.
     """
     slack = SLACK * half / LEAST_HALF
     boxed = pairs.selectExpr("*", f"{2 * half}D / pow(2D, qlevel) AS side").selectExpr(
@@ -91,12 +90,12 @@ def _prune(pairs: DataFrame, k: int, half: float) -> DataFrame:
     )
     center = _known_distance("(a0 + a1) / 2", "(b0 + b1) / 2")
     ranked = boxed.selectExpr("*", f"{center} AS to_center").selectExpr(
-        "*", f"row_number() OVER ({Q} ORDER BY to_center, rep_id, nx, ny) AS place"
+        "*", f"sum(rep_n) OVER ({Q} ORDER BY to_center, rep_id, nx, ny ROWS UNBOUNDED PRECEDING) - rep_n AS nearer"
     )
     limits = ranked.drop("reach").selectExpr(
-        "*", f"max(place) OVER ({Q}) AS groups",
+        "*", f"sum(rep_n) OVER ({Q}) AS known",
         *[
-            f"max(IF(place <= {k}, {_known_distance(*c)}, NULL)) OVER ({Q}) AS limit{i}"
+            f"max(IF(nearer < {k}, {_known_distance(*c)}, NULL)) OVER ({Q}) AS limit{i}"
             for i, c in enumerate(CORNERS)
         ],
     )
@@ -104,14 +103,14 @@ def _prune(pairs: DataFrame, k: int, half: float) -> DataFrame:
         f"{_box_distance(*c)} > limit{i} * {1 + SLACK}D + {SLACK}D" for i, c in enumerate(CORNERS)
     )
     reach = "greatest(limit0, limit1, limit2, limit3)"
-    return limits.where(f"groups < {k} OR NOT ({beaten})").selectExpr(
-        "*", f"IF(groups < {k}, DOUBLE('Infinity'), {reach}) AS reach"
+    return limits.where(f"known < {k} OR NOT ({beaten})").selectExpr(
+        "*", f"IF(known < {k}, DOUBLE('Infinity'), {reach}) AS reach"
     )
 
 
 @dataclass
 class NearestIndex:
-    """Lookup table of one model: cells of a ``net`` (cell, candidates), or ``leaves`` (leaf_id, candidates), the ``levels`` in use and the
+    """Lookup table of one model: cells of a ``net`` (cell, candidates), or ``leaves`` (leaf_id, candidates by place), the ``levels`` in use and the
     rare ``crowded`` leaves whose lists are kept as rows."""
 
     leaves: DataFrame
@@ -148,19 +147,24 @@ def model_points(grid: DataFrame, k: int, wrap: bool = False) -> DataFrame:
     return points
 
 
-def _groups(points: DataFrame, level: int, half: float) -> DataFrame:
-    """Point groups of a level: bounding box, size and one known point."""
+def _places(points: DataFrame) -> DataFrame:
+    """Each position once, with its points (``k`` at most) by id."""
+    return points.groupBy("lat", "lon", "lon_at").agg(F.expr("sort_array(collect_list(struct(grid_id, value))) AS at"))
+
+
+def _groups(places: DataFrame, level: int, half: float) -> DataFrame:
+    """Point groups of a level: bounding box, numbers of places and points, and one known place."""
     return (
-        points.selectExpr("*", f"{cell_sql('lat', level, half)} AS nx", f"{cell_sql('lon_at', level, half)} AS ny")
+        places.selectExpr("*", f"{cell_sql('lat', level, half)} AS nx", f"{cell_sql('lon_at', level, half)} AS ny")
         .groupBy("nx", "ny")
         .agg(
-            F.expr("count(*) AS n"), F.expr("min(lat) AS lat_lo"), F.expr("max(lat) AS lat_hi"),
+            F.expr("count(*) AS places"), F.expr("sum(size(at)) AS n"), F.expr("min(lat) AS lat_lo"), F.expr("max(lat) AS lat_hi"),
             F.expr("min(lon_at) AS lon_lo"), F.expr("max(lon_at) AS lon_hi"),
-            F.expr("min(struct(grid_id, lat, lon_at)) AS known"),
+            F.expr("min(struct(at[0].grid_id AS grid_id, lat, lon_at, size(at) AS n)) AS known"),
         )
         .selectExpr(
-            "nx", "ny", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "known.grid_id AS rep_id",
-            "known.lat AS rep_lat", "known.lon_at AS rep_lon",
+            "nx", "ny", "places", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "known.grid_id AS rep_id",
+            "known.lat AS rep_lat", "known.lon_at AS rep_lon", "known.n AS rep_n",
         )
     )
 
@@ -173,10 +177,10 @@ def _first_cells(domain, half: float) -> str:
     return f"array({', '.join(cells)})"
 
 
-GROUP = ["nx", "ny", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "rep_id", "rep_lat", "rep_lon"]
+GROUP = ["nx", "ny", "places", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "rep_id", "rep_lat", "rep_lon", "rep_n"]
 
 
-def _refine(active: DataFrame, points: DataFrame, level: int, k: int, domain, half: float) -> DataFrame:
+def _refine(active: DataFrame, places: DataFrame, level: int, k: int, domain, half: float) -> DataFrame:
     """Cut each cell that needs it into 4 x 4, prune, then replace each point group by its parts.
 
     Pruning between the two steps keeps the number of pairs small, and it gives every new cell its
@@ -197,7 +201,7 @@ def _refine(active: DataFrame, points: DataFrame, level: int, k: int, domain, ha
         )
         .where(touches).drop("side")
     )
-    parts = _groups(points, level, half).selectExpr(
+    parts = _groups(places, level, half).selectExpr(
         "*", f"shiftright(nx, {STRIDE}) AS px", f"shiftright(ny, {STRIDE}) AS py"
     )
     kept = _prune(cut, k, half).selectExpr("qlevel", "qx", "qy", "reach", "nx AS px", "ny AS py")
@@ -213,26 +217,26 @@ def _decide(pairs: DataFrame, k: int, half: float) -> DataFrame:
     gap = "greatest(lat_lo - a1, a0 - lat_hi, lon_lo - b1, b0 - lon_hi, 0D)"
     return _prune(pairs, k, half).selectExpr(
         "qlevel", "qx", "qy", *GROUP, "reach",
-        f"sum(n) OVER ({Q}) <= {leaf_limit(k)} AS leaf",
+        f"sum(places) OVER ({Q}) <= {max(LIST_SIZE, PLACES_PER_HIT * k)} OR sum(n) OVER ({Q}) <= {LISTS_PER_HIT * k} AS leaf",
         f"min({gap}) OVER ({Q}) <= 2 * min(side) OVER ({Q}) "
         f"OR min(lat_lo = lat_hi AND lon_lo = lon_hi) OVER ({Q}) AS split",
     )
 
 
-def _listed(found: list[tuple[int, DataFrame]], points: DataFrame, k: int, half: float) -> DataFrame:
-    """Model points of each cell, pruned once more as single positions."""
+def _listed(found: list[tuple[int, DataFrame]], places: DataFrame, k: int, half: float) -> DataFrame:
+    """Places of each cell, pruned once more as single positions."""
     located = [
         cells.select("qlevel", "qx", "qy", "nx", "ny", "reach").join(
-            points.selectExpr("*", f"{cell_sql('lat', lv, half)} AS nx", f"{cell_sql('lon_at', lv, half)} AS ny"),
+            places.selectExpr("*", f"{cell_sql('lat', lv, half)} AS nx", f"{cell_sql('lon_at', lv, half)} AS ny"),
             ["nx", "ny"],
         )
         for lv, cells in found
     ]
     as_groups = reduce(lambda a, b: a.unionByName(b), located).selectExpr(
         "*", "lat AS lat_lo", "lat AS lat_hi", "lon_at AS lon_lo", "lon_at AS lon_hi",
-        "lat AS rep_lat", "lon_at AS rep_lon", "grid_id AS rep_id",
+        "lat AS rep_lat", "lon_at AS rep_lon", "at[0].grid_id AS rep_id", "size(at) AS rep_n",
     )
-    return _prune(as_groups, k, half).select("qlevel", "qx", "qy", "grid_id", "lat", "lon", "lon_at", "value")
+    return _prune(as_groups, k, half).select("qlevel", "qx", "qy", "lat", "lon", "lon_at", "at")
 
 
 def build_index(
@@ -257,8 +261,8 @@ def build_index(
     half = plane_half(*domain, *[v for v in box.values() if v is not None])
     if even := build_cells(points, total, k, domain):
         return NearestIndex(even[0], None, [], k, domain, grid, half, wrap, even[1])
-    level = FIRST_LEVEL
-    pairs = _groups(points, level, half).selectExpr("*", f"inline({_first_cells(domain, half)}) AS (qx, qy)").selectExpr(
+    level, places = FIRST_LEVEL, materialise(_places(points), "places")
+    pairs = _groups(places, level, half).selectExpr("*", f"inline({_first_cells(domain, half)}) AS (qx, qy)").selectExpr(
         f"{level} AS qlevel", "*", "DOUBLE('Infinity') AS reach"
     )
     found, crowded = [], None
@@ -274,7 +278,7 @@ def build_index(
             break
         if level + STRIDE > LAST_LEVEL:
             crowded = materialise(
-                _listed([(level, decided.where("NOT leaf"))], points, k, half).selectExpr(
+                _listed([(level, decided.where("NOT leaf"))], places, k, half).selectExpr("*", "inline(at)").selectExpr(
                     f"{leaf_sql('qlevel', 'qx', 'qy')} AS leaf_id", "qlevel",
                     "struct(grid_id, lat, lon, lon_at, value) AS candidate",
                 ),
@@ -282,13 +286,13 @@ def build_index(
             )
             break
         level += STRIDE
-        pairs = _refine(decided.where("NOT leaf"), points, level, k, domain, half)
+        pairs = _refine(decided.where("NOT leaf"), places, level, k, domain, half)
 
     seen = Observation()
-    rows = _listed(found or [(level, decided.limit(0))], points, k, half)
+    rows = _listed(found or [(level, decided.limit(0))], places, k, half)
     leaves = materialise(
         rows.groupBy("qlevel", "qx", "qy")
-        .agg(F.expr("collect_list(struct(grid_id, lat, lon, lon_at, value)) AS candidates"))
+        .agg(F.expr("collect_list(struct(lat, lon, lon_at, at)) AS candidates"))
         .selectExpr(f"{leaf_sql('qlevel', 'qx', 'qy')} AS leaf_id", "candidates", "qlevel")
         .observe(seen, F.expr("collect_set(qlevel) AS levels")),
         "leaves",
@@ -307,9 +311,32 @@ def _hit(c: str, lat: str, lon: str) -> str:
     )
 
 
+def _once(sql: str) -> str:
+    """An expression that the optimizer neither repeats in filters above it nor moves into a lambda."""
+    return f"IF(spark_partition_id() < 0, NULL, {sql})"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with a name for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _best(k: int) -> str:
     hits = f"transform(candidates, c -> {_hit('c', '_lat', '_lon')})"
-    return f"array(array_min({hits}))" if k == 1 else f"slice(array_sort({hits}), 1, {k})"
+    return f"array(array_min({hits}))" if k == 1 else _once(f"slice(sort_array({hits}), 1, {k})")
+
+
+def _best_places(k: int) -> str:
+    """Hits from a list of places: those no farther than where the nearest places hold ``k`` points give all of their points."""
+    d2 = "(_lat - c.lat) * (_lat - c.lat) + (_lon - c.lon_at) * (_lon - c.lon_at)"
+    if k == 1:
+        hit = f"named_struct('d2', {d2}, 'grid_id', c.at[0].grid_id, 'value', c.at[0].value, 'lat_grid', c.lat, 'lon_grid', c.lon)"
+        return f"array(array_min(transform(candidates, c -> {hit})))"
+    near = f"sort_array(transform(candidates, c -> named_struct('d2', {d2}, 'n', size(c.at), 'place', c)))"
+    reach = f"aggregate(near, named_struct('n', 0, 'd2', 0D), (s, p) -> IF(s.n >= {k}, s, named_struct('n', s.n + p.n, 'd2', p.d2))).d2"
+    points = "transform(p.place.at, a -> named_struct('d2', p.d2, 'grid_id', a.grid_id, 'value', a.value, 'lat_grid', p.place.lat, 'lon_grid', p.place.lon))"
+    hits = f"slice(sort_array(flatten(transform(filter(near, p -> p.d2 <= reach), p -> {points}))), 1, {k})"
+    return _once(_let("near", near, _let("reach", reach, hits)))
 
 
 def _usable(lat: Column, lon: Column) -> Column:
@@ -358,7 +385,7 @@ def nearest_hits(probes: DataFrame, index: NearestIndex, lat: str = "lat", lon:
         located = tagged.join(ids.withColumn("_known", F.lit(True)), "_leaf", "left").where("_known OR _leaf IS NULL")
     if index.crowded is not None:
         return _with_crowded(located, leaves, index, names)
-    return located.join(leaves, "_leaf", "left").selectExpr(*[f"`{n}`" for n in names], f"{_best(index.k)} AS hits")
+    return located.join(leaves, "_leaf", "left").selectExpr(*[f"`{n}`" for n in names], f"{_best_places(index.k)} AS hits")
 
 
 def _with_crowded(located: DataFrame, leaves: DataFrame, index: NearestIndex, names: list[str]) -> DataFrame:
@@ -370,7 +397,7 @@ def _with_crowded(located: DataFrame, leaves: DataFrame, index: NearestIndex, na
     rows = index.crowded.selectExpr("leaf_id AS _leaf", "candidate AS _c")
     ids = rows.select("_leaf").distinct()
     plain = located.join(ids, "_leaf", "left_anti").join(leaves, "_leaf", "left").selectExpr(
-        *kept, f"{_best(index.k)} AS hits"
+        *kept, f"{_best_places(index.k)} AS hits"
     )
     heavy = materialise(
         located.join(ids, "_leaf", "left_semi").withColumn("_probe", F.expr("uuid()")), "crowded"

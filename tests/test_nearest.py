@@ -1,5 +1,7 @@
 """Lookups against brute force on layouts that break naive cell schemes."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -56,3 +58,27 @@ def test_two_point_model_and_weights(spark):
     assert row["predicted_value"] == 285.0 and row["lat_grid"] == -33.5
     exact = spark.createDataFrame([(0, -34.0, -71.0)], "pid INT, lat DOUBLE, lon DOUBLE")
     assert knn_regression(exact, build_index(grid, 4)).first()["predicted_value"] == 286.0
+
+
+def test_stacked_positions_do_not_refine_for_ever(spark, monkeypatch):
+    """A column of 300 positions with four points each: 80 neighbours are 20 places, and no cell needs more than a few levels."""
+    monkeypatch.setattr("gridloom.operators.nearest.LAST_LEVEL", 13)
+    places = pd.DataFrame({"lat": np.repeat(np.arange(300) / 8 - 18, 4), "lon": 0.0})
+    rng = np.random.default_rng(5)
+    grid = places.sample(frac=1, random_state=5).reset_index(drop=True).assign(grid_id=np.arange(1200), value=1.0)
+    probes = pd.DataFrame({"pid": np.arange(200), "lat": rng.uniform(-20, 20, 200).round(2), "lon": rng.uniform(-9, 9, 200).round(2)})
+    probes.loc[:20, "lon"] = 0.0
+    index = build_index(spark.createDataFrame(grid), 80, domain=(-20.0, 20.0, -10.0, 10.0))
+    assert index.net is None and index.crowded is None and index.leaves.count() < 5000
+    got = lookup(spark.createDataFrame(probes), index).select("pid", F.transform("hits", lambda h: h["grid_id"]).alias("ids")).toPandas().sort_values("pid")
+    want, _ = brute(grid, probes, 80)
+    assert np.array_equal(np.array(got.ids.tolist()), want)
+
+
+def test_hits_are_ranked_once_when_exploded(spark):
+    grid, probes = layouts()
+    grid = grid.assign(grid_id=np.arange(len(grid)), value=1.0)
+    for model in (grid, grid[:300]):  # leaves, a net
+        index = build_index(spark.createDataFrame(model), 4)
+        rows = lookup(spark.createDataFrame(probes[:141]), index).select("lat", F.posexplode("hits"))
+        assert len(re.findall(r"(?:sort_array|array_sort)\(", rows._jdf.queryExecution().optimizedPlan().toString())) == 1
