@@ -57,3 +57,30 @@ def test_files_of_a_landing_folder(spark):
     waiting.decide_arrivals(waiting.await_parts(files, "step"), target, log).awaitTermination()
     got = {(r["step"].rsplit("/", 1)[1], r["status"], r["missing"]) for r in spark.read.parquet(target).collect()}
     assert got == {("s1", "complete", ""), ("s2", "incomplete", "upper"), ("s3", "complete", "")}
+
+
+BIG = 2**53 + 1
+
+
+@pytest.mark.parametrize("buckets", [{}, {"buckets": 1}])
+def test_many_steps_share_states(spark, buckets):
+    """Each batch calls Python once for each bucket, not for each step; keys may be null or large and stay apart."""
+    steps = [(None, "x"), (None, None), (BIG, None), (BIG - 1, None), *[(n, f'"{n}"\n') for n in range(3000 if buckets else 40_000)]]
+    landed, target, log = (scratch_path(spark, x) for x in ("notices", "decisions", "log"))
+    kind = "step LONG, name STRING, part STRING, arrived TIMESTAMP"
+    base = spark.createDataFrame(steps, "step LONG, name STRING")
+    parts = {0: ("surface", "coalesce(step, 0) >= 0"), 30: ("upper", "coalesce(step, 0) % 2 = 0"), 900: ("upper", "step % 3 = 0"), 5000: ("surface", "step = 8")}
+    for second, (part, which) in parts.items():
+        base.where(which).selectExpr("*", f"'{part}' AS part", f"timestamp_seconds(1000000 + {second}) AS arrived").coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(kind).parquet(landed)
+    query = waiting.decide_arrivals(waiting.await_parts(stream, "step", "name", **buckets), target, log)
+    query.awaitTermination()
+    want = []
+    for step, name in steps:
+        whole = (step or 0) % 2 == 0
+        want.append((step, name, "complete" if whole else "incomplete", 30 if whole else 600))
+        want += [(step, name, "late", second) for second, which in ((900, step is not None and step % 3 == 0), (5000, step == 8)) if which]
+    got = [(r["step"], r["name"], r["status"], int((r["decided_at"].astimezone(timezone.utc) - AT(0)).total_seconds())) for r in spark.read.parquet(target).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(kept) <= buckets.get("buckets", waiting.BUCKETS)
