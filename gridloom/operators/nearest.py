@@ -64,6 +64,14 @@ def _box_distance(lat: str, lon: str) -> str:
     )
 
 
+def _far_distance(lat: str, lon: str) -> str:
+    """Squared distance from a position to the far end of the bounding box: no point of the group is farther."""
+    return (
+        f"pow(greatest(abs(lat_lo - ({lat})), abs(lat_hi - ({lat}))), 2) + "
+        f"pow(greatest(abs(lon_lo - ({lon})), abs(lon_hi - ({lon}))), 2)"
+    )
+
+
 def _known_distance(lat: str, lon: str) -> str:
     return f"pow(rep_lat - ({lat}), 2) + pow(rep_lon - ({lon}), 2)"
 
@@ -77,7 +85,7 @@ def _prune(pairs: DataFrame, k: int, half: float) -> DataFrame:
     The cell edges a0..a1, b0..b1 are widened a little against rounding. ``reach`` is what the
     coarser cell found out already: within it lie ``k`` points of every position. It removes most
     pairs before they are ranked. A known place beats with all of its points (``rep_n``), so the nearest
-    places count until they hold ``k``.
+    places count until they hold ``k``; so do the nearest groups, each as far as the far end of its box.
     """
     slack = SLACK * half / LEAST_HALF
     boxed = pairs.selectExpr("*", f"{2 * half}D / pow(2D, qlevel) AS side").selectExpr(
@@ -90,22 +98,21 @@ def _prune(pairs: DataFrame, k: int, half: float) -> DataFrame:
     )
     center = _known_distance("(a0 + a1) / 2", "(b0 + b1) / 2")
     ranked = boxed.selectExpr("*", f"{center} AS to_center").selectExpr(
-        "*", f"sum(rep_n) OVER ({Q} ORDER BY to_center, rep_id, nx, ny ROWS UNBOUNDED PRECEDING) - rep_n AS nearer"
+        "*", *[f"sum({n}) OVER ({Q} ORDER BY to_center, rep_id, nx, ny ROWS UNBOUNDED PRECEDING) - {n} AS {name}" for n, name in (("rep_n", "nearer"), ("n", "nearer_all"))]
     )
     limits = ranked.drop("reach").selectExpr(
-        "*", f"sum(rep_n) OVER ({Q}) AS known",
+        "*", f"sum(rep_n) OVER ({Q}) AS known", f"sum(n) OVER ({Q}) AS known_all",
         *[
-            f"max(IF(nearer < {k}, {_known_distance(*c)}, NULL)) OVER ({Q}) AS limit{i}"
-            for i, c in enumerate(CORNERS)
+            f"max(IF({nearer} < {k}, {distance(*c)}, NULL)) OVER ({Q}) AS {limit}{i}"
+            for nearer, distance, limit in (("nearer", _known_distance, "limit"), ("nearer_all", _far_distance, "far")) for i, c in enumerate(CORNERS)
         ],
     )
-    beaten = " AND ".join(
-        f"{_box_distance(*c)} > limit{i} * {1 + SLACK}D + {SLACK}D" for i, c in enumerate(CORNERS)
-    )
-    reach = "greatest(limit0, limit1, limit2, limit3)"
-    return limits.where(f"known < {k} OR NOT ({beaten})").selectExpr(
-        "*", f"IF(known < {k}, DOUBLE('Infinity'), {reach}) AS reach"
-    )
+    kept, reach = [], []
+    for known, limit in (("known", "limit"), ("known_all", "far")):
+        beaten = " AND ".join(f"{_box_distance(*c)} > {limit}{i} * {1 + SLACK}D + {SLACK}D" for i, c in enumerate(CORNERS))
+        kept.append(f"({known} < {k} OR NOT ({beaten}))")
+        reach.append(f"IF({known} < {k}, DOUBLE('Infinity'), greatest({limit}0, {limit}1, {limit}2, {limit}3))")
+    return limits.where(" AND ".join(kept)).selectExpr("*", f"least({', '.join(reach)}) AS reach")
 
 
 @dataclass
@@ -234,7 +241,7 @@ def _listed(found: list[tuple[int, DataFrame]], places: DataFrame, k: int, half:
     ]
     as_groups = reduce(lambda a, b: a.unionByName(b), located).selectExpr(
         "*", "lat AS lat_lo", "lat AS lat_hi", "lon_at AS lon_lo", "lon_at AS lon_hi",
-        "lat AS rep_lat", "lon_at AS rep_lon", "at[0].grid_id AS rep_id", "size(at) AS rep_n",
+        "lat AS rep_lat", "lon_at AS rep_lon", "at[0].grid_id AS rep_id", "size(at) AS rep_n", "size(at) AS n",
     )
     return _prune(as_groups, k, half).select("qlevel", "qx", "qy", "lat", "lon", "lon_at", "at")
 
